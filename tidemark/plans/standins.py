@@ -38,3 +38,63 @@ def bars(spark: SparkSession, sf_dir: str, *tfs: str) -> DataFrame:
     if not coarse:
         return fine
     return roll_up(fine, tfs)
+
+
+def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills: position = user, opens = click/view, closes = purchase/error, balance rows = signup."""
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    closing = kind.isin("purchase", "error")
+    return e.select(
+        F.col("event_id").alias("ticket"),
+        F.col("user_id").alias("position_id"),
+        F.element_at(F.array(*[F.lit(s) for s in SYMBOLS]), (F.col("user_id") % 5 + 1).cast("int")).alias("symbol"),
+        F.when(kind == "signup", 2).otherwise((F.col("event_id") % 2).cast("int")).alias("type"),
+        F.when(kind == "purchase", 1).when(kind == "error", 2).otherwise(0).alias("entry"),
+        ((F.col("event_id") % 5 + 1) / F.lit(100.0)).alias("volume"),
+        F.col("value").alias("price"),
+        F.when(closing, F.col("value") - 50.0).otherwise(0.0).alias("profit"),
+        (F.unix_micros("ts") / F.lit(1e6)).alias("time"),
+        ((F.col("event_id") % 3) * F.lit(-0.01)).alias("swap"),
+        F.lit(-0.1).alias("commission"),
+    )
+
+
+CTX = ("struct<ae:boolean,adx:double,dip:double,dim:double,rsi:double>")
+
+
+def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order log: ticket = user; stop, target, context and environment derive from the event's ``k``."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
+    k = F.get_json_object("props", "$.k").cast("bigint")
+
+    def context(ae: Column, adx: Column, rsi: Column) -> Column:
+        return F.struct(ae.alias("ae"), adx.cast("double").alias("adx"), F.lit(20.5).alias("dip"),
+                        F.lit(18.5).alias("dim"), rsi.cast("double").alias("rsi")).cast(CTX)
+
+    m15 = context(k % 2 == 0, k % 30 + F.lit(10.5), (k * 7) % 60 + F.lit(20.25))
+    h1 = context(k % 3 == 0, F.when(k % 4 != 0, (k * 3) % 30 + F.lit(12.5)), (k * 11) % 60 + F.lit(20.75))
+    env = F.create_map(
+        F.lit("dxy_change"), (k % 21 - 10) / F.lit(10.0),
+        F.lit("cot_pctile"), k % 100 + F.lit(0.5),
+        F.lit("real_yield_change"), (k % 11 - 5) / F.lit(100.0))
+    return e.select(
+        F.col("event_id").alias("seq"),
+        F.unix_millis("ts").alias("ts"),
+        F.col("user_id").alias("ticket"),
+        (F.col("value") - (k % 7 + 5)).alias("sl"),
+        (F.col("value") + k % 11).alias("tp"),
+        F.create_map(F.lit("M15"), m15, F.lit("H1"), h1).alias("ctx"),
+        F.when(k % 5 != 0, env).alias("env"),
+    )
+
+
+def open_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open tickets: opening fills at the newest price of their symbol."""
+    opened = deals(spark, sf_dir).where("entry = 0 AND type IN (0, 1)")
+    quote = ticks(spark, sf_dir).groupBy("symbol").agg(F.max_by("price", F.struct("ts", "seq")).alias("price_current"))
+    return opened.join(quote, "symbol").select(
+        "ticket", "symbol", F.when(F.col("type") == 0, "BUY").otherwise("SELL").alias("type"), "volume",
+        F.col("price").alias("price_open"), "price_current",
+        F.when(F.col("ticket") % 3 == 0, F.lit(0.0)).otherwise(F.col("price") - 4.0).alias("sl"),
+        (F.col("price_current") - F.col("price")).alias("profit"), "swap", "time")
