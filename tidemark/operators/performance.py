@@ -11,7 +11,7 @@ from tidemark.dims import (
     ADX_BINS, DEFAULT_RANGE_DAYS, HISTORY_RANGES, HOLD_MINUTE_BINS, R_MULTIPLE_BINS, RSI_BINS, WEEKDAYS_JA)
 from tidemark.functions import clock
 from tidemark.functions.bins import bin_label
-from tidemark.operators.ordering import order_blocks, running_totals
+from tidemark.operators.ordering import BLOCK, order_blocks, running_totals
 from tidemark.operators.quantiles import exact_percentiles
 
 
@@ -59,7 +59,8 @@ def _ratios() -> list[Column]:
 def range_summary(ranged: DataFrame) -> DataFrame:
     """Every listed range, with zeros where no trade falls in it."""
     totals = ranged.groupBy("range_label").agg(*_sums(F.col("pnl")))
-    labels = ranged.sparkSession.createDataFrame([(lbl,) for lbl, _ in HISTORY_RANGES], "range_label string")
+    labels = ranged.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(lbl) for lbl, _ in HISTORY_RANGES])).alias("range_label"))
     filled = F.broadcast(labels).join(totals, "range_label", "left").fillna(
         0, ["trade_count", "win_count", "loss_count"]).fillna(0.0, ["gross_profit", "gross_loss"])
     return filled.select("range_label", "trade_count", "win_count", "loss_count", "gross_profit", "gross_loss", *_ratios())
@@ -78,12 +79,17 @@ def range_slices(ranged: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide("win_count", "trade_count"), F.lit(0.0)).alias("win_rate"))
 
 
+def _blocked(trades: DataFrame) -> DataFrame:
+    """Paired trades keep the blocks of their closing fills, which follow exit_time; others are cut here."""
+    return trades if BLOCK in trades.columns else order_blocks(trades, "exit_time")
+
+
 def equity_curve(trades: DataFrame, keys: Sequence[str] = ("range_label",)) -> DataFrame:
     """Running equity, running peak and underwater amount per trade in (exit_time, ticket) order.
 
     ``floor_peak`` is the peak that starts at zero; ``peak`` starts at the first equity value.
     """
-    blocked = order_blocks(trades, "exit_time")
+    blocked = _blocked(trades)
     out = running_totals(blocked, keys, ["exit_time", "ticket"],
                          totals={"equity": F.col("pnl")}, peaks={"peak": ("equity", F.lit(True))})
     return out.select(
@@ -103,7 +109,7 @@ def range_drawdown(curve: DataFrame, keys: Sequence[str] = ("range_label",)) ->
 
 def streaks(trades: DataFrame, keys: Sequence[str] = ("range_label",)) -> DataFrame:
     """Longest winning and losing runs and the signed current run; a zero result ends both."""
-    blocked = order_blocks(trades, "exit_time")
+    blocked = _blocked(trades)
     pnl = F.col("pnl")
     marked = running_totals(blocked, keys, ["exit_time", "ticket"], totals={
         "_w": F.when(pnl > 0, F.lit(0)).otherwise(F.lit(1)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.dims import DEAL_BUY, DEAL_SELL, ENTRY_IN, ENTRY_INOUT, ENTRY_OUT
 from tidemark.functions import price as P
-from tidemark.operators.ordering import order_blocks, running_totals
+from tidemark.operators.ordering import BLOCK, order_blocks, running_totals
 
 
 def trade_fills(deals: DataFrame) -> DataFrame:
@@ -15,13 +15,14 @@ def trade_fills(deals: DataFrame) -> DataFrame:
     return deals.where(F.col("type").isin(DEAL_BUY, DEAL_SELL) & F.col("entry").isin(ENTRY_IN, ENTRY_OUT, ENTRY_INOUT))
 
 
-def pair_deals(deals: DataFrame) -> DataFrame:
+def pair_deals(deals: DataFrame, *, keep_blocks: bool = False) -> DataFrame:
     """First-in-first-out pairing: every closing fill becomes one trade.
 
     Closed form of the queue, per position in (time, ticket) order. With O and I the running counts of closes and opens,
     a close finds the queue empty exactly when O - I exceeds every earlier O - I and 0; the excess so far is the number
     of orphans, and any other close takes open number O - orphans. The match is an equi-join on (position, number),
-    so one position may hold any share of the deals.
+    so one position may hold any share of the deals. ``keep_blocks`` leaves the order blocks on the trades for the
+    running statistics that follow.
     """
     fills = order_blocks(trade_fills(deals), "time")
     is_out = F.col("entry") != ENTRY_IN
@@ -56,6 +57,7 @@ def pair_deals(deals: DataFrame) -> DataFrame:
         F.coalesce("_oprice", "price").alias("entry_price"), F.col("price").alias("exit_price"),
         "profit", "swap", "commission", "is_orphan",
         P.net_pnl(F.col("profit"), F.col("swap"), F.col("commission")).alias("pnl"),
+        *([BLOCK] if keep_blocks else []),
     )
 
 

@@ -79,7 +79,8 @@ def _trades(spark, sf_dir):
 
 
 def _ranged(spark, sf_dir):
-    return PF.in_ranges(_trades(spark, sf_dir), F.unix_seconds(S.now()).cast("double"))
+    trades = T.pair_deals(S.deals(spark, sf_dir), keep_blocks=True)
+    return PF.in_ranges(trades, F.unix_seconds(S.now()).cast("double"))
 
 
 @query("deals_in_window", f"""WITH {DEALS} SELECT ticket, position_id, {R("time", "time", 3)} FROM deals
