@@ -63,22 +63,29 @@ def symbol_metadata(symbols: DataFrame) -> DataFrame:
         or_default("trade_contract_size", F.lit(0.0)).alias("trade_contract_size"))
 
 
+def open_position_rows(positions: DataFrame) -> DataFrame:
+    """Open tickets with side names, signed pips and R (a stop of 0 means none)."""
+    side = F.when(F.col("side") == 0, "BUY").otherwise("SELL")
+    move = P.trade_move(F.col("type"), F.col("price_open"), F.col("price_current"))
+    return positions.withColumn("type", side).drop("side").select(
+        "*", (move / P.pip_price(F.col("symbol"))).alias("pips"),
+        P.position_r(F.col("type"), F.col("price_open"), F.col("price_current"), F.col("sl")).alias("r_open"))
+
+
 def account_snapshot(accounts: DataFrame, positions: DataFrame, terminals: DataFrame) -> DataFrame:
-    """Account rows with their open positions nested and the combined trade permission.
+    """Account rows with open count, floating result and the combined trade permission.
 
-    A hot account's positions are one account's open tickets, bounded by what a broker keeps open; totals are kept
-    beside the list so readers need not open it.
+    Positions stay a table of their own (:func:`open_position_rows`): one account may hold any number of them, so they
+    are summed here, which combines map-side, and never gathered into one row.
     """
-    row = F.struct("ticket", "symbol", F.when(F.col("side") == 0, "BUY").otherwise("SELL").alias("type"), "volume",
-                   "price_open", "price_current", "profit", "swap")
     held = positions.groupBy("login").agg(
-        F.array_sort(F.collect_list(row)).alias("positions"), F.sum(F.col("profit") + F.col("swap")).alias("floating"))
+        F.count(F.lit(1)).alias("open_count"), F.sum(F.col("profit") + F.col("swap")).alias("floating"))
     joined = accounts.join(held, "login", "left").join(terminals, "login", "left")
     allowed = F.coalesce("account_allowed", F.lit(False)) & F.coalesce("terminal_allowed", F.lit(True))
     return joined.select(
         *[c for c in accounts.columns if c != "account_allowed"],
-        F.coalesce("positions", F.array().cast(joined.schema["positions"].dataType)).alias("positions"),
-        F.coalesce("floating", F.lit(0.0)).alias("floating"), allowed.alias("trade_allowed"))
+        F.coalesce("open_count", F.lit(0)).alias("open_count"), F.coalesce("floating", F.lit(0.0)).alias("floating"),
+        allowed.alias("trade_allowed"))
 
 
 def server_offsets(samples: DataFrame) -> DataFrame:

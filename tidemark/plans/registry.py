@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, trading
+from tidemark.plans import market, signals, trading
 
-_MODULES = (market, trading)
+_MODULES = (market, trading, signals)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
-FLAGSHIP = "indicator_table"
+FLAGSHIP = "composite_signal"
