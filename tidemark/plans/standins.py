@@ -98,3 +98,96 @@ def open_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("price").alias("price_open"), "price_current",
         F.when(F.col("ticket") % 3 == 0, F.lit(0.0)).otherwise(F.col("price") - 4.0).alias("sl"),
         (F.col("price_current") - F.col("price")).alias("profit"), "swap", "time")
+
+
+CURRENCIES = ("USD", "EUR", "GBP", "JPY", "AUD")
+
+
+def order_currency() -> Column:
+    """Priority 1..5 of an order as a currency."""
+    return F.element_at(F.array(*[F.lit(c) for c in CURRENCIES]), F.substring("o_orderpriority", 1, 1).cast("int"))
+
+
+def rate_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rate per currency and order day: mean order price in integer cents, and the same in quarter-point steps."""
+    o = table(spark, sf_dir, "orders")
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    daily = o.groupBy(order_currency().alias("currency"), F.to_date("o_orderdate").alias("obs_date")).agg(
+        cents.alias("_c"), F.count(F.lit(1)).alias("_n"))
+    mean = F.expr("_c div _n")
+    return daily.select("currency", "obs_date", (F.floor(mean / F.lit(10)) / F.lit(1e6)).alias("value"),
+                        (F.floor(mean / F.lit(2500000)) * F.lit(0.25)).alias("rate"))
+
+
+def positioning_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One landed JSON body per (market, week) of shipments, numbers as text the way they are delivered."""
+    weekly = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.date_trunc("week", "l_shipdate").alias("w")).agg(
+        *[F.sum(F.when(F.col("l_linestatus") == s, F.col("l_quantity")).otherwise(0.0)).alias(f"q{s}") for s in "OF"],
+        *[F.sum(F.when(F.col("l_linestatus") == s, F.round(F.col("l_extendedprice") * 100).cast("bigint")).otherwise(0)).alias(f"c{s}")
+          for s in "OF"],
+        F.count(F.lit(1)).alias("n"))
+    row = F.struct(
+        F.col("l_returnflag").alias("market_and_exchange_names"),
+        F.concat(F.date_format("w", "yyyy-MM-dd"), F.lit("T00:00:00.000")).alias("report_date_as_yyyy_mm_dd"),
+        F.col("qO").cast("bigint").cast("string").alias("noncomm_positions_long_all"),
+        F.col("qF").cast("bigint").cast("string").alias("noncomm_positions_short_all"),
+        F.expr("(cO div 100)").cast("string").alias("comm_positions_long_all"),
+        F.expr("(cF div 100)").cast("string").alias("comm_positions_short_all"),
+        (F.col("n") * 100).cast("string").alias("open_interest_all"))
+    return weekly.select(F.to_json(F.array(row)).alias("body"))
+
+
+PHRASES = ("FOMC Statement", "ADP Non-Farm Employment Change", "Unemployment Claims", "Official Bank Rate", "CPI m/m",
+           "ECB Press Conference", "Retail Sales m/m", "JOLTS Job Openings", "Cash Rate", "Monetary Policy Statement",
+           "Flash Manufacturing PMI", "Average Hourly Earnings m/m")
+FEED_COUNTRIES = ("USD", "EUR", "GBP", "JPY", "AUD", "CHF", "NZD", "CAD", "usd")
+FEED_IMPACTS = ("High", "high", "Medium", "Low")
+FEED_TIMES = ("8:30am", "12:15PM", "All Day", "2pm", "Tentative", "11:05am")
+FEED_HOSTS = ("www.forexfactory.com", "www.bls.gov", "evil.example.com", "www.ecb.europa.eu")
+EVENT_NOW = "2026-03-01 00:00:00"
+
+
+def _pick(values, index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+
+
+def feed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed feed bodies: one event document per document row, and the raw web pages as throttle answers."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+
+    def nth(k: int) -> Column:
+        return F.floor(i / k)
+
+    day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (i % 330).cast("int")), "MM-dd-yyyy")
+    title = F.concat_ws(" ", _pick(PHRASES, i), F.regexp_replace("text", "[^A-Za-z0-9]+", " "))
+    fields = {
+        "title": title, "country": _pick(FEED_COUNTRIES, nth(5)), "date": day, "time": _pick(FEED_TIMES, nth(7)),
+        "impact": _pick(FEED_IMPACTS, nth(3)), "forecast": F.concat((i % 50).cast("string"), F.lit("K")),
+        "previous": F.lit(""), "url": F.concat(F.lit("https://"), _pick(FEED_HOSTS, i), F.lit("/e/"), i.cast("string")),
+    }
+    tags = [part for k, v in fields.items() for part in (F.lit(f"<{k}>"), v, F.lit(f"</{k}>"))]
+    body = F.concat(F.lit("<?xml version=\"1.0\"?><weeklyevents><event>"), *tags, F.lit("</event></weeklyevents>"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("key"), F.col("html").alias("body"))
+    return d.select(F.concat(F.lit("d"), i.cast("string")).alias("key"), body.alias("body")).unionByName(pages)
+
+
+def observation_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One landed payload per order in each delivery format; every fifth order's payload has no usable value."""
+    o = table(spark, sf_dir, "orders")
+    day = F.to_date("o_orderdate")
+    bad = F.col("o_orderkey") % 5 == 0
+    v = F.col("o_totalprice")
+    text = F.when(bad, F.lit(".")).otherwise(F.format_string("%.2f", v))
+    iso = day.cast("string")
+    base = dict(series=order_currency(), key=F.col("o_orderkey"))
+    json = F.to_json(F.struct(F.array(
+        F.struct(iso.alias("date"), text.alias("value")),
+        F.struct(F.date_add(day, 1).cast("string").alias("date"), F.lit(".").alias("value"))).alias("observations")))
+    sdmx = F.concat(F.lit("KEY,FREQ,TIME_PERIOD,TITLE,OBS_VALUE,UNIT\nK,D,"), iso, F.lit(",\"Level, raw\","),
+                    F.when(bad, F.lit("")).otherwise(text), F.lit(",PC\n"))
+    csv = F.concat(F.lit("DATE,RATE\r\n"), F.date_format(day, "dd MMM yyyy"), F.lit(","), F.when(bad, F.lit("n/a")).otherwise(text), F.lit("\r\n"))
+    html = F.concat(F.lit("<html><table><tr><th scope=\"row\">"), F.date_format(day, "yyyy/MM/dd"), F.lit("</th><td class=\"v\"> "),
+                    F.when(bad, F.lit("NA")).otherwise(text), F.lit("</td></tr><tr><th>"), F.date_format(F.date_add(day, 1), "yyyy/MM/dd"),
+                    F.lit("</th>\n<td>NA</td></tr></table></html>"))
+    return o.select(*[c.alias(n) for n, c in base.items()], json.alias("json"), sdmx.alias("sdmx"), csv.alias("csv"), html.alias("html"))
