@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import calendar, macro, market, signals, trading
+from tidemark.plans import accounts, calendar, macro, market, signals, structure, trading
 
-_MODULES = (market, trading, signals, macro, calendar)
+_MODULES = (market, trading, signals, macro, calendar, accounts, structure)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "composite_signal"
