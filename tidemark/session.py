@@ -33,14 +33,25 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def work_dir(spark: SparkSession) -> str:
+    """Shared folder for checkpoints and written tables: the one the cluster names, else a folder of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    # only where the cluster names no folder, as in tests
+    own = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(own)
+    return sc._jsc.sc().getCheckpointDir().get()
+
 
-    Only where that setting is absent (tests, a laptop) is a folder of our own chosen.
-    """
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, so a lost executor costs a read and not a recomputation."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    folder = work_dir(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
