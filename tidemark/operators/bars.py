@@ -17,12 +17,18 @@ def grid_start(ts: Column, seconds: int) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / F.lit(seconds)) * F.lit(seconds))
 
 
+def arrival_key(time: Column, seq: Column) -> Column:
+    """(time, seq) as one fixed-width number: a struct here would force a sort of all ticks before they combine."""
+    return F.unix_micros(time).cast("decimal(38,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + seq
+
+
 def ticks_to_bars(ticks: DataFrame, tf: str = "M15", *, price: str = "price", time: str = "ts",
                   seq: str = "seq") -> DataFrame:
     """Tumbling OHLC bars. All five aggregates combine map-side, so a hot symbol is reduced before it is shuffled."""
-    at = F.struct(F.col(time), F.col(seq))
+    at = F.col("_at")
     return (
-        ticks.select("symbol", grid_start(F.col(time), TF_SECONDS[tf]).alias("bar_time"), time, seq, price)
+        ticks.select("symbol", grid_start(F.col(time), TF_SECONDS[tf]).alias("bar_time"), price,
+                     arrival_key(F.col(time), F.col(seq)).alias("_at"))
         .groupBy("symbol", "bar_time")
         .agg(
             F.min_by(price, at).alias("open"),
@@ -98,8 +104,11 @@ def closed_bars(bars: DataFrame) -> DataFrame:
 def latest_ticks(ticks: DataFrame, offset_sec: Column | None = None, seq: str = "seq") -> DataFrame:
     """Newest quote per symbol; ``time_msc`` is shifted from server clock to UTC."""
     shift = (offset_sec if offset_sec is not None else F.lit(0)) * F.lit(1000)
-    row = F.struct("bid", "ask", "last", (F.col("time_msc") - shift).alias("time_msc"))
-    return ticks.groupBy("symbol").agg(F.max_by(row, F.struct("time_msc", seq)).alias("_t")).select("symbol", "_t.*")
+    # one aggregate per field keeps the buffers fixed-width, hence hash aggregation
+    at = arrival_key(F.timestamp_millis("time_msc"), F.col(seq))
+    newest = ticks.withColumn("_at", at).groupBy("symbol").agg(
+        *[F.max_by(c, "_at").alias(c) for c in ("bid", "ask", "last")], F.max("time_msc").alias("time_msc"))
+    return newest.withColumn("time_msc", F.col("time_msc") - shift)
 
 
 def chart_tails(bars: DataFrame, ema_h4: DataFrame, candles: int = 40, closes: int = 30) -> DataFrame:

@@ -78,6 +78,20 @@ def running_totals(
     )
 
 
+def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, *,
+                 inclusive: bool = True) -> DataFrame:
+    """Last non-null value so far per key (with ``inclusive=False`` before the row, which is a lag for full columns)."""
+    group = [*keys, BLOCK]
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    marked = df.withColumn("_v", value)
+    local = marked.select("*", F.last("_v", ignorenulls=True).over(w).alias("_in"))
+    at = F.when(F.col("_v").isNotNull(), F.struct(*order))
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    tails = marked.groupBy(*group).agg(F.max_by("_v", at).alias("_end")).select(
+        *group, F.last("_end", ignorenulls=True).over(before).alias("_from"))
+    return local.join(tails, group).select(*df.columns, F.coalesce("_in", "_from").alias(name))
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,

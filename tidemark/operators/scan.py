@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.dims import TF_SECONDS
+from tidemark.session import durable
 
 CELL = 256
 SERIES = ("symbol", "tf")
@@ -47,6 +48,9 @@ def chain(df: DataFrame, prev: Sequence[str] = (), *, keys: Sequence[str] = SERI
             F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"),
             *[F.lag(c).over(w).alias(f"prev_{c}") for c in prev],
         )
+    # read twice here and twice by every scan that follows: bars are far smaller than what they are built from, so
+    # they are written once instead of being derived again for each reader
+    df = durable(df)
     group = [*keys, cell]
     w = Window.partitionBy(*group).orderBy(order)
     inner = df.select("*", F.row_number().over(w).cast("long").alias("_rn"),
@@ -62,12 +66,12 @@ def chain(df: DataFrame, prev: Sequence[str] = (), *, keys: Sequence[str] = SERI
     )
     joined = inner.join(cells, group)
     keep = [c for c in df.columns]
-    return joined.select(
+    return durable(joined.select(
         *keep,
         (F.col("_before") + F.col("_rn") - 1).alias("idx"),
         "n",
         *[F.when(F.col("_rn") > 1, F.col(f"_lag_{c}")).otherwise(F.col(f"_ptail.{c}")).alias(f"prev_{c}") for c in prev],
-    )
+    ))
 
 
 @dataclass(frozen=True)

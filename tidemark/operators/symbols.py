@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.dims import (
     INDEX_NAMES, INDEX_PREFIX, OFFSET_MAX_SEC, OFFSET_MIN_SEC, OFFSET_TOLERANCE_SEC)
 from tidemark.functions import price as P
+from tidemark.operators.ordering import order_blocks, running_last
 
 
 def resolve_symbols(bases: DataFrame, listed: DataFrame) -> DataFrame:
@@ -99,9 +100,9 @@ def server_offsets(samples: DataFrame) -> DataFrame:
     fresh = (F.abs(delta - hours) <= OFFSET_TOLERANCE_SEC) & hours.between(OFFSET_MIN_SEC, OFFSET_MAX_SEC)
     good = samples.where(F.col("tick_time") > 0).withColumn("_h", F.when(fresh, hours.cast("long")))
     accepted = good.where(F.col("_h").isNotNull())
-    w = Window.partitionBy("server").orderBy("ingest_time")
-    seen = accepted.withColumn("_prev", F.lag("_h").over(w)).withColumn("_n", F.row_number().over(w))
-    confirmed = F.when((F.col("_n") == 1) | (F.col("_h") == F.col("_prev")), F.col("_h"))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return seen.select("server", "ingest_time", F.col("_h").alias("sample_offset"),
-                       F.last(confirmed, ignorenulls=True).over(upto).alias("offset_sec"))
+    by_time = ["ingest_time"]
+    blocked = order_blocks(accepted.select("server", "ingest_time", "_h"), "ingest_time")
+    seen = running_last(blocked, ["server"], by_time, F.col("_h"), "_prev", inclusive=False)
+    confirmed = F.when(F.col("_prev").isNull() | (F.col("_h") == F.col("_prev")), F.col("_h"))
+    out = running_last(seen, ["server"], by_time, confirmed, "offset_sec")
+    return out.select("server", "ingest_time", F.col("_h").alias("sample_offset"), "offset_sec")

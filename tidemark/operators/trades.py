@@ -20,8 +20,8 @@ def pair_deals(deals: DataFrame, *, keep_blocks: bool = False) -> DataFrame:
 
     Closed form of the queue, per position in (time, ticket) order. With O and I the running counts of closes and opens,
     a close finds the queue empty exactly when O - I exceeds every earlier O - I and 0; the excess so far is the number
-    of orphans, and any other close takes open number O - orphans. The match is an equi-join on (position, number),
-    so one position may hold any share of the deals. ``keep_blocks`` leaves the order blocks on the trades for the
+    of orphans, and any other close takes open number O - orphans. Opens and closes meet by (position, number), so one
+    position may hold any share of the deals. ``keep_blocks`` leaves the order blocks on the trades for the
     running statistics that follow.
     """
     fills = order_blocks(trade_fills(deals), "time")
@@ -39,23 +39,25 @@ def pair_deals(deals: DataFrame, *, keep_blocks: bool = False) -> DataFrame:
     )
     earlier = F.greatest(F.coalesce(F.col("_peak"), zero), zero)
     orphans = F.greatest(earlier, F.col("_d"))
-    opens = numbered.where(~is_out).select(
-        "position_id", F.col("_i").alias("_number"),
-        F.col("type").alias("_otype"), F.col("time").alias("_otime"), F.col("price").alias("_oprice"))
-    closes = numbered.where(is_out).withColumn("is_orphan", F.col("_d") > earlier).withColumn(
-        "_number", F.when(~F.col("is_orphan"), F.col("_o") - orphans))
-    joined = closes.join(opens, ["position_id", "_number"], "left")
+    # an open and the close that takes it share a number, so one aggregate over two rows replaces a self-join
+    number = F.when(~is_out, F.col("_i")).when(F.col("_d") > earlier, -F.col("ticket") - 1).otherwise(F.col("_o") - orphans)
+    kept = ("ticket", "symbol", "type", "volume", "time", "price", "profit", "swap", "commission", BLOCK)
+    matched = numbered.select("position_id", number.alias("_number"), is_out.alias("_out"), *kept).groupBy(
+        "position_id", "_number").agg(
+        *[F.max(F.when(F.col("_out"), F.col(c))).alias(c) for c in kept],
+        *[F.max(F.when(~F.col("_out"), F.col(c))).alias(f"_o{c}") for c in ("type", "time", "price")],
+    ).where(F.col("ticket").isNotNull())
     side = (
         F.when(F.col("_otype") == DEAL_BUY, F.lit("BUY"))
         .when(F.col("_otype").isNotNull(), F.lit("SELL"))
         .when(F.col("type") == DEAL_BUY, F.lit("SELL"))
         .otherwise(F.lit("BUY"))
     )
-    return joined.select(
+    return matched.select(
         "position_id", "ticket", "symbol", side.alias("type"), "volume",
         F.coalesce("_otime", "time").alias("entry_time"), F.col("time").alias("exit_time"),
         F.coalesce("_oprice", "price").alias("entry_price"), F.col("price").alias("exit_price"),
-        "profit", "swap", "commission", "is_orphan",
+        "profit", "swap", "commission", F.col("_otype").isNull().alias("is_orphan"),
         P.net_pnl(F.col("profit"), F.col("swap"), F.col("commission")).alias("pnl"),
         *([BLOCK] if keep_blocks else []),
     )
@@ -84,41 +86,55 @@ def enrich(trades: DataFrame, journal: DataFrame) -> DataFrame:
     )
 
 
-def _dyadic_extremes(bars: DataFrame, seconds: int, levels: int) -> DataFrame:
-    """High and low of every aligned run of 2^level grid slots. The tree holds about twice the bars."""
+RADIX_BITS = 2
+
+
+def _run_extremes(bars: DataFrame, seconds: int, levels: int) -> DataFrame:
+    """High and low of every aligned run of 4^level grid slots, about 4/3 of the bars in all.
+
+    Bars are first brought together by stretches of 4096 slots, so nearly all of the roll-up happens before the second
+    shuffle.
+    """
     slot = F.floor(F.unix_seconds("bar_time") / F.lit(seconds))
-    expanded = bars.select("symbol", slot.alias("_slot"), "high", "low", F.explode(
-        F.sequence(F.lit(0), F.lit(levels))).alias("_level"))
-    nodes = expanded.withColumn("_node", F.expr("shiftright(_slot, _level)"))
-    return nodes.groupBy("symbol", "_level", "_node").agg(F.max("high").alias("_hi"), F.min("low").alias("_lo"))
+    near = bars.select("symbol", slot.alias("_slot"), "high", "low").withColumn(
+        "_stretch", F.shiftright("_slot", 12)).repartition("symbol", "_stretch")
+    runs = near.select("symbol", "_slot", "high", "low", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level"))
+    node = F.expr(f"shiftright(_slot, {RADIX_BITS} * _level)")
+    return runs.select("symbol", "_level", node.alias("_node"), "high", "low").groupBy("symbol", "_level", "_node").agg(
+        F.max("high").alias("_hi"), F.min("low").alias("_lo"))
 
 
-def excursions(trades: DataFrame, bars: DataFrame, seconds: int = 60, levels: int = 24) -> DataFrame:
+def excursions(trades: DataFrame, bars: DataFrame, seconds: int = 60, levels: int = 12) -> DataFrame:
     """Worst and best move in pips over the bars opened while a trade was held (both ends inclusive).
 
-    A long hold on fine bars would join millions of rows. Instead the hold is cut into at most two aligned
-    power-of-two runs per level and joined by equality to the pre-aggregated runs, so a trade costs about
-    2*log2(bars held) rows whatever its length, and one hot symbol is spread over (level, run).
+    A long hold on fine bars would join millions of rows. Instead the hold is cut into aligned runs of 4^level slots,
+    at most six per level, and joined by equality to the pre-aggregated runs: a trade costs about 3*log2(bars held)
+    rows whatever its length, and one hot symbol is spread over (level, run). Only the top level (31 years of minutes)
+    lists runs one by one.
     """
     # times are whole or fractional epoch seconds
     first = F.ceil(F.col("entry_time") / F.lit(float(seconds)))
     stop = F.floor(F.col("exit_time") / F.lit(float(seconds))) + 1
-    top = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.lit(1), F.col("_stop") - F.col("_first")).cast("double"))) + 1)
-    cut = trades.withColumn("_first", first).withColumn("_stop", stop)
-    steps = cut.select("ticket", "symbol", "_first", "_stop", F.explode(
-        F.sequence(F.lit(0), F.least(top, F.lit(levels)).cast("int"))).alias("_level"))
-    steps = steps.selectExpr(
+    cut = trades.select("ticket", "symbol", first.alias("_first"), stop.alias("_stop")).where("_first < _stop")
+    height = F.least(F.lit(levels), F.ceil(F.log2((F.col("_stop") - F.col("_first")).cast("double")) / RADIX_BITS)).cast("int")
+    steps = cut.select("*", F.explode(F.sequence(F.lit(0), height)).alias("_level")).selectExpr(
+        "*",
+        f"-shiftright(-_first, {RADIX_BITS} * _level) AS _a",
+        f"shiftright(_stop, {RADIX_BITS} * _level) AS _b",
+    ).where("_a < _b").selectExpr(
         "*",
-        "-shiftright(-_first, _level) AS _lo_node",
-        "shiftright(_stop, _level) AS _hi_node",
-    ).where("_lo_node < _hi_node")
-    at_top = F.col("_level") == levels
-    picks = F.when(at_top, F.sequence("_lo_node", F.col("_hi_node") - 1)).otherwise(F.concat(
-        F.when(F.col("_lo_node") % 2 != 0, F.array("_lo_node")).otherwise(F.array().cast("array<bigint>")),
-        F.when(F.col("_hi_node") % 2 != 0, F.array(F.col("_hi_node") - 1)).otherwise(F.array().cast("array<bigint>")),
-    ))
-    pieces = steps.select("ticket", "symbol", "_level", F.explode(F.array_distinct(picks)).alias("_node"))
-    tree = _dyadic_extremes(bars, seconds, levels)
+        f"-shiftright(-_a, {RADIX_BITS}) AS _next_a",
+        f"shiftright(_b, {RADIX_BITS}) AS _next_b",
+    )
+    none = F.array().cast("array<bigint>")
+    width = 1 << RADIX_BITS
+    left, right = F.col("_next_a") * width, F.col("_next_b") * width
+    last_level = (F.col("_next_a") >= F.col("_next_b")) | (F.col("_level") == levels)
+    runs = F.when(last_level, F.sequence("_a", F.col("_b") - 1)).otherwise(F.concat(
+        F.when(F.col("_a") < left, F.sequence("_a", left - 1)).otherwise(none),
+        F.when(right < F.col("_b"), F.sequence(right, F.col("_b") - 1)).otherwise(none)))
+    pieces = steps.select("ticket", "symbol", "_level", F.explode(runs).alias("_node"))
+    tree = _run_extremes(bars, seconds, levels)
     held = pieces.join(tree, ["symbol", "_level", "_node"]).groupBy("ticket").agg(
         F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"))
     out = trades.join(held, "ticket", "left")

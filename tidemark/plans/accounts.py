@@ -12,6 +12,7 @@ from tidemark.operators import trades as T
 from tidemark.plans import standins as S
 from tidemark.plans.market import TICKS, R, rounded
 from tidemark.plans.trading import CURVE, DEALS, OPEN, RANGED
+from tidemark.session import durable
 from tidemark.sources import documents as D
 from tidemark.sources import journal as J
 
@@ -225,7 +226,8 @@ sr AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE w / n END AS wr, CASE WHEN l > 0 TH
 
 
 def _ranged(spark, sf_dir):
-    trades = T.pair_deals(S.deals(spark, sf_dir), keep_blocks=True)
+    # closed trades feed several passes: written once
+    trades = durable(T.pair_deals(S.deals(spark, sf_dir), keep_blocks=True))
     return PF.in_ranges(trades, F.unix_seconds(S.now()).cast("double"))
 
 

@@ -12,6 +12,7 @@ from tidemark.operators import setups as U
 from tidemark.operators.ordering import asof_join
 from tidemark.plans import standins as S
 from tidemark.plans.market import BARS, SERIES, TABLE, R, recursive_indicators, rounded
+from tidemark.session import durable
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -231,7 +232,8 @@ def order_time_context(spark, sf_dir):
     known = hist.select(
         "symbol", F.timestamp_seconds(F.unix_seconds("bar_time") + TF_SECONDS["H1"]).alias("known_at"),
         (F.col("close") > F.col("ema")).alias("ae"), "adx", "rsi")
-    out = asof_join(orders, known, ["symbol"], "at", "known_at", ["ae", "adx", "rsi"], tie="ticket")
+    # indicator rows are few beside orders and are read more than once
+    out = asof_join(orders, durable(known), ["symbol"], "at", "known_at", ["ae", "adx", "rsi"], tie="ticket")
     return rounded(out.select("ticket", "symbol", "known_at_asof", F.coalesce("ae", F.lit(False)).alias("ae"),
                               one_decimal(F.col("adx")).alias("adx"), one_decimal(F.col("rsi")).alias("rsi")), 1)
 

@@ -215,8 +215,11 @@ lastn AS (SELECT * FROM bars WHERE tf = 'H1' QUALIFY row_number() OVER (PARTITIO
 rt AS (SELECT symbol, t, "close" / lag("close") OVER (PARTITION BY symbol ORDER BY t) - 1 AS r FROM lastn),
 cm AS (SELECT t FROM rt WHERE r IS NOT NULL GROUP BY t HAVING count(*) = 5 ORDER BY t DESC LIMIT 500),
 rk AS (SELECT t, row_number() OVER (ORDER BY t DESC) AS rn FROM cm),
-w(bars) AS (VALUES (20), (100), (500))
-SELECT bars, a.symbol AS symbol_a, b.symbol AS symbol_b, {R("coalesce(corr(a.r, b.r), 0)", "corr")} FROM w JOIN rk ON rn <= bars JOIN rt a USING (t) JOIN rt b USING (t) GROUP BY ALL""")
+w(bars) AS (VALUES (20), (100), (500)),
+sy AS (SELECT unnest(list_value({", ".join(f"'{x}'" for x in S.SYMBOLS)})) AS symbol),
+have AS (SELECT bars, a.symbol AS sa, b.symbol AS sb, corr(a.r, b.r) AS c FROM w JOIN rk ON rn <= bars JOIN rt a USING (t) JOIN rt b USING (t) GROUP BY ALL)
+SELECT w.bars, x.symbol AS symbol_a, y.symbol AS symbol_b, {R("coalesce(c, 0)", "corr")} FROM w CROSS JOIN sy x CROSS JOIN sy y
+LEFT JOIN have ON have.bars = w.bars AND sa = x.symbol AND sb = y.symbol""")
 def correlation_matrix(spark, sf_dir):
     return rounded(G.correlation_matrix(S.bars(spark, sf_dir, "H1"), S.SYMBOLS))
 

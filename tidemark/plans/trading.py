@@ -10,6 +10,7 @@ from tidemark.operators import trades as T
 from tidemark.operators.bars import ticks_to_bars
 from tidemark.plans import standins as S
 from tidemark.plans.market import TICKS, R, rounded
+from tidemark.session import durable
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -79,7 +80,8 @@ def _trades(spark, sf_dir):
 
 
 def _ranged(spark, sf_dir):
-    trades = T.pair_deals(S.deals(spark, sf_dir), keep_blocks=True)
+    # closed trades feed several passes: written once
+    trades = durable(T.pair_deals(S.deals(spark, sf_dir), keep_blocks=True))
     return PF.in_ranges(trades, F.unix_seconds(S.now()).cast("double"))
 
 
