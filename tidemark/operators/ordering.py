@@ -23,8 +23,11 @@ def order_blocks(df: DataFrame, number: str, blocks: int | None = None) -> DataF
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = blocks or min(4 * parts, 4096)
-    cuts = df.select(F.col(number).cast("double").alias("_v")).approxQuantile(
-        "_v", [i / blocks for i in range(1, blocks)], 0.25 / blocks)
+    probs = [i / blocks for i in range(1, blocks)]
+    order = df.select(F.col(number).cast("double").alias("_v"))
+    cuts = order.approxQuantile("_v", probs, 0.25 / blocks) if probs else []
+    if not cuts:
+        return df.withColumn(BLOCK, F.lit(0).cast("long"))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     marked = df.withColumn("_number", F.col(number).cast("double"))
     out = Bucketizer(splits=splits, inputCol="_number", outputCol="_bucket").transform(marked)

@@ -37,7 +37,7 @@ def parse_bands(documents: DataFrame, column: str = "body") -> DataFrame:
 
 
 def read_bands(spark: SparkSession, path: str, mode: str | None = None) -> DataFrame:
-    rows = parse_bands(spark.read.option("wholetext", True).text(path), "value")
+    rows = parse_bands(spark.read.text(path, wholetext=True), "value")
     return rows if mode is None else rows.where(F.col("mode") == mode)
 
 
@@ -51,8 +51,8 @@ def bands_document(bands: DataFrame, generated_at: Column | None = None) -> Data
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(
             F.concat(F.lit("ema"), F.col("period").cast("string")), F.struct("pos", "neg"))))).alias("bands"))
     stamp = generated_at if generated_at is not None else F.current_timestamp().cast("string")
-    return modes.agg(F.to_json(F.struct(stamp.alias("generated_at"), F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("mode", F.struct(F.col("mode").alias("tf"), "periods", "bands"))))).alias("modes"))).alias("value"))
+    return modes.agg(F.to_json(F.struct(stamp.alias("generated_at"), F.map_from_entries(F.collect_list(
+        F.struct("mode", F.struct(F.col("mode").alias("tf"), "periods", "bands")))).alias("modes"))).alias("value"))
 
 
 def write_bands(bands: DataFrame, path: str) -> None:

@@ -18,7 +18,7 @@ def read_event_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed file with its whole text, its path and its arrival time."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("value").alias("body"), F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_modification_time").alias("ingest_time"))
 
