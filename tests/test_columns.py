@@ -85,3 +85,12 @@ def test_line_geometry(spark):
                  L.channel_offset(t[0], F.lit(10.0), t[1], F.lit(12.0), t[2], F.lit(15.0)), L.fibonacci_price(F.lit(10.0), F.lit(20.0), F.lit(0.618)),
                  L.name_category(F.lit("R1_strong_D1")), L.name_weight(F.lit("R1_strong_D1")), L.name_timeframe(F.lit("R1_strong_D1")))[0]
     assert got[:6] == pytest.approx((14.0, 10.0, 1.0, 0.0, 1.0, 16.18)) and got[6:] == ("resistance", "strong", "D1")
+
+
+def test_range_days_and_timeframe_order(spark):
+    from tidemark.operators.indicators import by_timeframe
+    from tidemark.operators.performance import range_days
+    got = values(spark, [("24h",), ("1Y",), ("all",), ("zzz",)], "v string", range_days(F.col("v")))
+    assert [g[0] for g in got] == [1, 365, 90, 90]
+    rows = spark.createDataFrame([("A", t) for t in ("M15", "W1", "D1", "H1", "H4")], "symbol string, tf string")
+    assert [r.tf for r in by_timeframe(rows).collect()] == ["D1", "H4", "H1", "M15", "W1"]

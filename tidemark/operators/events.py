@@ -100,13 +100,17 @@ def merge_feeds(*feeds: DataFrame) -> DataFrame:
         "release_ts", "currency", "title", *[F.col(f"_e.{c}") for c in rest])
 
 
+def by_release(events: DataFrame) -> DataFrame:
+    return events.orderBy("release_ts", "currency", "title")
+
+
 def display_rows(events: DataFrame, symbols: DataFrame, now: Column, count: int = dims.DISPLAY_COUNT,
                  window_sec: int = dims.WARNING_WINDOW_SEC) -> DataFrame:
     """First ``count`` events from half an hour ago on, for the currencies of the shown symbols."""
     shown = symbols.select(F.explode(E.displayed_currencies(F.col("symbol"))).alias("currency")).distinct()
     cutoff = F.timestamp_seconds(F.unix_seconds(now) - F.lit(window_sec))
     kept = events.where(F.col("release_ts") >= cutoff).withColumn("currency", F.upper("currency"))
-    kept = kept.join(shown, "currency", "left_semi").orderBy("release_ts", "currency", "title").limit(count)
+    kept = by_release(kept.join(shown, "currency", "left_semi")).limit(count)
     return kept.select(
         "release_ts", clock.jst_date(F.col("release_ts")).alias("date_jst"),
         clock.jst_clock_short(F.col("release_ts")).alias("time_jst"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.dims import ADX_PERIOD, ATR_PERIOD, RSI_PERIOD, TREND_EMA_PERIOD
+from tidemark.dims import ADX_PERIOD, ATR_PERIOD, RSI_PERIOD, TF_RANK, TREND_EMA_PERIOD
 from tidemark.operators.bars import depth_scan
 from tidemark.operators.scan import SERIES, affine_scan, chain, sma_seeded_ema, wilder, with_cell
 
@@ -113,6 +113,12 @@ def last_finite(rows: DataFrame, columns: list[str], keys=SERIES, order: str = "
         F.max_by(F.col(c), F.when(usable(c), F.col(order))).alias(c) for c in columns])
 
 
+def by_timeframe(rows: DataFrame) -> DataFrame:
+    """Display order: symbol, then D1, H4, H1, M15; other timeframes last."""
+    rank = F.coalesce(*[F.when(F.col("tf") == t, F.lit(r)) for t, r in TF_RANK.items()], F.lit(len(TF_RANK)))
+    return rows.orderBy("symbol", rank)
+
+
 def indicator_map(table: DataFrame) -> DataFrame:
     """The table folded to one row per symbol: timeframe -> indicators (at most one entry per timeframe)."""
     fields = F.struct(*[c for c in table.columns if c != "symbol"])

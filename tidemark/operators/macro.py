@@ -38,6 +38,11 @@ def daily_wide(observations: DataFrame, key: str, day: str, value: str, names: S
     return wide.dropna("any", subset=list(names))
 
 
+def write_daily_csv(wide: DataFrame, path: str) -> None:
+    """Daily wide table as CSV with a header, in date order within each file."""
+    wide.sortWithinPartitions(wide.columns[0]).write.mode("overwrite").option("header", True).csv(path)
+
+
 def policy_rates(observations: DataFrame, key: str = "currency", day: str = "obs_date", value: str = "rate") -> DataFrame:
     """Latest rate per currency and the last rate that differed from it."""
     w = Window.partitionBy(key).orderBy(day)

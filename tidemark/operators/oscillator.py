@@ -97,7 +97,8 @@ def with_extension_tiers(rows: DataFrame, bands: DataFrame, periods: tuple[int,
             pick[f"_{p}{side}95"] = F.max(F.when(here, F.col("p95")))
             pick[f"_{p}{side}99"] = F.max(F.when(here, F.col("p99")))
     folded = bands.groupBy("mode").agg(*[c.alias(n) for n, c in pick.items()])
-    joined = rows.join(folded, "mode", "left")
+    # one row per mode
+    joined = rows.join(F.broadcast(folded), "mode", "left")
     dist = {
         periods[0]: disparity_from_deviations(F.col("dev_price"), F.col("dev_fast")),
         periods[1]: disparity_from_deviations(F.col("dev_price"), F.col("dev_mid")),

@@ -34,7 +34,7 @@ def _likes(col, words):
 
 MINUTES = "list_value(510, 735, NULL, 840, NULL, 665)"
 RAW = f"""raw AS (
-  SELECT doc_id, trim({_list(S.PHRASES)}[doc_id % 12 + 1] || ' ' || regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS title,
+  SELECT doc_id, rtrim({_list(S.PHRASES)}[doc_id % 12 + 1] || ' ' || text, ' ' || chr(9) || chr(10) || chr(13)) AS title,
     {_list(S.FEED_COUNTRIES)}[(doc_id // 5) % 9 + 1] AS country, {_list(S.FEED_IMPACTS)}[(doc_id // 3) % 4 + 1] AS impact,
     epoch_us(CAST(DATE '2026-01-01' + CAST(doc_id % 330 AS INTEGER) AS TIMESTAMP)) // 1000000 + {MINUTES}[(doc_id // 7) % 6 + 1] * 60 AS release_ts,
     (doc_id % 50) || 'K' AS forecast, 'https://' || {_list(S.FEED_HOSTS)}[doc_id % 4 + 1] || '/e/' || doc_id AS url

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import standins as S
 from tidemark.plans.market import TICKS, R, rounded
-from tidemark.session import work_dir
+from tidemark.schemas import DRIVER
+from tidemark.session import use_utc, work_dir
 from tidemark.streaming import jobs
 
 QUERIES: dict = {}
@@ -25,8 +26,8 @@ def query(name, sql=None):
 
 
 def _ticks(spark, sf_dir):
-    schema = S.table(spark, sf_dir, "events").sparkSession.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = jobs.tick_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet")
+    use_utc(spark)
+    raw = jobs.tick_stream(spark, sf_dir, DRIVER["events"], pathGlobFilter="events.parquet")
     return raw.select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"))
 
 

@@ -13,6 +13,7 @@ from tidemark.operators.ordering import asof_join
 from tidemark.plans import standins as S
 from tidemark.plans.market import BARS, SERIES, TABLE, R, recursive_indicators, rounded
 from tidemark.session import durable
+from tidemark.sources import documents as D
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -252,3 +253,27 @@ def live_yield_overlay(spark, sf_dir):
     return rounded(out.select("symbol", "at", "value", "nominal_10y", "live_value", "is_live"))
 
 
+
+
+@query("bands_document_round_trip", f"""WITH RECURSIVE {BARS}, {_bands('H1')}
+SELECT mode, period, side, {R("p90", "p90")}, {R("p95", "p95")}, {R("p99", "p99")}, {R("mx", "max")}, n FROM bnd""")
+def bands_document_round_trip(spark, sf_dir):
+    """Bands written as the nested JSON document and read back as a table."""
+    tf, periods, *_ = OSC_MODES["H1"]
+    document = D.bands_document(O.disparity_bands(S.bars(spark, sf_dir, tf), "H1", periods), F.lit("2024-01-31"))
+    return rounded(D.parse_bands(document, "value"))
+
+
+@query("snapshot_domain_documents", f"""WITH RECURSIVE {TABLE}, {SIGNAL}
+SELECT 'analysis' AS domain, symbol || '/' || tf AS key, CAST(t AS VARCHAR) AS as_of, rsi IS NULL AS has_null FROM tab
+UNION ALL SELECT 'composite', symbol, cls, false FROM cls""")
+def snapshot_domain_documents(spark, sf_dir):
+    """The full snapshot as one JSON document per (domain, key): missing indicators are explicit nulls."""
+    table = I.indicator_table(S.bars(spark, sf_dir))
+    analysis = D.domain_documents(table.withColumn("key", F.concat_ws("/", "symbol", "tf")), "analysis", "key", table.columns)
+    scores = U.composite_scores(table)
+    composite = D.domain_documents(scores, "composite", "symbol", scores.columns)
+    rows = analysis.unionByName(composite)
+    stamp = F.unix_seconds(F.get_json_object("document", "$.bar_time").cast("timestamp")).cast("string")
+    return rows.select("domain", "key", F.coalesce(stamp, F.get_json_object("document", "$.cls")).alias("as_of"),
+                       F.contains("document", F.lit('"rsi":null')).alias("has_null"))

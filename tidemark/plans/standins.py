@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import roll_up, ticks_to_bars
+from tidemark.schemas import DRIVER
 from tidemark.session import use_utc
 
 SYMBOLS = ("click", "error", "purchase", "signup", "view")
@@ -14,11 +15,11 @@ NOW = "2024-01-30 12:00:00"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     use_utc(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # NTZ columns are UTC wall clock
-    return df.select(*[
-        F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name)
-        for f in df.schema.fields])
+    ddl = DRIVER[name]
+    df = spark.read.schema(ddl).parquet(f"{sf_dir}/{name}.parquet")
+    # zone-free columns hold UTC wall clock
+    zoned = [c.split()[0] for c in ddl.split(", ") if c.endswith("timestamp_ntz")]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoned}) if zoned else df
 
 
 def now() -> Column:
@@ -160,7 +161,10 @@ def feed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.floor(i / k)
 
     day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (i % 330).cast("int")), "MM-dd-yyyy")
-    title = F.concat_ws(" ", _pick(PHRASES, i), F.regexp_replace("text", "[^A-Za-z0-9]+", " "))
+    escaped = F.col("text")
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(mark), F.lit(entity))
+    title = F.concat_ws(" ", _pick(PHRASES, i), escaped)
     fields = {
         "title": title, "country": _pick(FEED_COUNTRIES, nth(5)), "date": day, "time": _pick(FEED_TIMES, nth(7)),
         "impact": _pick(FEED_IMPACTS, nth(3)), "forecast": F.concat((i % 50).cast("string"), F.lit("K")),

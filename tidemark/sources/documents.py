@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.guards import finite_or_null
+
 SIDE = "struct<p90: double, p95: double, p99: double, max: double, n: bigint>"
 BANDS_DOCUMENT = (
     "generated_at string, modes map<string, struct<tf: string, periods: array<int>, source: string, "
@@ -116,6 +118,15 @@ def snapshot_documents(domains: DataFrame, key: str, blocks: Sequence[str], ligh
     return domains.select(key, F.to_json(F.struct(*head, "version", *fields), {"ignoreNullFields": "false"}).alias("document"))
 
 
+def domain_documents(rows: DataFrame, domain: str, key: str, columns: Sequence[str]) -> DataFrame:
+    """Rows of one snapshot domain as (domain, key, document): NaN and infinities are null, nulls stay visible."""
+    def clean(c: str) -> Column:
+        return finite_or_null(F.col(c)).alias(c) if rows.schema[c].dataType.typeName() == "double" else F.col(c)
+
+    body = F.to_json(F.struct(*[clean(c) for c in columns]), {"ignoreNullFields": "false"})
+    return rows.select(F.lit(domain).alias("domain"), F.col(key).alias("key"), body.alias("document"))
+
+
 def merge_partial(held: DataFrame, partial: DataFrame, key: str, light: Sequence[str]) -> DataFrame:
     """Newer light fields overwrite those of the held full snapshot; other blocks stay."""
     fresh = partial.select(key, *[F.col(c).alias(f"_n_{c}") for c in light], F.lit(True).alias("_has"))
