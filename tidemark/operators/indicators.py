@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.dims import ADX_PERIOD, ATR_PERIOD, RSI_PERIOD, TF_RANK, TREND_EMA_PERIOD
 from tidemark.operators.bars import depth_scan
 from tidemark.operators.scan import SERIES, affine_scan, chain, sma_seeded_ema, wilder, with_cell
+from tidemark.session import durable
 
 
 def true_range() -> Column:
@@ -68,6 +69,9 @@ def indicator_columns(
         F.when(enough, dip).alias("di_plus"),
         F.when(enough, dim).alias("di_minus"),
     )
+    if cell is not None:
+        # the second scan reads its input twice; written, the cost stays linear in the number of scans
+        second = durable(second)
     total = F.col("di_plus") + F.col("di_minus")
     dx = F.when(total > 0, F.lit(100.0) * F.abs(F.col("di_plus") - F.col("di_minus")) / total).otherwise(F.lit(0.0))
     start = 1 if adx_seed == "zero" else adx_period
