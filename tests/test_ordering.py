@@ -27,7 +27,7 @@ def skewed(spark):
 @pytest.mark.parametrize("blocks", [1, 7, 64])
 def test_running_totals_and_peaks(spark, skewed, blocks):
     pdf, df = skewed
-    out = running_totals(order_blocks(df, "t", blocks), ["k"], ["t", "id"], {"s": F.col("v")},
+    out = running_totals(order_blocks(df, "t", "id", blocks), ["k"], ["t", "id"], {"s": F.col("v")},
                          {"p": ("s", F.col("v") > 0)}, inclusive_peaks=False).toPandas().sort_values(["k", "t", "id"])
     want = pdf.sort_values(["k", "t", "id"]).copy()
     want["s"] = want.groupby("k")["v"].cumsum()
@@ -37,15 +37,36 @@ def test_running_totals_and_peaks(spark, skewed, blocks):
     assert np.allclose(out["p"].to_numpy(float), want["p"].to_numpy(float), equal_nan=True)
 
 
+def test_one_instant_holding_most_rows_is_cut_by_the_tie(spark):
+    rng = np.random.default_rng(3)
+    n = 3000
+    t = np.where(rng.random(n) < 0.6, 50.0, rng.integers(0, 100, n)).astype(float)
+    pdf = pd.DataFrame({"t": t, "id": rng.permutation(n), "v": rng.integers(-5, 6, n).astype(float)})
+    df = spark.createDataFrame(pdf)
+    blocked = order_blocks(df, "t", "id", 20)
+    sizes = blocked.groupBy("_block").count().toPandas()["count"]
+    assert sizes.max() < n / 5
+    seq = blocked.toPandas().sort_values(["t", "id"])["_block"]
+    assert seq.is_monotonic_increasing
+    out = running_totals(blocked, [], ["t", "id"], {"s": F.col("v")}, {"p": ("s", F.lit(True))}).toPandas().sort_values(["t", "id"])
+    want = pdf.sort_values(["t", "id"])["v"].cumsum()
+    assert np.allclose(out["s"], want) and np.allclose(out["p"], want.cummax())
+
+
+def test_empty_input_has_blocks(spark):
+    empty = spark.createDataFrame([], "t double, id bigint, v double")
+    assert running_totals(order_blocks(empty, "t", "id"), [], ["t", "id"], {"s": F.col("v")}).count() == 0
+
+
 def test_running_totals_without_keys(spark, skewed):
     pdf, df = skewed
-    out = running_totals(order_blocks(df, "t"), [], ["t", "id"], {"s": F.col("v")}).toPandas().sort_values(["t", "id"])
+    out = running_totals(order_blocks(df, "t", "id"), [], ["t", "id"], {"s": F.col("v")}).toPandas().sort_values(["t", "id"])
     assert np.allclose(out["s"], pdf.sort_values(["t", "id"])["v"].cumsum())
 
 
 def test_running_last(spark, skewed):
     pdf, df = skewed
-    blocked = order_blocks(df, "t", 16)
+    blocked = order_blocks(df, "t", "id", 16)
     val = F.when(F.col("v") > 3, F.col("v"))
     out = running_last(blocked, ["k"], ["t", "id"], val, "last").toPandas().sort_values(["k", "t", "id"])
     want = pdf.sort_values(["k", "t", "id"]).copy()

@@ -6,6 +6,7 @@ blocks at sampled quantiles; a window sees one (group, block), and one summary r
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 BLOCK = "_block"
 
 
-def order_blocks(df: DataFrame, number: str, blocks: int | None = None) -> DataFrame:
-    """Add ``_block``, an increasing integer of the numeric order column, with near-equal row counts.
+def order_blocks(df: DataFrame, number: str, tie: str | None = None, blocks: int | None = None) -> DataFrame:
+    """Add ``_block``, an integer that never decreases along (number, tie), with near-equal row counts.
 
-    Only the boundaries (a few thousand numbers at most) reach the driver. They are literals from then on, so a
-    recomputed task puts each row into the same block.
+    Only boundaries (a few thousand numbers at most) reach the driver. They are literals from then on, so a recomputed
+    task puts each row into the same block. A single value holding more than a block's share shows up as a repeated
+    quantile; its rows are cut further along the numeric ``tie`` column.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = blocks or min(4 * parts, 4096)
@@ -31,7 +33,26 @@ def order_blocks(df: DataFrame, number: str, blocks: int | None = None) -> DataF
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     marked = df.withColumn("_number", F.col(number).cast("double"))
     out = Bucketizer(splits=splits, inputCol="_number", outputCol="_bucket").transform(marked)
-    return out.withColumn(BLOCK, F.col("_bucket").cast("long")).drop("_number", "_bucket")
+    bucket = F.col("_bucket").cast("long")
+    heavy = {v: c for v, c in Counter(cuts).items() if c > 1}
+    if tie and heavy:
+        bucket = bucket * F.lit(blocks + 1) + _tie_rank(df, number, tie, heavy)
+    return out.withColumn(BLOCK, bucket).drop("_number", "_bucket")
+
+
+def _tie_rank(df: DataFrame, number: str, tie: str, heavy: Mapping[float, int]) -> Column:
+    """Position of a heavy value's row among quantiles of ``tie``; later rows of the same bucket come after all of them."""
+    shares = max(heavy.values()) + 1
+    inside = df.select(F.col(number).cast("double").alias("_v"), F.col(tie).cast("double").alias("_t")).where(
+        F.col("_v").isin(*heavy))
+    found = inside.groupBy("_v").agg(F.percentile_approx(
+        "_t", [i / shares for i in range(1, shares)], F.lit(4 * shares)).alias("_c")).collect()
+    v, t = F.col("_number"), F.col(tie).cast("double")
+    rank = F.lit(None).cast("long")
+    for row in found:
+        edges = F.array(*[F.lit(float(x)) for x in sorted(set(row["_c"]))])
+        rank = F.when(v == F.lit(row["_v"]), F.size(F.filter(edges, lambda e: e <= t)).cast("long")).otherwise(rank)
+    return F.coalesce(rank, F.lit(shares).cast("long"))
 
 
 def running_totals(
@@ -114,10 +135,11 @@ def asof_join(
     packed_right = F.struct(F.col(right_time).alias("_rt"), *[F.col(c) for c in values])
     lhs = left.select(*keys, F.col(left_time).alias("_ts"), F.lit(1).alias("_side"),
                       (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"), packed_left.alias("_left"))
+    # right rows sort before left rows of the same time, whatever the left tie-breakers are
     rhs = right.select(*keys, F.col(right_time).alias("_ts"), F.lit(0).alias("_side"),
-                       F.lit(0).cast("long").alias("_tie"), packed_right.alias("_right"))
+                       F.lit(-(2 ** 62)).cast("long").alias("_tie"), packed_right.alias("_right"))
     line = lhs.unionByName(rhs, allowMissingColumns=True).withColumn("_num", F.col("_ts").cast("double"))
-    line = order_blocks(line, "_num")
+    line = order_blocks(line, "_num", "_tie")
     group = [*keys, BLOCK]
     w = Window.partitionBy(*group).orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     local = line.select("*", F.last("_right", ignorenulls=True).over(w).alias("_in"))

@@ -81,7 +81,7 @@ def range_slices(ranged: DataFrame) -> DataFrame:
 
 def _blocked(trades: DataFrame) -> DataFrame:
     """Paired trades keep the blocks of their closing fills, which follow exit_time; others are cut here."""
-    return trades if BLOCK in trades.columns else order_blocks(trades, "exit_time")
+    return trades if BLOCK in trades.columns else order_blocks(trades, "exit_time", "ticket")
 
 
 def equity_curve(trades: DataFrame, keys: Sequence[str] = ("range_label",)) -> DataFrame:

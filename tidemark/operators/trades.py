@@ -24,7 +24,7 @@ def pair_deals(deals: DataFrame, *, keep_blocks: bool = False) -> DataFrame:
     position may hold any share of the deals. ``keep_blocks`` leaves the order blocks on the trades for the
     running statistics that follow.
     """
-    fills = order_blocks(trade_fills(deals), "time")
+    fills = order_blocks(trade_fills(deals), "time", "ticket")
     is_out = F.col("entry") != ENTRY_IN
     one, zero = F.lit(1), F.lit(0)
     numbered = running_totals(
