@@ -33,15 +33,16 @@ def query(name, sql=None):
 
 @query("broker_symbol_resolution", """WITH b AS (SELECT DISTINCT n_name AS base FROM nation),
 l AS (SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'm' WHEN 2 THEN '.a' WHEN 3 THEN '.pro' ELSE 'micro' END AS suf, c_custkey % 37 AS k FROM customer),
-n AS (SELECT CASE WHEN k % 2 = 0 THEN 'Nation_' ELSE 'NATION_' END || k || suf AS name FROM l WHERE k > 4 OR suf <> ''),
+n AS (SELECT CASE WHEN k % 2 = 0 THEN 'Nation_' ELSE 'NATION_' END || k || CASE WHEN k % 3 = 0 AND suf = '' THEN 'x' ELSE suf END AS name FROM l),
 m AS (SELECT base, name, upper(name) AS up, split_part(upper(name), '.', 1) AS stem FROM b, n
   WHERE upper(name) = base OR starts_with(split_part(upper(name), '.', 1), base))
 SELECT base, first(name ORDER BY NOT (up = base OR stem = base), up <> base, length(name), name) AS broker_name FROM m GROUP BY base""")
 def broker_symbol_resolution(spark, sf_dir):
     k = F.col("c_custkey") % 37
-    suffix = S._pick(("", "m", ".a", ".pro", "micro"), F.col("c_custkey"))
-    listed = S.table(spark, sf_dir, "customer").select(k.alias("k"), suffix.alias("suf")).distinct().where("k > 4 OR suf <> ''").select(
-        F.concat(F.when(F.col("k") % 2 == 0, "Nation_").otherwise("NATION_"), F.col("k").cast("string"), "suf").alias("name"))
+    suffix = S.pick(("", "m", ".a", ".pro", "micro"), F.col("c_custkey"))
+    listed = S.table(spark, sf_dir, "customer").select(k.alias("k"), suffix.alias("suf")).distinct().select(
+        F.concat(F.when(F.col("k") % 2 == 0, "Nation_").otherwise("NATION_"), F.col("k").cast("string"),
+                 F.when((F.col("k") % 3 == 0) & (F.col("suf") == ""), "x").otherwise(F.col("suf"))).alias("name"))
     bases = S.table(spark, sf_dir, "nation").select(F.col("n_name").alias("base")).distinct()
     return Y.resolve_symbols(bases, listed)
 
@@ -62,7 +63,7 @@ SELECT broker, first(name ORDER BY tier, place, name) AS name, min(tier) AS tier
 def front_contract_choice(spark, sf_dir):
     p = S.table(spark, sf_dir, "part")
     k, size = F.col("p_partkey"), F.col("p_size")
-    month = S._pick(("F", "G", "H", "J", "K", "M", "N", "Q", "U", "V", "X", "Z"), k)
+    month = S.pick(("F", "G", "H", "J", "K", "M", "N", "Q", "U", "V", "X", "Z"), k)
     year = F.when(k % 2 == 0, (size % 10).cast("string")).otherwise(F.lpad((size % 30).cast("string"), 2, "0"))
     name = F.when(k % 23 == 0, "USDX").when(k % 23 == 1, "usdollar").when(k % 23 == 2, "EURUSD").when(k % 23 == 3, "DXY_spot").otherwise(
         F.concat(F.lit("DXY_"), month, year))
@@ -81,8 +82,8 @@ def symbol_metadata(spark, sf_dir):
     p = S.table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     raw = p.select(
-        S._pick(("XAUUSD", "EURUSD", "xauEUR"), k).alias("base"), (F.col("p_size") % 4 + 2).alias("digits"),
-        S._pick((0.01, 0.001, 0.0001, 0.00001), F.col("p_size")).alias("point"),
+        S.pick(("XAUUSD", "EURUSD", "xauEUR"), k).alias("base"), (F.col("p_size") % 4 + 2).alias("digits"),
+        S.pick((0.01, 0.001, 0.0001, 0.00001), F.col("p_size")).alias("point"),
         F.when(k % 5 == 0, 0.0).when(k % 5 > 1, 0.25).alias("trade_tick_size"),
         F.when(k % 2 == 0, F.col("p_retailprice")).alias("trade_tick_value"),
         F.when(k % 7 == 0, 0.0).otherwise(100.0).alias("trade_contract_size"), k.alias("key"))
@@ -117,7 +118,7 @@ SELECT seq, server, CASE WHEN server = 'Flat' THEN wall - 7200
 def server_bars_to_utc(spark, sf_dir):
     from tidemark.operators.bars import server_bars_to_utc as convert
     t = S.ticks(spark, sf_dir).select(
-        "seq", S._pick(("ICMarketsSC-MT5-3", "TitanFX-MT5-01", "Flat"), F.col("seq")).alias("server"),
+        "seq", S.pick(("ICMarketsSC-MT5-3", "TitanFX-MT5-01", "Flat"), F.col("seq")).alias("server"),
         (F.unix_seconds("ts") + F.col("seq") % 12 * 30 * 86400).alias("server_secs"))
     return rounded(convert(t, flat_offset=F.lit(7200)).select("seq", "server", "bar_time"))
 
@@ -136,7 +137,7 @@ def quote_columns(spark, sf_dir):
     q = S.ticks(spark, sf_dir).select(
         "seq", F.when(seq % 11 == 0, F.col("price") + 1).otherwise(F.col("price")).alias("bid"),
         (F.col("price") + seq % 4 / F.lit(10.0)).alias("ask"), "price",
-        S._pick(("XAUUSD", "USDJPY", "EURUSD", "XAGUSD", ""), seq).alias("pair"), (seq % 5000).alias("age"))
+        S.pick(("XAUUSD", "USDJPY", "EURUSD", "XAGUSD", ""), seq).alias("pair"), (seq % 5000).alias("age"))
     base, quote = price.split_pair(F.col("pair"))
     return rounded(q.select(
         "seq", price.spread_pips(F.col("bid"), F.col("ask"), price.pip_multiplier(F.col("pair"), F.lit(None).cast("double"))).alias("spread"),
@@ -199,7 +200,7 @@ def sizing_requests(spark, sf_dir):
 
 @query("account_snapshots", f"""WITH p AS (SELECT o_custkey AS login, count(*) AS n, sum(o_totalprice - 250000 + -0.25::DOUBLE) AS fl FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT c_custkey AS login, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE round(c_acctbal, 2) END AS margin_level, coalesce(n, 0) AS open_count, {R("coalesce(fl, 0)", "floating", 3)},
-  c_custkey % 2 = 0 AND c_custkey % 3 <> 1 AS trade_allowed FROM customer LEFT JOIN p ON login = c_custkey""")
+  c_custkey % 2 = 0 AND (c_mktsegment = 'MACHINERY' OR c_custkey % 3 = 0) AS trade_allowed FROM customer LEFT JOIN p ON login = c_custkey""")
 def account_snapshots(spark, sf_dir):
     c = S.table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -207,7 +208,8 @@ def account_snapshots(spark, sf_dir):
     accounts = c.select(k.alias("login"), guards.finite_or_null(level).alias("margin_level"), (k % 2 == 0).alias("account_allowed"))
     positions = S.table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(
         F.col("o_custkey").alias("login"), (F.col("o_totalprice") - 250000.0).alias("profit"), F.lit(-0.25).alias("swap"))
-    terminals = c.where(k % 3 != 2).select(k.alias("login"), (k % 3 == 0).alias("terminal_allowed"))
+    # accounts of one segment report no terminal, which does not block trading
+    terminals = c.where("c_mktsegment <> 'MACHINERY'").select(k.alias("login"), (k % 3 == 0).alias("terminal_allowed"))
     return rounded(Y.account_snapshot(accounts, positions, terminals), 3)
 
 

@@ -66,8 +66,8 @@ def quarantined_feed_bodies(spark, sf_dir):
 
 
 SECONDARY = f"""sv AS (
-  SELECT l_orderkey % 300 AS event_id, (l_orderkey - 20) * 3600 + l_linenumber AS time, l_quantity AS f, l_discount AS p, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax END AS a FROM lineitem),
-se AS (SELECT p_partkey AS event_id, p_size % 30 AS country_id, p_partkey % 4 AS importance, {_list(S.PHRASES)}[p_partkey % 12 + 1] || ' ' || p_name AS name FROM part WHERE p_partkey < 200 OR p_size > 40),
+  SELECT l_partkey AS event_id, (l_orderkey - 20) * 3600 + l_linenumber AS time, l_quantity AS f, l_discount AS p, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax END AS a FROM lineitem),
+se AS (SELECT p_partkey AS event_id, p_size % 30 AS country_id, p_partkey % 4 AS importance, {_list(S.PHRASES)}[p_partkey % 12 + 1] || ' ' || p_name AS name FROM part),
 sc AS (SELECT n_nationkey AS country_id, {_list(S.FEED_COUNTRIES)}[n_nationkey % 9 + 1] AS currency FROM nation),
 sec AS (SELECT time AS release_ts, upper(currency) AS currency, name AS title, 'High' AS impact, CAST(CAST(f AS BIGINT) AS VARCHAR) AS forecast,
    rtrim(rtrim(printf('%.2f', p), '0'), '.') AS previous, CASE WHEN a IS NULL THEN '' ELSE rtrim(rtrim(printf('%.2f', a), '0'), '.') END AS actual, 'secondary' AS source, '' AS source_url
@@ -78,14 +78,14 @@ sec AS (SELECT time AS release_ts, upper(currency) AS currency, name AS title, '
 def _secondary(spark, sf_dir):
     li = S.table(spark, sf_dir, "lineitem")
     values = li.select(
-        (F.col("l_orderkey") % 300).alias("event_id"), ((F.col("l_orderkey") - 20) * 3600 + F.col("l_linenumber")).alias("time"),
+        F.col("l_partkey").alias("event_id"), ((F.col("l_orderkey") - 20) * 3600 + F.col("l_linenumber")).alias("time"),
         F.col("l_quantity").alias("forecast_value"), F.col("l_discount").alias("prev_value"),
         F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("actual_value"))
-    events = S.table(spark, sf_dir, "part").where("p_partkey < 200 OR p_size > 40").select(
+    events = S.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("event_id"), (F.col("p_size") % 30).alias("country_id"), (F.col("p_partkey") % 4).alias("importance"),
-        F.concat_ws(" ", S._pick(S.PHRASES, F.col("p_partkey")), F.col("p_name")).alias("name"))
+        F.concat_ws(" ", S.pick(S.PHRASES, F.col("p_partkey")), F.col("p_name")).alias("name"))
     countries = S.table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("country_id"), S._pick(S.FEED_COUNTRIES, F.col("n_nationkey")).alias("currency"))
+        F.col("n_nationkey").alias("country_id"), S.pick(S.FEED_COUNTRIES, F.col("n_nationkey")).alias("currency"))
     return C.secondary_calendar(values, events, countries)
 
 
@@ -106,15 +106,15 @@ SCHEDULE = f"""bank(currency, title, zone, mins, url, d) AS (VALUES {_BANKS}),
 sch AS (SELECT epoch_us(timezone(zone, CAST(d AS TIMESTAMP) + to_minutes(mins))) // 1000000 AS release_ts, currency, title, 'High' AS impact,
    '' AS forecast, '' AS previous, '' AS actual, 'scheduled' AS source, url AS source_url FROM bank),
 live AS (SELECT DISTINCT currency, release_ts // 86400 AS day FROM feed),
-shown AS (SELECT DISTINCT {_list(S.FEED_COUNTRIES)}[n_nationkey % 9 + 1] AS currency FROM nation WHERE n_nationkey % 9 <> 4),
+shown AS (SELECT DISTINCT {_list(S.FEED_COUNTRIES)}[r_regionkey + 1] AS currency FROM region WHERE r_name <> 'EUROPE'),
 upc AS (SELECT {COLS} FROM sch WHERE release_ts >= {NOW} AND NOT EXISTS (SELECT 1 FROM live WHERE live.currency = sch.currency AND live.day = sch.release_ts // 86400)
    AND currency IN (SELECT currency FROM shown)
    QUALIFY row_number() OVER (PARTITION BY currency, title ORDER BY release_ts) <= 3)"""
 
 
 def _upcoming(spark, sf_dir, feed):
-    shown = S.table(spark, sf_dir, "nation").where("n_nationkey % 9 <> 4").select(
-        S._pick(S.FEED_COUNTRIES, F.col("n_nationkey")).alias("currency")).distinct()
+    shown = S.table(spark, sf_dir, "region").where("r_name <> 'EUROPE'").select(
+        S.pick(S.FEED_COUNTRIES, F.col("r_regionkey")).alias("currency")).distinct()
     return C.upcoming(C.bank_schedule(spark), feed, _now(), currencies=shown)
 
 

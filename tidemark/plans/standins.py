@@ -148,7 +148,7 @@ FEED_HOSTS = ("www.forexfactory.com", "www.bls.gov", "evil.example.com", "www.ec
 EVENT_NOW = "2026-03-01 00:00:00"
 
 
-def _pick(values, index: Column) -> Column:
+def pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
@@ -164,11 +164,11 @@ def feed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     escaped = F.col("text")
     for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         escaped = F.replace(escaped, F.lit(mark), F.lit(entity))
-    title = F.concat_ws(" ", _pick(PHRASES, i), escaped)
+    title = F.concat_ws(" ", pick(PHRASES, i), escaped)
     fields = {
-        "title": title, "country": _pick(FEED_COUNTRIES, nth(5)), "date": day, "time": _pick(FEED_TIMES, nth(7)),
-        "impact": _pick(FEED_IMPACTS, nth(3)), "forecast": F.concat((i % 50).cast("string"), F.lit("K")),
-        "previous": F.lit(""), "url": F.concat(F.lit("https://"), _pick(FEED_HOSTS, i), F.lit("/e/"), i.cast("string")),
+        "title": title, "country": pick(FEED_COUNTRIES, nth(5)), "date": day, "time": pick(FEED_TIMES, nth(7)),
+        "impact": pick(FEED_IMPACTS, nth(3)), "forecast": F.concat((i % 50).cast("string"), F.lit("K")),
+        "previous": F.lit(""), "url": F.concat(F.lit("https://"), pick(FEED_HOSTS, i), F.lit("/e/"), i.cast("string")),
     }
     tags = [part for k, v in fields.items() for part in (F.lit(f"<{k}>"), v, F.lit(f"</{k}>"))]
     body = F.concat(F.lit("<?xml version=\"1.0\"?><weeklyevents><event>"), *tags, F.lit("</event></weeklyevents>"))

@@ -38,8 +38,8 @@ def _documents(spark, sf_dir):
     """Line documents: one per drawing, as the charting side exports them."""
     p = S.table(spark, sf_dir, "part")
     k, size = F.col("p_partkey"), F.col("p_size")
-    kind = S._pick(("horizontal", "trendline", "rectangle", "channel", "fibonacci", "text"), k)
-    name = F.concat_ws("_", S._pick(("R1_strong_D1", "S_weak_H4", "TL_up_D1", "TL_dn_major", "zone_supply_H1", "zone_demand", "note"), k), k.cast("string"))
+    kind = S.pick(("horizontal", "trendline", "rectangle", "channel", "fibonacci", "text"), k)
+    name = F.concat_ws("_", S.pick(("R1_strong_D1", "S_weak_H4", "TL_up_D1", "TL_dn_major", "zone_supply_H1", "zone_demand", "note"), k), k.cast("string"))
     base = F.lit(1704067200) + k % 20 * 86400 + 3600
 
     def iso(sec):
@@ -69,7 +69,7 @@ def _documents(spark, sf_dir):
     fibo = F.struct(name.alias("name"), point(t1, p1).alias("point1"), point(t2, p2).alias("point2"), levels.alias("levels"))
     text = F.struct(name.alias("name"), t1.alias("time"), p1.alias("price"), F.lit("seen").alias("text"))
     doc = F.struct(
-        S._pick(S.SYMBOLS, k).alias("symbol"), F.lit("2024-01-30T00:00:00Z").alias("updated_at"),
+        S.pick(S.SYMBOLS, k).alias("symbol"), F.lit("2024-01-30T00:00:00Z").alias("updated_at"),
         F.struct(only("horizontal", horizontal).alias("horizontal"), only("trendline", trend).alias("trendlines"),
                  only("rectangle", rect).alias("rectangles"), only("channel", channel).alias("channels"),
                  only("fibonacci", fibo).alias("fibonacci"), only("text", text).alias("texts")).alias("lines"))
