@@ -81,9 +81,9 @@ def indicator_columns(
                         F.when(enough, F.col("adx")).alias("adx"))
 
 
-def indicator_history(bars: DataFrame, **options) -> DataFrame:
-    """Indicators on every bar of series of any length."""
-    return indicator_columns(chain(with_cell(bars), ("high", "low", "close")), **options)
+def indicator_history(bars: DataFrame, *, stored: bool = False, **options) -> DataFrame:
+    """Indicators on every bar of series of any length. ``stored``: the bars are a table scan, not a derivation."""
+    return indicator_columns(chain(with_cell(bars), ("high", "low", "close"), stored=stored), **options)
 
 
 def indicator_table(bars: DataFrame, **options) -> DataFrame:

@@ -14,6 +14,7 @@ from tidemark.functions.signal import extension_tier
 from tidemark.operators.bars import depth_scan, last_bars
 from tidemark.operators.quantiles import exact_percentiles
 from tidemark.operators.scan import SERIES, affine_scan, chain, first_value_ema, with_cell
+from tidemark.session import durable
 
 
 def _deviation(value: Column, center: Column) -> Column:
@@ -59,14 +60,14 @@ def with_placeholders(expected: DataFrame, results: DataFrame, keys: Sequence[st
     return expected.join(found, list(keys), "left").withColumn("stale", F.col("_found").isNull()).drop("_found")
 
 
-def disparity_bands(bars: DataFrame, mode: str, periods: Sequence[int]) -> DataFrame:
+def disparity_bands(bars: DataFrame, mode: str, periods: Sequence[int], *, stored: bool = False) -> DataFrame:
     """Percentiles of the absolute percent distance to each average, by sign, over a whole close history.
 
     The first ``max(periods)`` bars of a series are warm-up. Zeros belong to neither side; a side without any bar is a
     row of zeros.
     """
     warm = max(periods)
-    rows = affine_scan(chain(with_cell(bars.select(*SERIES, "bar_time", "close"))),
+    rows = affine_scan(chain(with_cell(bars.select(*SERIES, "bar_time", "close")), stored=stored),
                        [first_value_ema(f"e{p}", F.col("close"), p) for p in periods])
     wide = rows.where(F.col("idx") >= warm).select("close", F.explode(F.array(*[
         F.struct(F.lit(p).alias("period"), disparity(F.col("close"), F.col(f"e{p}")).alias("d")) for p in periods
@@ -74,6 +75,8 @@ def disparity_bands(bars: DataFrame, mode: str, periods: Sequence[int]) -> DataF
     d = F.col("_p.d")
     sided = wide.where(is_finite(d) & (d != 0)).select(
         F.col("_p.period").alias("period"), F.when(d > 0, "pos").otherwise("neg").alias("side"), F.abs(d).alias("size"))
+    # three passes follow: sketch, ranks, totals
+    sided = durable(sided)
     names = {f"p{int(p * 100)}": p for p in BAND_PERCENTILES}
     ranks = exact_percentiles(sided, ["period", "side"], "size", names)
     whole = sided.groupBy("period", "side").agg(F.max("size").alias("max"), F.count(F.lit(1)).alias("n"))

@@ -35,10 +35,11 @@ def with_cell(bars: DataFrame, time: str = "bar_time", tf: str = "tf") -> DataFr
 
 
 def chain(df: DataFrame, prev: Sequence[str] = (), *, keys: Sequence[str] = SERIES, order: str = "bar_time",
-          cell: str | None = "cell") -> DataFrame:
+          cell: str | None = "cell", stored: bool = False) -> DataFrame:
     """Add ``idx`` (0-based position in the series), ``n`` (series length) and ``prev_<col>`` columns.
 
     With ``cell=None`` the caller vouches that a key has few rows (a top-N scan) and plain windows are used.
+    ``stored=True`` says the input is a table scan already, so it is not written again.
     """
     if cell is None:
         w = Window.partitionBy(*keys).orderBy(order)
@@ -50,7 +51,7 @@ def chain(df: DataFrame, prev: Sequence[str] = (), *, keys: Sequence[str] = SERI
         )
     # read twice here and twice by every scan that follows: bars are far smaller than what they are built from, so
     # they are written once instead of being derived again for each reader
-    df = durable(df)
+    df = df if stored else durable(df)
     group = [*keys, cell]
     w = Window.partitionBy(*group).orderBy(order)
     inner = df.select("*", F.row_number().over(w).cast("long").alias("_rn"),

@@ -176,7 +176,7 @@ SELECT s.symbol,
   {R("(SELECT ema FROM tab WHERE symbol = s.symbol AND tf = 'H4')", "ema_h4")}
 FROM (SELECT DISTINCT symbol FROM bars) s""")
 def chart_tails_per_symbol(spark, sf_dir):
-    series = S.bars(spark, sf_dir, "H4", "M15")
+    series = S.stored_bars(spark, sf_dir, "H4", "M15")
     ema = I.indicator_table(series).where("tf = 'H4'").select("symbol", F.col("ema").alias("ema_h4"))
     tails = B.chart_tails(series, ema)
     return rounded(tails.select(

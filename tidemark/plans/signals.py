@@ -86,7 +86,7 @@ SELECT e.symbol, {R("price", "price")}, {R("ef", "ema_fast")}, {R("em", "ema_mid
 FROM (SELECT DISTINCT symbol FROM bars UNION ALL SELECT upper(r_name) FROM region) e LEFT JOIN snap USING (symbol)""")
 def oscillator_snapshot_with_placeholders(spark, sf_dir):
     """Expected symbols include names that never trade, which stay visible as stale rows."""
-    bars = S.bars(spark, sf_dir, "H1")
+    bars = S.stored_bars(spark, sf_dir, "H1")
     snap = O.oscillator_snapshot(O.oscillator(bars, "H1")).drop("mode")
     expected = bars.select("symbol").distinct().unionByName(
         S.table(spark, sf_dir, "region").select(F.upper("r_name").alias("symbol")))
@@ -121,9 +121,9 @@ k AS (SELECT symbol, t, ((1 + dp / 100) / (1 + df / 100) - 1) * 100 AS d0, ((1 +
 SELECT symbol, t AS bar_time, {R("d0", "dist0")}, {R("d1", "dist1")}, {R("d2", "dist2")},
   {_tier("d0", _P[0])} AS tier0, {_tier("d1", _P[1])} AS tier1, {_tier("d2", _P[2])} AS tier2 FROM k""")
 def overextension_tiers(spark, sf_dir):
-    bars = S.bars(spark, sf_dir, "M15")
+    bars = S.stored_bars(spark, sf_dir, "M15")
     rows = O.oscillator(bars, "M15").select("symbol", "mode", "bar_time", "dev_price", "dev_fast", "dev_mid")
-    tiers = O.with_extension_tiers(rows, O.disparity_bands(bars, "M15", _P), _P)
+    tiers = O.with_extension_tiers(rows, O.disparity_bands(bars, "M15", _P, stored=True), _P)
     return rounded(tiers.drop("mode", "dev_price", "dev_fast", "dev_mid"))
 
 
@@ -269,7 +269,7 @@ SELECT 'analysis' AS domain, symbol || '/' || tf AS key, CAST(t AS VARCHAR) AS a
 UNION ALL SELECT 'composite', symbol, cls, false FROM cls""")
 def snapshot_domain_documents(spark, sf_dir):
     """The full snapshot as one JSON document per (domain, key): missing indicators are explicit nulls."""
-    table = I.indicator_table(S.bars(spark, sf_dir))
+    table = durable(I.indicator_table(S.bars(spark, sf_dir)))
     analysis = D.domain_documents(table.withColumn("key", F.concat_ws("/", "symbol", "tf")), "analysis", "key", table.columns)
     scores = U.composite_scores(table)
     composite = D.domain_documents(scores, "composite", "symbol", scores.columns)

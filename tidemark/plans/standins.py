@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.bars import roll_up, ticks_to_bars
 from tidemark.schemas import DRIVER
-from tidemark.session import use_utc
+from tidemark.session import durable, use_utc
 
 SYMBOLS = ("click", "error", "purchase", "signup", "view")
 NOW = "2024-01-30 12:00:00"
@@ -41,6 +41,11 @@ def bars(spark: SparkSession, sf_dir: str, *tfs: str) -> DataFrame:
     return roll_up(fine, tfs)
 
 
+def stored_bars(spark: SparkSession, sf_dir: str, *tfs: str) -> DataFrame:
+    """The same bars written once, for queries that read them more than once."""
+    return durable(bars(spark, sf_dir, *tfs))
+
+
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills: position = user, opens = click/view, closes = purchase/error, balance rows = signup."""
     e = table(spark, sf_dir, "events")

@@ -99,7 +99,7 @@ SELECT symbol, t AS bar_time, kind, name, {R("CASE WHEN kind IN ('trendline', 'c
   {R("CASE WHEN kind IN ('horizontal', 'text') OR t1 = t2 THEN 0 WHEN kind = 'rectangle' THEN (greatest(p1, p2) - least(p1, p2)) / (t2 - t1) * 86400 ELSE (p2 - p1) / (t2 - t1) * 86400 END", "slope_per_day")},
   {R("CASE WHEN kind = 'fibonacci' THEN p1 + (p2 - p1) * 0.382::DOUBLE END", "fib_382")} FROM v""")
 def lines_at_bars(spark, sf_dir):
-    out = G.lines_at_bars(S.bars(spark, sf_dir, "H4"), D.explode_lines(_documents(spark, sf_dir)))
+    out = G.lines_at_bars(S.stored_bars(spark, sf_dir, "H4"), D.explode_lines(_documents(spark, sf_dir)))
     return rounded(out.select("symbol", "bar_time", "kind", "name", "value", "other_value", "slope_per_day",
                               F.get("level_prices", F.lit(1)).alias("fib_382")))
 
@@ -157,10 +157,10 @@ n AS (SELECT *, CASE WHEN price - lag(price) OVER (PARTITION BY symbol ORDER BY
 r AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY price) AS run FROM n)
 SELECT symbol, min(price) AS zone_low, max(price) AS zone_high, CAST(sum(c) AS BIGINT) AS n_levels, CAST(least(5, sum(c)) AS INTEGER) AS stars FROM r GROUP BY symbol, run HAVING sum(c) >= 3""")
 def confluence_zones(spark, sf_dir):
-    bars = S.bars(spark, sf_dir, "D1", "H4")
+    bars = S.stored_bars(spark, sf_dir, "D1", "H4")
     daily = bars.where("tf = 'D1'")
     levels = daily.select("symbol", F.explode(F.array("high", "low")).alias("price"))
-    atr = I.last_finite(I.indicator_history(bars.where("tf = 'H4'")), ["atr"], keys=["symbol"]).withColumn("atr", F.col("atr") / 10)
+    atr = I.last_finite(I.indicator_history(bars.where("tf = 'H4'"), stored=True), ["atr"], keys=["symbol"]).withColumn("atr", F.col("atr") / 10)
     return rounded(G.confluence(levels, atr))
 
 
