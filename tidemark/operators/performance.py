@@ -115,12 +115,19 @@ def streaks(trades: DataFrame, keys: Sequence[str] = ("range_label",)) -> DataFr
         "_w": F.when(pnl > 0, F.lit(0)).otherwise(F.lit(1)),
         "_l": F.when(pnl < 0, F.lit(0)).otherwise(F.lit(1)),
     })
-    wins = marked.groupBy(*keys, F.col("_w").alias("_run")).agg(F.count_if(pnl > 0).alias("_len"))
-    losses = marked.groupBy(*keys, F.col("_l").alias("_run")).agg(F.count_if(pnl < 0).alias("_len"))
-    win = wins.groupBy(*keys).agg(F.max("_len").alias("max_win_streak"), F.max_by("_len", "_run").alias("_cw"))
-    loss = losses.groupBy(*keys).agg(F.max("_len").alias("max_loss_streak"), F.max_by("_len", "_run").alias("_cl"))
-    return win.join(loss, list(keys)).select(
-        *keys, "max_win_streak", "max_loss_streak", (F.col("_cw") - F.col("_cl")).alias("current_streak"))
+    # both kinds of run are counted in one pass over the marked trades
+    runs = marked.select(*keys, F.explode(F.array(
+        F.struct(F.lit("w").alias("kind"), F.col("_w").alias("run"), (pnl > 0).alias("hit")),
+        F.struct(F.lit("l").alias("kind"), F.col("_l").alias("run"), (pnl < 0).alias("hit")))).alias("r"))
+    sized = runs.groupBy(*keys, "r.kind", "r.run").agg(F.count_if("r.hit").alias("len"))
+    win, loss = F.col("kind") == "w", F.col("kind") == "l"
+
+    def last(kind: Column) -> Column:
+        return F.max_by(F.col("len"), F.when(kind, F.col("run")))
+
+    return sized.groupBy(*keys).agg(
+        F.max(F.when(win, F.col("len"))).alias("max_win_streak"), F.max(F.when(loss, F.col("len"))).alias("max_loss_streak"),
+        (last(win) - last(loss)).alias("current_streak"))
 
 
 def risk_ratios(curve: DataFrame, keys: Sequence[str] = ("range_label",)) -> DataFrame:
