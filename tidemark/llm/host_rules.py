@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES
+from tidemark.llm.common import SPACES, staged
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -90,14 +90,15 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select("host", "docs", "failed", shrunk.alias("host_rate"))  # prior: one row
 
 
-def judged_by_host(docs: DataFrame, text: str = "text", host: str = "source", most: float = MOST_FAILING) -> DataFrame:
-    """All columns of `docs` with measures, base_failed, host_rate and kept.
+def judged_by_host(docs: DataFrame, text: str = "text", host: str = "source", most: float = MOST_FAILING, keep_text: bool = False) -> DataFrame:
+    """All columns of `docs` (the text only with `keep_text`) with measures, base_failed, host_rate and kept.
 
-    Rows and repeated rows are all kept in place, with their verdict. A null host is a host of its own. Columns of the added names are
-    replaced. Only counts per host leave a row's task before the join, and what is joined is what the caller selects from the result.
+    The measures are written once to the shared folder, and the hosts' counts are read from there. Rows and repeated rows are all kept in
+    place, with their verdict. A null host is a host of its own. Columns of the added names are replaced.
     """
-    fresh = docs.drop("_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host", "host_rate", "kept")
-    judged = base_rules(fresh, text)
-    hosts = host_rates(judged, host).select("host", "host_rate")
-    joined = judged.join(hosts, judged[host].eqNullSafe(hosts["host"]), "left").drop("host")
+    fresh = docs.drop("_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_host", "host_rate", "kept")
+    measured = base_rules(fresh, text)
+    judged = staged(measured if keep_text else measured.drop(text), "rules")
+    hosts = host_rates(judged, host).select(F.col("host").alias("_host"), "host_rate")
+    joined = judged.join(hosts, judged[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= most))

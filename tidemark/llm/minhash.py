@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import spread, with_field
+from tidemark.llm.common import mixed, spread, with_field
 
 WIDTH = 5
 BINS = 1024
@@ -31,13 +31,6 @@ REMEMBERED = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit generator: every input bit reaches every output bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import host_rules, minhash, simhash, token_counts
-from tidemark.llm.common import staged, table
+from tidemark.llm import chat, host_rules, lm_score, minhash, packing, pieces, pu_quality, simhash, token_counts, warc
+from tidemark.llm.common import table
 
 #: Folder of the public tokenizer files, the same on every worker.
 TOKENIZERS = "/opt/tokenizers"
@@ -26,6 +26,73 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, decoded again; ids as their number and checksum."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = pieces.decode(pieces.encode(docs, model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.crc32(ids.cast("binary")).alias("ids_crc32"),
+                       (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from trusted positives and unlabelled text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pu_quality.scored(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """Pieces of packed documents with the checksum of their ids in place of the ids."""
+    packed = packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens along the Hilbert curve."""
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, rendered once for each participant as the assistant."""
+    return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
+OP5_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn::BIGINT AS turn, regexp_replace(coalesce(role, 'unknown'), '[<>|\s]', '_', 'g') AS speaker,
+         replace(coalesce(text, ''), '<|', '<\|') AS content FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS assistant FROM turns WHERE speaker <> 'system'),
+shown AS (
+  SELECT t.*, p.assistant, t.speaker = p.assistant AS own,
+         CASE WHEN t.speaker = p.assistant THEN '<|assistant|>' WHEN t.speaker = 'system' THEN '<|system|>'
+              ELSE '<|user name=' || t.speaker || '|>' END || chr(10) AS head
+  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(content) + 8) OVER (
+    PARTITION BY conv_id, assistant ORDER BY turn NULLS FIRST, speaker, content ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM shown)
+SELECT conv_id, assistant, turn, speaker, head || content || '<|end|>' || chr(10) AS segment, start,
+       CASE WHEN own THEN start + length(head) END AS mask_start,
+       CASE WHEN own THEN start + length(head) + length(content) + 7 END AS mask_end
+FROM placed
+"""
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, read back from the archives that the manifest lists."""
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target (labelled quality 1) against background (all documents) entropy of every document."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    return lm_score.entropy_difference(docs)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text under the byte-level vocabulary of 50,257 entries."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
@@ -36,11 +103,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules of every document and the verdict of its source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    measured = staged(host_rules.base_rules(docs).drop("text"), "rules")
-    hosts = host_rules.host_rates(measured).select("host", "host_rate")
-    joined = measured.join(hosts, measured["source"].eqNullSafe(hosts["host"]), "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                         (~F.col("base_failed") & (F.col("host_rate") <= host_rules.MOST_FAILING)).alias("kept"))
+    return host_rules.judged_by_host(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 OP9_SQL = r"""
@@ -84,8 +147,14 @@ def op10_minhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": op1_simhash_groups,
+    "op2_sentencepiece_round_trip": op2_sentencepiece_round_trip,
+    "op3_pu_quality": op3_pu_quality,
+    "op4_hilbert_packing": op4_hilbert_packing,
+    "op5_perspective_rotation": op5_perspective_rotation,
+    "op6_warc_round_trip": op6_warc_round_trip,
+    "op7_entropy_difference": op7_entropy_difference,
     "op8_token_counts": op8_token_counts,
     "op9_host_rules": op9_host_rules,
     "op10_minhash_neighbours": op10_minhash_neighbours,
 }
-SQL = {"op9_host_rules": OP9_SQL}
+SQL = {"op5_perspective_rotation": OP5_SQL, "op9_host_rules": OP9_SQL}

@@ -6,6 +6,10 @@ sub-grids whose distances add up: within distance d at least `grids - d` sub-gri
 cell of one of the grids spanned by that many sub-grids. Inside a cell a pair passes the Manhattan bound first and the exact Hamming
 distance then. A cell holds each fingerprint once, is dealt in blocks when it is large, and gives only the links that join what was not
 yet joined there, never all its pairs.
+
+A fingerprint may have several words of 64 bits. Each word has cells of its own, and both distances are sums over all words. One word and a
+distance below the number of sub-grids finds every link. More words serve a wider likeness: the distance may then exceed what the cells
+promise, and a pair is found if any word of the two shares a cell (the README gives the measured recall).
 """
 
 from __future__ import annotations
@@ -21,49 +25,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import spread, staged, whole_groups, with_field
+from tidemark.llm.common import mixed, spread, staged, whole_groups
 from tidemark.llm.components import components
 
 BITS = 64
 SEGMENTS = 32
 _LOW = np.uint64(0x5555555555555555)
+#: Rows of a cell that meet in one task.
+BLOCK = 2048
 #: Shingles hashed at a time, so that a long text needs no more memory than a short one.
 _STEP = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """Majority vote of the bits of all shingle hashes, as an unsigned integer; no words give zero."""
+def fingerprint(text: bytes | None, width: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
+    """Majority votes of the bits of all shingle hashes, as unsigned integers; a text without words gives zeros.
+
+    The first word takes the shingles' XXH64, each further one a remix of it.
+    """
     parts = text.lower().split() if text else []
     if not parts:
-        return 0
+        return np.zeros(words, np.uint64)
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     k = min(width, len(parts))
     starts, ends = starts[: len(parts) - k + 1], ends[k - 1 :]
-    votes = np.zeros(BITS, np.int64)
+    votes = np.zeros((words, BITS), np.int64)
     digest = partial(xxhash.xxh64_intdigest, seed=seed)
     for at in range(0, len(starts), _STEP):
         cuts = map(slice, starts[at : at + _STEP].tolist(), ends[at : at + _STEP].tolist())
         hashes = np.fromiter(map(digest, map(joined.__getitem__, cuts)), np.uint64, min(_STEP, len(starts) - at))
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += np.add.reduce(bits, axis=0, dtype=np.int64)
-    set_bits = np.packbits(2 * votes > len(starts), bitorder="little")
-    return int(set_bits.view("<u8")[0])
+        for j in range(words):
+            own = mixed(hashes + np.uint64(j)) if j else hashes
+            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes[j] += np.add.reduce(bits, axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(starts), axis=1, bitorder="little").view("<u8").ravel()
+
 
+def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", width: int = 4, seed: int = 42, words: int = 1,
+                 keep_text: bool = False) -> DataFrame:
+    """All columns but the text (that too with `keep_text`), and the fingerprint's words as signed bigints `out`, `out`1, `out`2 and so on.
 
-def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", width: int = 4, seed: int = 42) -> DataFrame:
-    """All columns but the text, and `out` as a signed bigint. Null and empty texts have fingerprint 0."""
-    kept = [c for c in docs.columns if c not in (text, out)]
+    Null and empty texts have fingerprint 0.
+    """
+    names = [out, *(f"{out}{j}" for j in range(1, words))]
+    kept = [c for c in docs.columns if c not in names and (keep_text or c != text)]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias(out))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, width, seed) for t in batch.column(len(kept)).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(prints, pa.int64())], names=[*kept, out])
+            texts = batch.column(len(kept)).to_pylist()
+            prints = np.array([fingerprint(t, width, seed, words) for t in texts], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(prints[:, j]) for j in range(words))], names=[*kept, *names])
 
-    return frame.mapInArrow(run, with_field(frame, out, T.LongType()))
+    schema = T.StructType([*frame.drop(out).schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+    return frame.mapInArrow(run, schema)
 
 
 def embedding(fp: str | Column) -> Column:
@@ -90,13 +107,13 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(low).astype(np.int16) + 2 * np.bitwise_count(high & ~low).astype(np.int16)
 
 
-def links_in_cells(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def links_in_cells(cell: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within `distance` among equal, adjacent cells that join all that is linked there: a spanning forest of each cell.
 
-    Every pair of a cell is tested, step by step of the offset between its places, and only what joins two trees is kept.
+    `prints` has a row of words for each place. Every pair of a cell is tested, offset by offset, and only what joins two trees is kept.
     """
     n = len(cell)
-    emb = fp - ((fp >> np.uint64(1)) & _LOW)
+    emb = (prints ^ (prints >> np.uint64(1))) & _LOW | (prints & (prints >> np.uint64(1)) & _LOW) << np.uint64(1)
     root = np.arange(n)
     out_a, out_b = [], []
     at = np.arange(n - 1)
@@ -104,8 +121,8 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.
     while len(at):
         at = at[at < n - j]
         at = at[cell[at] == cell[at + j]]
-        near = at[manhattan(emb[at], emb[at + j]) <= distance]
-        near = near[np.bitwise_count(fp[near] ^ fp[near + j]) <= distance]
+        near = at[manhattan(emb[at], emb[at + j]).sum(axis=1) <= distance]
+        near = near[np.bitwise_count(prints[near] ^ prints[near + j]).sum(axis=1) <= distance]
         near = near[root[near] != root[near + j]]
         if len(near):
             parent = root.copy()
@@ -129,48 +146,78 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
-def near_links(prints: DataFrame, fp: str = "fp", distance: int = 4, grids: int = 6, block: int = 2048) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect everything within `distance`; `prints` holds each fingerprint once.
+def near_links(nodes: DataFrame, words: list[str], distance: int = 4, grids: int = 6, still: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the ids of different fingerprints; `nodes` holds each once, with id and the columns `words`.
 
-    Each fingerprint is placed in C(grids, grids - distance) cells. `grids` trades copies for the size of the cells: 6 gives 15 copies
-    and cells of about 3e-5 of the rows, 8 gives 70 copies and about 1.5e-7. A cell of over `block` rows is dealt in blocks by hash, and
-    every two of its blocks meet in a task of their own.
+    Each word is placed in C(grids, still) cells, one for every choice of `still` sub-grids that are not to move; grids - distance of them, the
+    default, find every link of a one-word fingerprint. `grids` trades copies for the size of the cells: 6 and distance 4 give 15 copies and
+    cells of about 3e-5 of the rows, 8 gives 70 copies and about 1.5e-7. A cell of over `block` rows is dealt in blocks by hash, and every
+    two of its blocks meet in a task of their own.
     """
-    if not 0 <= distance < grids <= SEGMENTS:
-        raise ValueError("distance must be below the number of sub-grids")
-    masks = sub_grids(grids)
-    emb = embedding(fp)
-    ways = list(combinations(masks, grids - distance))
-    cells = [F.xxhash64(F.lit(k), emb.bitwiseAND(F.lit(_signed(sum(w))))) for k, w in enumerate(ways)]
-    placed = prints.select(F.col(fp).alias("fp"), F.explode(F.array(*cells)).alias("cell"))
+    still = grids - distance if still is None else still
+    if not 0 < still <= grids <= SEGMENTS:
+        raise ValueError("the sub-grids that do not move must be 1 to all of them")
+    ways = list(combinations(sub_grids(grids), still))
+    cells = [F.xxhash64(F.lit(j), F.lit(k), embedding(w).bitwiseAND(F.lit(_signed(sum(way))))) for j, w in enumerate(words) for k, way in enumerate(ways)]
+    placed = nodes.select("id", *words, F.explode(F.array(*cells)).alias("cell"))
     large = placed.groupBy("cell").count().where(F.col("count") > block)
     dealt = placed.join(large.select("cell", F.ceil(F.col("count") / block).alias("blocks")), "cell", "left")
-    mine = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1)))
-    met = dealt.select("fp", "cell", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("blocks", F.lit(1)) - 1)).alias("other"))
-    unit = met.select(F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "fp")
-    dealt_out = unit.repartition(spread(prints.sparkSession), "unit").sortWithinPartitions("unit")
+    blocks = F.coalesce("blocks", F.lit(1))
+    mine = F.pmod(F.xxhash64("id"), blocks)
+    met = dealt.select("id", *words, "cell", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+    unit = met.select(F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "id", *words)
+    dealt_out = unit.repartition(spread(nodes.sparkSession), "unit").sortWithinPartitions("unit")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, ["unit"]):
-            prints_ = part.column("fp").to_numpy().view(np.uint64)
-            a, b = links_in_cells(part.column("unit").to_numpy(), prints_, distance)
-            yield pa.RecordBatch.from_arrays([pa.array(prints_[a].view(np.int64)), pa.array(prints_[b].view(np.int64))], names=["a", "b"])
+            prints = np.stack([part.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
+            a, b = links_in_cells(part.column("unit").to_numpy(), prints, distance)
+            id_ = part.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(id_[a]), pa.array(id_[b])], names=["a", "b"])
 
     return dealt_out.mapInArrow(run, "a bigint, b bigint")
 
 
+def grouped(prints: DataFrame, words: list[str], doc_id: str = "doc_id", distance: int = 4, grids: int = 6, still: int | None = None) -> DataFrame:
+    """Every different fingerprint of `prints` (its words) with root, the name of its group, and component_id, the group's smallest id."""
+    name = F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
+    nodes = staged(prints.groupBy(*words).agg(F.min(doc_id).alias("least")).withColumn("id", name), "simhash-nodes")
+    roots = components(near_links(nodes, words, distance, grids, still))
+    rooted = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return rooted.select(*words, "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, distance: int = 4,
                 grids: int = 6) -> DataFrame:
     """All columns of `docs` but the text, with fp and component_id: the smallest id reachable over links of `distance` or fewer bits.
 
     Null and empty texts have fingerprint zero and are linked like any other; a null id never becomes a group's id unless it has no
-    other; repeated rows are kept and share their group. Columns named fp, root or component_id are replaced.
+    other; repeated rows are kept and share their group. Columns named fp, root or component_id are replaced. An empty table gives none.
     """
-    clean = docs.drop("fp", "component_id", "root", "least")
+    clean = docs.drop("fp", "component_id", "root")
     prints = staged(fingerprints(clean, text, "fp", width, seed), "simhash")
-    nodes = staged(prints.groupBy("fp").agg(F.min(doc_id).alias("least")), "simhash-nodes")
-    roots = components(near_links(nodes, "fp", distance, grids))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(groups, "fp")
+    return prints.join(grouped(prints, ["fp"], doc_id, distance, grids).select("fp", "component_id"), "fp")
+
+
+def distance_of(likeness: float, bits: int) -> int:
+    """Differing bits to expect of two texts whose shingle sets have this Jaccard likeness: cosine 2j / (1 + j), angle over pi of all bits."""
+    return int(bits * np.arccos(2 * likeness / (1 + likeness)) / np.pi)
+
+
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, likeness: float = 0.8, slack: int = 4,
+              words: int = 4, grids: int = 6, still: int = 2) -> DataFrame:
+    """One row of each group of near copies, with the columns of `docs`: a row with the group's smallest id.
+
+    Near copies share about `likeness` or more of their shingles, as fingerprints of `words` words tell: at most the expected number of
+    differing bits and `slack`. Where a group repeats its smallest id, one of these rows with the least fingerprint stays. Null ids come
+    after all others; null and empty texts are copies of each other. An empty table gives none.
+    """
+    names = [f"_fp{j or ''}" for j in range(words)]
+    prints = staged(fingerprints(docs.drop(*names), text, "_fp", width, seed, words, keep_text=True), "simhash-rows")
+    own = prints.select(F.col(doc_id).alias("doc"), *names)
+    found = own.join(grouped(own, names, "doc", distance_of(likeness, BITS * words) + slack, grids, still), names)
+    found = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).withColumn("print", F.xxhash64(*names))
+    chosen = found.groupBy("root").agg(F.min("print").alias("_print"), F.min("doc").alias("_doc"))
+    rows = prints.withColumn("_print0", F.xxhash64(*names))
+    kept = rows.join(chosen, (F.col("_print0") == F.col("_print")) & F.col(doc_id).eqNullSafe(F.col("_doc"))).dropDuplicates([doc_id, "_print0"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
