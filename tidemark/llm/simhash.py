@@ -33,38 +33,44 @@ SEGMENTS = 32
 _LOW = np.uint64(0x5555555555555555)
 #: Rows of a cell that meet in one task.
 BLOCK = 2048
-#: Shingles hashed at a time, so that a long text needs no more memory than a short one.
+#: Shingles whose bits are summed at a time.
 _STEP = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
-    """Majority votes of the bits of all shingle hashes, as unsigned integers; a text without words gives zeros.
-
-    The first word takes the shingles' XXH64, each further one a remix of it.
-    """
+def shingle_hashes(text: bytes | None, width: int, seed: int, repeats: bool) -> np.ndarray:
+    """XXH64 of every shingle of A-Z lower-cased words; a shorter text is one shingle, a wordless one has none. Without repeats, each once."""
     parts = text.lower().split() if text else []
     if not parts:
-        return np.zeros(words, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     k = min(width, len(parts))
-    starts, ends = starts[: len(parts) - k + 1], ends[k - 1 :]
+    n = len(parts) - k + 1
+    cuts = map(slice, starts[:n].tolist(), ends[k - 1 :].tolist())
+    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), map(joined.__getitem__, cuts)), np.uint64, n)
+    return hashes if repeats else np.unique(hashes)
+
+
+def fingerprint(text: bytes | None, width: int = 4, seed: int = 42, words: int = 1, repeats: bool = True) -> np.ndarray:
+    """Majority votes of the bits of all shingle hashes, as unsigned integers; a text without words gives zeros.
+
+    The first word takes the shingles' XXH64, each further one a remix of it.
+    """
+    hashes = shingle_hashes(text, width, seed, repeats)
     votes = np.zeros((words, BITS), np.int64)
-    digest = partial(xxhash.xxh64_intdigest, seed=seed)
-    for at in range(0, len(starts), _STEP):
-        cuts = map(slice, starts[at : at + _STEP].tolist(), ends[at : at + _STEP].tolist())
-        hashes = np.fromiter(map(digest, map(joined.__getitem__, cuts)), np.uint64, min(_STEP, len(starts) - at))
+    for at in range(0, len(hashes), _STEP):
+        some = hashes[at : at + _STEP]
         for j in range(words):
-            own = mixed(hashes + np.uint64(j)) if j else hashes
+            own = mixed(some + np.uint64(j)) if j else some
             bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             votes[j] += np.add.reduce(bits, axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(starts), axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(2 * votes > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", width: int = 4, seed: int = 42, words: int = 1,
-                 keep_text: bool = False) -> DataFrame:
+                 repeats: bool = True, keep_text: bool = False) -> DataFrame:
     """All columns but the text (that too with `keep_text`), and the fingerprint's words as signed bigints `out`, `out`1, `out`2 and so on.
 
     Null and empty texts have fingerprint 0.
@@ -76,7 +82,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", width: in
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
-            prints = np.array([fingerprint(t, width, seed, words) for t in texts], np.uint64).reshape(-1, words).view(np.int64)
+            prints = np.array([fingerprint(t, width, seed, words, repeats) for t in texts], np.uint64).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(prints[:, j]) for j in range(words))], names=[*kept, *names])
 
     schema = T.StructType([*frame.drop(out).schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
@@ -208,12 +214,12 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
               words: int = 4, grids: int = 6, still: int = 2) -> DataFrame:
     """One row of each group of near copies, with the columns of `docs`: a row with the group's smallest id.
 
-    Near copies share about `likeness` or more of their shingles, as fingerprints of `words` words tell: at most the expected number of
+    Near copies share about `likeness` or more of their different shingles, as fingerprints of `words` words tell: at most the expected number of
     differing bits and `slack`. Where a group repeats its smallest id, one of these rows with the least fingerprint stays. Null ids come
     after all others; null and empty texts are copies of each other. An empty table gives none.
     """
     names = [f"_fp{j or ''}" for j in range(words)]
-    prints = staged(fingerprints(docs.drop(*names), text, "_fp", width, seed, words, keep_text=True), "simhash-rows")
+    prints = staged(fingerprints(docs.drop(*names), text, "_fp", width, seed, words, repeats=False, keep_text=True), "simhash-rows")
     own = prints.select(F.col(doc_id).alias("doc"), *names)
     found = own.join(grouped(own, names, "doc", distance_of(likeness, BITS * words) + slack, grids, still), names)
     found = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).withColumn("print", F.xxhash64(*names))
