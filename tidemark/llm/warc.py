@@ -99,9 +99,10 @@ def _with_revisits(pages: DataFrame, page_id: str, url: str, payload: str, least
                         F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.select("*", F.sha2("payload", 256).alias("sum"), F.octet_length("payload").cast("bigint").alias("size"))
     firsts = rows.where(F.col("size") >= least_bytes).groupBy("sum").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    found = rows.join(firsts.where("n > 1").drop("n"), "sum", "left")
+    # written first, so that the join is planned by its size: payloads are dealt by it only where repeated ones are many
+    repeated = staged(firsts.where("n > 1").drop("n"), "warc-repeated")
     refers = F.when(F.coalesce("page_id", F.lit(-(1 << 63))) < F.col("first"), F.col("first"))
-    found = found.withColumn("refers", refers)
+    found = rows.join(repeated, "sum", "left").withColumn("refers", refers)
     return found.select("page_id", "url", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"), F.sha1("payload").alias("sha1"),
                         "size", "refers")
 
