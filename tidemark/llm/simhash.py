@@ -166,8 +166,8 @@ def near_links(nodes: DataFrame, words: list[str], distance: int = 4, grids: int
     ways = list(combinations(sub_grids(grids), still))
     cells = [F.xxhash64(F.lit(j), F.lit(k), embedding(w).bitwiseAND(F.lit(_signed(sum(way))))) for j, w in enumerate(words) for k, way in enumerate(ways)]
     placed = nodes.select("id", *words, F.explode(F.array(*cells)).alias("cell"))
-    large = placed.groupBy("cell").count().where(F.col("count") > block)
-    dealt = placed.join(large.select("cell", F.ceil(F.col("count") / block).alias("blocks")), "cell", "left")
+    large = placed.groupBy("cell").count().where(F.col("count") > block).select("cell", F.ceil(F.col("count") / block).alias("blocks"))
+    dealt = placed.join(staged(large, "simhash-large"), "cell", "left")  # written first, so that the join is planned by its size
     blocks = F.coalesce("blocks", F.lit(1))
     mine = F.pmod(F.xxhash64("id"), blocks)
     met = dealt.select("id", *words, "cell", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
@@ -211,7 +211,7 @@ def distance_of(likeness: float, bits: int) -> int:
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, likeness: float = 0.8, slack: int = 4,
-              words: int = 4, grids: int = 6, still: int = 2) -> DataFrame:
+              words: int = 4, grids: int = 7, still: int = 2) -> DataFrame:
     """One row of each group of near copies, with the columns of `docs`: a row with the group's smallest id.
 
     Near copies share about `likeness` or more of their different shingles, as fingerprints of `words` words tell: at most the expected number of
