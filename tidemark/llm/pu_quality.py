@@ -29,6 +29,7 @@ THRESHOLD = 0.7
 LABELLED_BOUND = 200_000
 FOLDS, HELD_OUT = 4, 2
 BINS = 512
+SHRINK = 32
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (9, 10, 11, 12, 13, 32), "stop": b".,;:?'\"-()",
             "bang": b"!", "bar": b"|", "mark": b"#*$%&<>", "other": b"@[\\]^_`{}~/+="}
 _TABLE = np.zeros((256, len(_CLASSES) + 1))
@@ -39,9 +40,12 @@ _STEPS = (0.01, 0.03, 0.1, 0.3)
 
 
 def features(text: bytes | None) -> np.ndarray:
-    """Shares of byte classes and of repeated words and lines, mean sizes, and steps of each share; nothing about where the text is from."""
+    """Shares of byte classes and of repeated words and lines, the mean word, and steps of each share; nothing about where the text is from.
+
+    Shares are taken of `SHRINK` more bytes, so that those of a few words stay small.
+    """
     data = text or b""
-    n = max(len(data), 1)
+    n = len(data) + SHRINK
     shares = np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _TABLE / n
     words = data.split()
     m = max(len(words), 1)
@@ -50,9 +54,8 @@ def features(text: bytes | None) -> np.ndarray:
                1 - len(set(lines)) / max(len(lines), 1)]
     letters = shares[0] + shares[1] + shares[-1]
     ratios = np.r_[shares, repeats, shares[0] / letters if letters else 0.0]
-    sizes = [np.log1p(len(words)) / 10, min(len(data) / m, 40.0) / 40, float(len(words) < 3), float(len(words) < 20)]
     steps = np.tanh(ratios[:, None] / np.array(_STEPS)).ravel()
-    return np.r_[1.0, ratios, sizes, steps]
+    return np.r_[1.0, ratios, min(len(data) / m, 40.0) / 40, steps]
 
 
 WIDTH = len(features(b""))
@@ -113,16 +116,20 @@ def histogram(rows: DataFrame, w: np.ndarray, bins: int = BINS, column: str = "f
     return out
 
 
-def class_prior(unlabelled: np.ndarray, positive: np.ndarray, least: float = 0.05) -> float:
-    """Least ratio of the two shares above a threshold; only thresholds that keep `least` of the positives are tried."""
-    u = unlabelled[::-1].cumsum() / max(unlabelled.sum(), 1)
-    p = positive[::-1].cumsum() / max(positive.sum(), 1)
-    tried = p >= least
-    return float(np.clip((u[tried] / p[tried]).min(), 0.01, 0.99)) if tried.any() else 0.5
+def class_prior(unlabelled: np.ndarray, positive: np.ndarray, doubt: float = 0.1) -> float:
+    """Ratio of the two shares above the threshold whose ratio has the least upper bound, at the confidence 1 - `doubt`."""
+    n_u, n_p = max(unlabelled.sum(), 1), max(positive.sum(), 1)
+    u, p = unlabelled[::-1].cumsum() / n_u, positive[::-1].cumsum() / n_p
+    slack = np.sqrt(np.log(4 / doubt) / 2 / n_u) + np.sqrt(np.log(4 / doubt) / 2 / n_p)
+    tried = p > 0
+    if not tried.any():
+        return 0.5
+    ratio = u[tried] / p[tried]
+    return float(np.clip(ratio[(ratio + slack / p[tried]).argmin()], 0.01, 0.99))
 
 
-def nn_pu_weights(prior: float, m_p: np.ndarray, s_p: np.ndarray, m_u: np.ndarray, s_u: np.ndarray, ridge: float = 1e-3, rounds: int = 4000,
-                  ) -> np.ndarray:
+def nn_pu_weights(prior: float, m_p: np.ndarray, s_p: np.ndarray, m_u: np.ndarray, s_u: np.ndarray, ridge: float = 1e-3,
+                  rounds: int = 4000) -> np.ndarray:
     """Minimise the non-negative risk by gradient steps, scaled by the curvature of the whole risk."""
     own = np.eye(len(m_p)) * ridge
     own[0, 0] = 0
@@ -188,10 +195,11 @@ def fit(rows: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str =
     if not n_p:
         return None
     _, m_u, s_u = moments(rows)
-    first = np.linalg.solve((s_u + s_p) / 2 + 1e-3 * np.eye(WIDTH), (m_p - m_u) / 2)
+    ridge = 1e-3 + 1 / n_p
+    first = np.linalg.solve((s_u + s_p) / 2 + ridge * np.eye(WIDTH), (m_p - m_u) / 2)
     first /= max(np.sqrt(first @ s_u @ first) * 3, 1e-9)
     prior = class_prior(histogram(rows, first), histogram(positives, first))
-    w = nn_pu_weights(prior, m_p, s_p, m_u, s_u)
+    w = nn_pu_weights(prior, m_p, s_p, m_u, s_u, ridge)
     seen = known.toArrow()  # rows of at most labelled_bound ids
     return Model(w, *logistic_scale(matrix(seen.column("features").combine_chunks()) @ w, seen.column("_label").to_numpy()), prior)
 
