@@ -1,3 +1,5 @@
+"""Rows and tables that the tests of the subpackage share; test modules import the fixtures that they use."""
+
 from __future__ import annotations
 
 import pytest

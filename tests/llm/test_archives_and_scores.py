@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from tests.llm.conftest import MESSY
+from llm_cases import MESSY, documents, messy, nothing  # noqa: F401
 from tidemark.llm import lm_score, queries, warc
 from tidemark.llm.common import new_folder
 

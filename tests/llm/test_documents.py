@@ -6,7 +6,7 @@ import check_oracles
 import numpy as np
 import pytest
 
-from tests.llm.conftest import MESSY
+from llm_cases import MESSY, documents, messy, nothing  # noqa: F401
 from tidemark.llm import chat, host_rules, minhash, pu_quality, queries
 
 SF = "/root/testdata/sf0.001"

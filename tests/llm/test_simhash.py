@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tests.llm.conftest import MESSY
+from llm_cases import MESSY, documents, messy, nothing  # noqa: F401
 from tidemark.llm import queries, simhash
 from tidemark.llm.components import components
 

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.conftest import MESSY
+from llm_cases import MESSY, documents, messy, nothing  # noqa: F401
 from tidemark.llm import packing, pieces, queries, token_counts
 
 BYTE = queries.tokenizer_file("byte_bpe_50k.json")
