@@ -112,3 +112,37 @@ def test_time_order_is_exact_for_microseconds(spark):
     right = spark.createDataFrame([("k", t0 + dt.timedelta(microseconds=4), 7)], "k string, rt timestamp, val int")
     got = {r.id: r.val for r in asof_join(left, right, ["k"], "at", "rt", ["val"], tie="id").collect()}
     assert got == {1: 7, 2: None}
+
+
+def test_null_keys_and_times_keep_their_rows(spark):
+    t0 = dt.datetime(2026, 1, 1, tzinfo=UTC)
+    left = spark.createDataFrame([(1, "k", t0), (2, None, t0), (3, "k", None), (4, None, None)], "id int, k string, at timestamp")
+    right = spark.createDataFrame([("k", t0, 7), (None, t0, 8), ("k", None, 9)], "k string, rt timestamp, val int")
+    got = {r.id: r.val for r in asof_join(left, right, ["k"], "at", "rt", ["val"], tie="id").collect()}
+    assert got == {1: 7, 2: None, 3: None, 4: None}
+    rows = [(None if i % 2 else "a", None if i == 4 else float(i), i, 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, t double, id bigint, v double")
+    for blocks in (1, 5):
+        blocked = order_blocks(df, "t", "id", blocks)
+        out = {r.id: r.s for r in running_totals(blocked, ["k"], ["t", "id"], {"s": F.col("v")}).collect()}
+        # a null time comes first
+        assert out == {i: (1.0 if i == 4 else (i // 2 + 2.0 if i % 2 == 0 and i < 4 else i // 2 + 1.0)) for i in range(20)}
+        assert running_last(blocked, ["k"], ["t", "id"], F.col("v"), "x").count() == 20
+
+
+@pytest.mark.parametrize("blocks, times", [(1000, 400), (4096, 1000)])
+def test_many_blocks_with_repeated_times(spark, blocks, times):
+    n = 20 * times
+    df = spark.range(n).select((F.col("id") % times).cast("double").alias("t"), "id", F.lit(1.0).alias("v"))
+    out = running_totals(order_blocks(df, "t", "id", blocks), [], ["t", "id"], {"s": F.col("v")})
+    # rows of time t come after those of all smaller times, 20 each
+    wrong = out.where(F.col("s") != F.col("t") * 20 + F.floor(F.col("id") / times) + 1).count()
+    assert wrong == 0 and out.count() == n
+
+
+def test_blocks_follow_the_rows(spark, monkeypatch):
+    from tidemark.operators import ordering
+    monkeypatch.setattr(ordering, "BLOCK_ROWS", 100)
+    df = spark.range(6000).select(F.col("id").cast("double").alias("t"))
+    sizes = order_blocks(df, "t").groupBy("_block").count().toPandas()["count"]
+    assert len(sizes) >= 55 and sizes.max() <= 220
