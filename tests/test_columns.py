@@ -94,3 +94,10 @@ def test_range_days_and_timeframe_order(spark):
     assert [g[0] for g in got] == [1, 365, 90, 90]
     rows = spark.createDataFrame([("A", t) for t in ("M15", "W1", "D1", "H1", "H4")], "symbol string, tf string")
     assert [r.tf for r in by_timeframe(rows).collect()] == ["D1", "H4", "H1", "M15", "W1"]
+
+
+def test_long_legs_keep_their_whole_text(spark):
+    from tidemark.functions.price import split_pair
+    long = "EUR" + "X" * 300
+    row = spark.createDataFrame([(long,)], "pair string").select(*split_pair(F.col("pair"))).first()
+    assert tuple(row) == ("EUR", "X" * 300)

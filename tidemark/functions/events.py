@@ -66,7 +66,7 @@ def source_link(url: Column, hosts: Sequence[str] = dims.SOURCE_HOSTS) -> Column
 def displayed_currencies(symbol: Column) -> Column:
     """Currencies a symbol puts on the calendar: the quote of gold, both legs of a six-letter pair."""
     return (
-        F.when(symbol.startswith("XAU"), F.array(F.substring(symbol, 4, 100)))
+        F.when(symbol.startswith("XAU"), F.array(F.substr(symbol, F.lit(4))))
         .when(F.length(symbol) == 6, F.array(F.substring(symbol, 1, 3), F.substring(symbol, 4, 3)))
         .otherwise(F.array().cast("array<string>"))
     )

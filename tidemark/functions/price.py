@@ -77,7 +77,7 @@ def spread_pips(bid: Column, ask: Column, multiplier: Column) -> Column:
 
 
 def split_pair(pair: Column) -> tuple[Column, Column]:
-    return F.substring(pair, 1, 3), F.substring(pair, 4, 100)
+    return F.substring(pair, 1, 3), F.substr(pair, F.lit(4))
 
 
 def contract_month(name: Column, now: Column) -> Column:

@@ -75,7 +75,7 @@ def server_bars_to_utc(bars: DataFrame, server: str = "server", wall: str = "ser
 
 
 def bars_between(bars: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Range scan, both bounds inclusive; the predicate reaches the file scan."""
+    """Range scan of stored bars, both bounds inclusive. Bars derived from ticks need their ticks bounded as well."""
     return bars.where(F.col("bar_time").between(start, end))
 
 

@@ -11,8 +11,7 @@ from tidemark import dims
 from tidemark.functions import lines as L
 from tidemark.functions.clock import jst
 from tidemark.functions.price import split_pair
-from tidemark.operators.bars import last_bars
-from tidemark.operators.scan import SERIES
+from tidemark.operators.scan import SERIES, chain, with_cell
 
 
 def lines_at_bars(bars: DataFrame, lines: DataFrame) -> DataFrame:
@@ -177,11 +176,11 @@ def strength_bias(pairs: DataFrame, strength: DataFrame) -> DataFrame:
 def correlation_matrix(bars: DataFrame, symbols: Sequence[str], windows: Sequence[int] = dims.CORRELATION_WINDOWS) -> DataFrame:
     """Correlation of close returns over the newest bars common to all symbols; no variance counts as 0.
 
-    Returns are laid side by side per bar time, so the pairs are column pairs and no self-join is needed.
+    Symbols may trade on different grids: each return is over the symbol's own previous bar, whatever its distance. Returns are
+    laid side by side per bar time, so the pairs are column pairs and no self-join is needed.
     """
-    newest = last_bars(bars.select(*SERIES, "bar_time", "close").where(F.col("symbol").isin(*symbols)), max(windows) * 2 + 1)
-    w = Window.partitionBy(*SERIES).orderBy("bar_time")
-    returns = newest.withColumn("_r", F.try_divide("close", F.lag("close").over(w)) - 1.0).where(F.col("_r").isNotNull())
+    chained = chain(with_cell(bars.select(*SERIES, "bar_time", "close").where(F.col("symbol").isin(*symbols))), ("close",))
+    returns = chained.select("symbol", "bar_time", (F.try_divide("close", "prev_close") - 1.0).alias("_r")).where(F.col("_r").isNotNull())
     wide = returns.groupBy("bar_time").pivot("symbol", list(symbols)).agg(F.first("_r")).dropna("any")
     # at most max(windows) rows from here on
     top = wide.orderBy(F.col("bar_time").desc()).limit(max(windows))

@@ -8,6 +8,7 @@ from tidemark.functions import clock, guards, price, risk
 from tidemark.operators import performance as PF
 from tidemark.operators import symbols as Y
 from tidemark.operators import trades as T
+from tidemark.operators.bars import arrival_key
 
 from tidemark.plans import standins as S
 from tidemark.plans.market import TICKS, R, rounded
@@ -227,10 +228,13 @@ s AS (SELECT range_label, count(pnl) AS n, count(*) FILTER (WHERE pnl > 0) AS w,
 sr AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE w / n END AS wr, CASE WHEN l > 0 THEN (CASE WHEN w = 0 THEN 0 ELSE gp / w END) / abs(gl / l) END AS rr FROM s)"""
 
 
-def _ranged(spark, sf_dir):
+def _stored_trades(spark, sf_dir):
     # closed trades feed several passes: written once
-    trades = durable(T.pair_deals(S.deals(spark, sf_dir), keep_blocks=True))
-    return PF.in_ranges(trades, F.unix_seconds(S.now()).cast("double"))
+    return durable(T.pair_deals(S.deals(spark, sf_dir), keep_blocks=True))
+
+
+def _ranged(spark, sf_dir):
+    return PF.in_ranges(_stored_trades(spark, sf_dir), F.unix_seconds(S.now()).cast("double"))
 
 
 @query("expectancy_by_range", f"""WITH RECURSIVE {SUMMARY}, e AS (SELECT *, wr * rr - (1 - wr) AS edge FROM sr)
@@ -261,7 +265,8 @@ SELECT c_custkey AS login, {R("c_acctbal", "balance", 4)}, {R("today", "today",
   {R("CASE WHEN c_acctbal > 0 AND greatest(0, CASE WHEN rr > 0 THEN wr - (1 - wr) / rr END) / 4 * c_acctbal > 0 THEN greatest(0, CASE WHEN rr > 0 THEN wr - (1 - wr) / rr END) / 4 * c_acctbal / 500 END", "edge_lot", 4)}
 FROM customer CROSS JOIN perf""")
 def account_kpi_rows(spark, sf_dir):
-    ranged = _ranged(spark, sf_dir)
+    trades = _stored_trades(spark, sf_dir)
+    ranged = PF.in_ranges(trades, F.unix_seconds(S.now()).cast("double"))
     summary = PF.range_summary(ranged)
     draw = PF.range_drawdown(PF.equity_curve(ranged.where("range_label = '90d'"))).select("max_drawdown_pct")
 
@@ -270,7 +275,7 @@ def account_kpi_rows(spark, sf_dir):
 
     row = summary.agg(of("7d", "net_profit").alias("net_7d"), of("30d", "net_profit").alias("net_30d"),
                       of("90d", "win_rate").alias("wr"), of("90d", "risk_reward").alias("rr"))
-    today = PF.today_pnl(T.pair_deals(S.deals(spark, sf_dir)), S.open_positions(spark, sf_dir), S.now()).select(
+    today = PF.today_pnl(trades, S.open_positions(spark, sf_dir), S.now()).select(
         F.col("today_total_pnl").alias("today"))
     # three one-row frames beside every account
     perf = row.crossJoin(draw).crossJoin(today)
@@ -296,10 +301,10 @@ def journal_lines(spark, sf_dir):
     return rows.select("event_id", "ts", "symbol", "ticket", "price")
 
 
-@query("recent_journal_entries", "SELECT event_id, epoch_us(ts) // 1000 AS ts, event_type AS symbol FROM events ORDER BY epoch_us(ts) // 1000 DESC LIMIT 200")
+@query("recent_journal_entries", "SELECT event_id, epoch_us(ts) // 1000 AS ts, event_type AS symbol FROM events ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC LIMIT 200")
 def recent_journal_entries(spark, sf_dir):
     e = S.table(spark, sf_dir, "events").select("event_id", F.unix_millis("ts").alias("ts"), F.col("event_type").alias("symbol"))
-    return J.recent_journal(e, 200)
+    return J.recent_journal(e, 200, "event_id")
 
 
 @query("snapshot_documents_full", f"""WITH {TICKS}, t AS (SELECT symbol, max(seq) AS version, last(price ORDER BY ts, seq) AS last, count(*) AS n FROM ticks GROUP BY symbol)
@@ -316,7 +321,7 @@ def snapshot_documents_light(spark, sf_dir):
 
 def _domains(spark, sf_dir):
     t = S.ticks(spark, sf_dir).groupBy("symbol").agg(
-        F.max("seq").alias("version"), F.max_by("price", F.struct("ts", "seq")).alias("last"), F.count(F.lit(1)).alias("n"))
+        F.max("seq").alias("version"), F.max_by("price", arrival_key(F.col("ts"), F.col("seq"))).alias("last"), F.count(F.lit(1)).alias("n"))
     return t.select("symbol", "version", F.struct("last", "n").alias("price"),
                     F.struct(guards.finite_or_null(F.lit(float("inf"))).alias("margin_level")).alias("account"))
 

@@ -153,7 +153,7 @@ def event_titles_and_categories(spark, sf_dir):
     rows = feeds.parse_events(good, keep=("key",))
     title = F.trim("title")
     return rows.where("key LIKE 'd%'").select(
-        F.substring("key", 2, 30).cast("bigint").alias("doc_id"), E.category(title).alias("category"),
+        F.substr("key", F.lit(2)).cast("bigint").alias("doc_id"), E.category(title).alias("category"),
         E.localised_title(title, F.col("country")).alias("local_title"))
 
 

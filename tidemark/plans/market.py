@@ -140,8 +140,10 @@ def last_bars_per_series(spark, sf_dir):
 @query("bars_in_range", f"""WITH {BARS} SELECT symbol, tf, t AS bar_time, open, high, low, "close" FROM bars
 WHERE t BETWEEN epoch_us(TIMESTAMP '2024-01-10 00:00:00') // 1000000 AND epoch_us(TIMESTAMP '2024-01-20 00:00:00') // 1000000""")
 def bars_in_range(spark, sf_dir):
-    lo, hi = (F.lit(t).cast("timestamp") for t in ("2024-01-10 00:00:00", "2024-01-20 00:00:00"))
-    return rounded(B.bars_between(S.bars(spark, sf_dir), lo, hi).drop("tick_volume"))
+    lo, hi, after = (F.lit(t).cast("timestamp") for t in ("2024-01-10 00:00:00", "2024-01-20 00:00:00", "2024-01-21 00:00:00"))
+    # a bar that opens in the range ends within a day of it
+    inside = (F.col("ts") >= lo) & (F.col("ts") < after)
+    return rounded(B.bars_between(S.bars(spark, sf_dir, ticks_where=inside), lo, hi).drop("tick_volume"))
 
 
 @query("depth_scan_all_series", f"""WITH {BARS} SELECT symbol, tf, t AS bar_time, "close" FROM bars JOIN tfs USING (tf)

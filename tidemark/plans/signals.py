@@ -248,7 +248,9 @@ def live_yield_overlay(spark, sf_dir):
     from tidemark.operators.macro import live_overlay
     anchors = S.bars(spark, sf_dir, "D1").select(
         "symbol", F.timestamp_seconds(F.unix_seconds("bar_time") + 86400).alias("at"), F.col("close").alias("value"))
-    nominal = S.ticks(spark, sf_dir).select("symbol", F.col("ts").alias("qt"), F.col("price").alias("live"), F.lit(50.0).alias("prev"))
+    # the last arrival counts where a symbol has several quotes of one instant
+    quotes = S.ticks(spark, sf_dir).groupBy("symbol", F.col("ts").alias("qt")).agg(F.max_by("price", "seq").alias("live"))
+    nominal = quotes.withColumn("prev", F.lit(50.0))
     out = live_overlay(anchors, nominal, ["symbol"], "at", "qt")
     return rounded(out.select("symbol", "at", "value", "nominal_10y", "live_value", "is_live"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.bars import roll_up, ticks_to_bars
+from tidemark.operators.bars import arrival_key, roll_up, ticks_to_bars
 from tidemark.schemas import DRIVER
 from tidemark.session import durable, use_utc
 
@@ -31,10 +33,11 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"))
 
 
-def bars(spark: SparkSession, sf_dir: str, *tfs: str) -> DataFrame:
-    """M15 bars of every symbol, rolled up to the wanted timeframes."""
+def bars(spark: SparkSession, sf_dir: str, *tfs: str, ticks_where: Column | None = None) -> DataFrame:
+    """M15 bars of every symbol, rolled up to the wanted timeframes; a condition on ticks reaches the file scan."""
     tfs = tfs or ("D1", "H4", "H1", "M15")
-    fine = ticks_to_bars(ticks(spark, sf_dir), "M15")
+    source = ticks(spark, sf_dir)
+    fine = ticks_to_bars(source if ticks_where is None else source.where(ticks_where), "M15")
     coarse = [t for t in tfs if t != "M15"]
     if not coarse:
         return fine
@@ -46,9 +49,15 @@ def stored_bars(spark: SparkSession, sf_dir: str, *tfs: str) -> DataFrame:
     return durable(bars(spark, sf_dir, *tfs))
 
 
-def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fills: position = user, opens = click/view, closes = purchase/error, balance rows = signup."""
+def deals(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Fills: position = user, opens = click/view, closes = purchase/error, balance rows = signup.
+
+    Bounds of the time, lower inclusive and upper exclusive, are compared with the stored column, so they reach the file scan.
+    """
     e = table(spark, sf_dir, "events")
+    for bound, compare in ((start, "ge"), (end, "lt")):
+        if bound:
+            e = e.where(getattr(operator, compare)(F.col("ts"), F.lit(bound).cast("timestamp")))
     kind = F.col("event_type")
     closing = kind.isin("purchase", "error")
     return e.select(
@@ -98,7 +107,7 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def open_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open tickets: opening fills at the newest price of their symbol."""
     opened = deals(spark, sf_dir).where("entry = 0 AND type IN (0, 1)")
-    quote = ticks(spark, sf_dir).groupBy("symbol").agg(F.max_by("price", F.struct("ts", "seq")).alias("price_current"))
+    quote = ticks(spark, sf_dir).groupBy("symbol").agg(F.max_by("price", arrival_key(F.col("ts"), F.col("seq"))).alias("price_current"))
     return opened.join(quote, "symbol").select(
         "ticket", "symbol", F.when(F.col("type") == 0, "BUY").otherwise("SELL").alias("type"), "volume",
         F.col("price").alias("price_open"), "price_current",

@@ -211,8 +211,7 @@ def strength_pair_bias(spark, sf_dir):
 
 
 @query("correlation_matrix", f"""WITH {BARS},
-lastn AS (SELECT * FROM bars WHERE tf = 'H1' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t DESC) <= 1001),
-rt AS (SELECT symbol, t, "close" / lag("close") OVER (PARTITION BY symbol ORDER BY t) - 1 AS r FROM lastn),
+rt AS (SELECT symbol, t, "close" / lag("close") OVER (PARTITION BY symbol ORDER BY t) - 1 AS r FROM bars WHERE tf = 'H1'),
 cm AS (SELECT t FROM rt WHERE r IS NOT NULL GROUP BY t HAVING count(*) = 5 ORDER BY t DESC LIMIT 500),
 rk AS (SELECT t, row_number() OVER (ORDER BY t DESC) AS rn FROM cm),
 w(bars) AS (VALUES (20), (100), (500)),

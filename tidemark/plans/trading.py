@@ -89,8 +89,7 @@ def _ranged(spark, sf_dir):
 WHERE time >= {NOW_SEC} - 10 * 86400 AND time < {NOW_SEC}""")
 def deals_in_window(spark, sf_dir):
     """Deal history scan: lower bound inclusive, upper exclusive."""
-    now = F.unix_seconds(S.now())
-    d = S.deals(spark, sf_dir).where((F.col("time") >= now - 10 * 86400) & (F.col("time") < now))
+    d = S.deals(spark, sf_dir, "2024-01-20 12:00:00", S.NOW)
     return rounded(d.select("ticket", "position_id", "time"), 3)
 
 
@@ -198,7 +197,8 @@ SELECT ticket, {R("CASE WHEN type = 'BUY' THEN lo - entry_price ELSE entry_price
   {R("CASE WHEN type = 'BUY' THEN hi - entry_price ELSE entry_price - lo END / 0.1::DOUBLE", "mfe_pips")} FROM x""")
 def trade_excursions(spark, sf_dir):
     minute = ticks_to_bars(S.ticks(spark, sf_dir), "M1")
-    return rounded(T.excursions(_trades(spark, sf_dir), minute).select("ticket", "mae_pips", "mfe_pips"))
+    # read twice: for the runs they were held and for the result
+    return rounded(T.excursions(durable(_trades(spark, sf_dir)), minute).select("ticket", "mae_pips", "mfe_pips"))
 
 
 @query("r_multiple_distribution", f"""WITH RECURSIVE {ENRICHED}

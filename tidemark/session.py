@@ -43,7 +43,9 @@ def work_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
-    # only where the cluster names no folder, as in tests
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    # a local master, as in tests: driver and executors are one process
     own = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get()

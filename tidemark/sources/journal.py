@@ -30,6 +30,6 @@ def parse_journal_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     return parsed.where(good).select(*[c for c in lines.columns if c != column], "_j.*").drop("_bad")
 
 
-def recent_journal(journal: DataFrame, limit: int = 200) -> DataFrame:
-    """Newest entries first."""
-    return journal.orderBy(F.coalesce("ts", F.lit(0)).desc()).limit(limit)
+def recent_journal(journal: DataFrame, limit: int = 200, seq: str = "ticket") -> DataFrame:
+    """Newest entries first; equal times go by `seq`, the larger first."""
+    return journal.orderBy(F.coalesce("ts", F.lit(0)).desc(), F.col(seq).desc()).limit(limit)

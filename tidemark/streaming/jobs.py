@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.dims import ADX_PERIOD, ATR_PERIOD, RSI_PERIOD, TF_SECONDS, TREND_EMA_PERIOD
+from tidemark.operators.bars import arrival_key
 
 CADENCE_SEC = {"price": 0.5, "analysis": 5.0, "history": 60.0, "calendar": 3600.0, "macro": 21600.0, "live_yield": 30.0}
 
@@ -27,13 +28,13 @@ def tick_stream(spark: SparkSession, path: str, schema: str | T.StructType, **op
 
 def latest_quotes(ticks: DataFrame) -> DataFrame:
     """Newest tick per symbol; run in update mode."""
-    return ticks.groupBy("symbol").agg(F.max_by(F.struct("price", "ts", "seq"), F.struct("ts", "seq")).alias("q")).select(
-        "symbol", "q.*")
+    at = arrival_key(F.col("ts"), F.col("seq"))
+    return ticks.groupBy("symbol").agg(*[F.max_by(c, at).alias(c) for c in ("price", "ts", "seq")])
 
 
 def closed_bar_stream(ticks: DataFrame, tf: str, late: str = "10 minutes") -> DataFrame:
     """Tumbling bars; append mode emits a bar once the watermark has passed its end, so it can never change."""
-    at = F.struct("ts", "seq")
+    at = arrival_key(F.col("ts"), F.col("seq"))
     windowed = ticks.withWatermark("ts", late).groupBy(
         "symbol", F.window("ts", f"{TF_SECONDS[tf]} seconds").alias("w")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
