@@ -52,11 +52,14 @@ class PieceModel(dict):
             raise ValueError("the vocabulary has no byte pieces, so unknown characters can't be written")
         parts = any(BLANK in pieces[i].lstrip(BLANK) for i in plain)
         self.stretches = re.compile(r"(?s).+" if parts else r" +[^ ]*|[^ ]+")
-        self.bytes = [b""] * n
+        written = [b""] * n
         for i in plain:
-            self.bytes[i] = pieces[i].replace(BLANK, " ").encode()
+            written[i] = pieces[i].replace(BLANK, " ").encode()
         for b, i in enumerate(self.byte_ids):
-            self.bytes[i] = bytes([b])
+            written[i] = bytes([b])
+        self.flat = np.frombuffer(b"".join(written), np.uint8)
+        self.sizes = np.fromiter(map(len, written), np.int64, n)
+        self.first = np.cumsum(self.sizes) - self.sizes
 
     def __missing__(self, stretch: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -98,10 +101,17 @@ class PieceModel(dict):
         """Ids of a whole text, after the blank that the model puts before it. Null and empty texts have none."""
         return b"".join(map(self.__getitem__, self.stretches.findall(" " + text))) if text else b""
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: blanks for the blank sign, bytes joined to characters, the first blank dropped. Control and unknown ids give nothing."""
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode(errors="replace")
-        return text[1:] if text.startswith(" ") else text
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of consecutive runs of ids that end at `ends`: blanks for the blank sign, bytes joined to characters, the first blank dropped.
+
+        Control and unknown ids give nothing.
+        """
+        sizes = self.sizes[ids]
+        last = np.cumsum(sizes)
+        data = self.flat[np.repeat(self.first[ids] - last + sizes, sizes) + np.arange(last[-1] if len(last) else 0)].tobytes()
+        at = np.r_[0, last][ends].tolist()
+        texts = [data[lo:hi].decode(errors="replace") for lo, hi in zip([0, *at], at)]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -140,7 +150,10 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                texts = [None if x is None else m.decode(x) for x in batch.column(kept.index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, out])
+                lists = batch.column(kept.index(ids))
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                texts = m.decode(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes))
+                there = lists.is_valid().to_pylist()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t if v else None for t, v in zip(texts, there)], pa.string())], names=[*kept, out])
 
     return frame.mapInArrow(run, with_field(frame, out, T.StringType()))
