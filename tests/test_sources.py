@@ -102,6 +102,10 @@ def test_structure_levels(spark):
     swings = X.swing_points(make_bars(spark, [0.0] * 7, highs=highs, lows=[0, 0, -1, 0, 0, 0, 0]))
     got = swings.collect()
     assert len(got) == 1 and got[0].swing_high and got[0].swing_low and got[0].high == 5
-    lv = spark.createDataFrame([("S", 100.0), ("S", 100.2), ("S", 100.4), ("S", 105.0), ("S", 105.0), ("S", 105.0), ("S", 110.0)], "symbol string, price double")
+    lv = spark.createDataFrame([("S", 100.0), ("S", 100.1), ("S", 100.2), ("S", 100.4), ("S", 105.0), ("S", 105.0), ("S", 105.0), ("S", 110.0)], "symbol string, price double")
     z = X.confluence(lv, spark.createDataFrame([("S", 1.0)], "symbol string, atr double")).orderBy("zone_low").collect()
-    assert [(r.zone_low, r.zone_high, r.stars) for r in z] == [(100.0, 100.4, 3), (105.0, 105.0, 3)]
+    assert [(r.zone_low, r.zone_high, r.stars) for r in z] == [(100.0, 100.2, 3), (105.0, 105.0, 3)]
+    close = spark.createDataFrame([("S", float(i)) for i in range(100)], "symbol string, price double")
+    wide = X.confluence(close, spark.createDataFrame([("S", 8.0)], "symbol string, atr double")).collect()
+    assert wide and all(r.zone_high - r.zone_low <= 8.0 * 0.3 and r.n_levels == 3 for r in wide)
+    assert X.confluence(close, spark.createDataFrame([("S", 4.0)], "symbol string, atr double")).count() == 0

@@ -98,19 +98,22 @@ def day_vwap(bars: DataFrame) -> DataFrame:
 
 
 def confluence(levels: DataFrame, atr: DataFrame, width: float = dims.CONFLUENCE_ATR, least: int = 3) -> DataFrame:
-    """Runs of levels whose neighbours lie within ``width`` ATR; three or more score 3, 4 or 5 stars.
+    """Zones no wider than ``width`` ATR that hold three or more levels; they score 3, 4 or 5 stars.
 
-    ``levels``: symbol, price. ``atr``: symbol, atr. Equal prices are counted first, so a repeated level is one row.
+    Prices are measured in zone widths. In every stretch of one width the level from which one width upwards holds the most
+    levels opens the zone (the lowest of equals), so levels that follow each other closely never chain into one. A stretch and
+    the next one meet in one window, however many levels a symbol has. ``levels``: symbol, price. ``atr``: symbol, atr. Equal
+    prices are counted first, so a repeated level is one row.
     """
-    distinct = levels.groupBy("symbol", "price").agg(F.count(F.lit(1)).alias("_c")).join(atr, "symbol")
-    w = Window.partitionBy("symbol").orderBy("price")
-    gap = F.col("price") - F.lag("price").over(w)
-    starts = distinct.withColumn("_new", F.when(gap <= F.col("atr") * width, 0).otherwise(1))
-    runs = starts.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    zones = runs.groupBy("symbol", "_run").agg(
-        F.min("price").alias("zone_low"), F.max("price").alias("zone_high"), F.sum("_c").alias("n_levels"))
-    return zones.where(F.col("n_levels") >= least).select(
-        "symbol", "zone_low", "zone_high", "n_levels", F.least(F.lit(5), F.col("n_levels").cast("int")).alias("stars"))
+    distinct = levels.groupBy("symbol", "price").agg(F.count(F.lit(1)).alias("_c")).join(atr, "symbol").where(F.col("atr") > 0)
+    placed = distinct.withColumn("_x", F.col("price") / (F.col("atr") * width)).withColumn("_at", F.floor("_x"))
+    met = placed.select("symbol", "price", "_c", "_x", F.explode(F.array(F.col("_at"), F.col("_at") - 1)).alias("_stretch"))
+    above = Window.partitionBy("symbol", "_stretch").orderBy("_x").rangeBetween(0, 1)
+    counted = met.select("*", F.sum("_c").over(above).alias("n_levels"), F.max("price").over(above).alias("zone_high"))
+    best = Window.partitionBy("symbol", "_stretch").orderBy(F.col("n_levels").desc(), "_x")
+    opened = counted.where((F.floor("_x") == F.col("_stretch")) & (F.col("n_levels") >= least)).withColumn("_rn", F.row_number().over(best))
+    return opened.where("_rn = 1").select(
+        "symbol", F.col("price").alias("zone_low"), "zone_high", "n_levels", F.least(F.lit(5), F.col("n_levels").cast("int")).alias("stars"))
 
 
 def bar_patterns(bars: DataFrame) -> DataFrame:

@@ -153,9 +153,10 @@ def day_vwap(spark, sf_dir):
 atr AS (SELECT symbol, arg_max(atr, t) / 10 AS a FROM ind WHERE tf = 'H4' AND atr IS NOT NULL GROUP BY symbol),
 lv AS (SELECT symbol, high AS price FROM bars WHERE tf = 'D1' UNION ALL SELECT symbol, low FROM bars WHERE tf = 'D1'),
 d AS (SELECT symbol, price, count(*) AS c, any_value(a) AS a FROM lv JOIN atr USING (symbol) GROUP BY symbol, price),
-n AS (SELECT *, CASE WHEN price - lag(price) OVER (PARTITION BY symbol ORDER BY price) <= a * 0.3::DOUBLE THEN 0 ELSE 1 END AS brk FROM d),
-r AS (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY price) AS run FROM n)
-SELECT symbol, min(price) AS zone_low, max(price) AS zone_high, CAST(sum(c) AS BIGINT) AS n_levels, CAST(least(5, sum(c)) AS INTEGER) AS stars FROM r GROUP BY symbol, run HAVING sum(c) >= 3""")
+x AS (SELECT *, price / (a * 0.3::DOUBLE) AS x FROM d WHERE a > 0),
+z AS (SELECT symbol, price, x, sum(c) OVER w AS n, max(price) OVER w AS hi FROM x WINDOW w AS (PARTITION BY symbol ORDER BY x RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING))
+SELECT symbol, price AS zone_low, hi AS zone_high, CAST(n AS BIGINT) AS n_levels, CAST(least(5, n) AS INTEGER) AS stars FROM z WHERE n >= 3
+QUALIFY row_number() OVER (PARTITION BY symbol, floor(x) ORDER BY n DESC, x) = 1""")
 def confluence_zones(spark, sf_dir):
     bars = S.stored_bars(spark, sf_dir, "D1", "H4")
     daily = bars.where("tf = 'D1'")
