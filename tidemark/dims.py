@@ -58,6 +58,7 @@ PIP_VALUE_PER_LOT = 10.0
 MIN_EDGE_SAMPLE, LOW_SAMPLE = 20, 5
 
 # --- macro
+SECONDARY_WINDOW_DAYS = 7
 FIAT_CURRENCIES = ("USD", "EUR", "GBP", "JPY", "AUD", "CHF", "NZD")
 REAL_YIELD_POINTS = 60
 REAL_YIELD_DEAD_BAND = 0.02

@@ -29,11 +29,17 @@ def filter_feed(raw: DataFrame, keywords=dims.EVENT_KEYWORDS, impacts=dims.IMPAC
 
 
 def secondary_calendar(values: DataFrame, events: DataFrame, countries: DataFrame, keywords=dims.EVENT_KEYWORDS,
-                       impacts=dims.IMPACT_ALLOWED, currencies=dims.FIAT_CURRENCIES) -> DataFrame:
+                       impacts=dims.IMPACT_ALLOWED, currencies=dims.FIAT_CURRENCIES, now: Column | None = None,
+                       window_days: int = dims.SECONDARY_WINDOW_DAYS) -> DataFrame:
     """Values with their event and country (misses dropped), then the same filters; non-positive times are dropped.
 
+    With ``now`` only releases from an hour before it to ``window_days`` after it are kept, at the value scan.
+
     The two lookups are dimension tables; the optimiser broadcasts them while they are under its size limit.
     """
+    if now is not None:
+        at = F.unix_seconds(now)
+        values = values.where(F.col("time").between(at - 3600, at + window_days * 86400))
     joined = values.join(events, "event_id").join(countries, "country_id")
     impact = E.importance_label(F.col("importance"))
     kept = joined.where(E.currency_allowed(F.col("currency"), currencies) & E.impact_allowed(impact, impacts)

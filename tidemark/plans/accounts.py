@@ -251,7 +251,10 @@ def expectancy_by_range(spark, sf_dir):
 
 ACCOUNT_ROW = f"""WITH RECURSIVE {CURVE}, {OPEN.replace(DEALS + ",", "")}, {SUMMARY[len(RANGED) + 2:]},
 dd AS (SELECT *, greatest(0, peak) - equity AS ddv FROM curve WHERE range_label = '90d'),
-perf AS (SELECT
+so AS (SELECT sign(pnl) AS s, row_number() OVER (ORDER BY exit_time, ticket) AS rn, row_number() OVER (PARTITION BY sign(pnl) ORDER BY exit_time, ticket) AS rs
+  FROM ranged WHERE range_label = '90d'),
+sl AS (SELECT s, count(*) AS len FROM so GROUP BY s, rn - rs),
+perf AS (SELECT (SELECT coalesce(max(len) FILTER (WHERE s > 0), 0) FROM sl) AS max_win_streak, (SELECT coalesce(max(len) FILTER (WHERE s < 0), 0) FROM sl) AS max_loss_streak,
   (SELECT coalesce(sum(pnl), 0) FROM trades WHERE exit_time >= epoch_us(date_trunc('day', TIMESTAMP '{S.NOW}')) // 1000000) + (SELECT coalesce(sum(profit + swap), 0) FROM opn) AS today,
   (SELECT gp + gl FROM sr WHERE range_label = '7d') AS net7, (SELECT gp + gl FROM sr WHERE range_label = '30d') AS net30,
   (SELECT wr FROM sr WHERE range_label = '90d') AS wr, (SELECT rr FROM sr WHERE range_label = '90d') AS rr,
@@ -262,7 +265,8 @@ perf AS (SELECT
 SELECT c_custkey AS login, {R("c_acctbal", "balance", 4)}, {R("today", "today", 4)}, {R("net7", "net_7d", 4)}, {R("net30", "net_30d", 4)}, {R("ddp", "max_drawdown_pct", 4)},
   {R("CASE WHEN c_acctbal * 0.03::DOUBLE > 0 THEN greatest(0, 1 - (CASE WHEN today < 0 THEN -today ELSE 0 END) / (c_acctbal * 0.03::DOUBLE)) ELSE 1 END", "budget_left", 4)},
   (c_acctbal > 0 AND today <= c_acctbal * -0.03::DOUBLE) OR ddp >= 10 AS gated,
-  {R("CASE WHEN c_acctbal > 0 AND greatest(0, CASE WHEN rr > 0 THEN wr - (1 - wr) / rr END) / 4 * c_acctbal > 0 THEN greatest(0, CASE WHEN rr > 0 THEN wr - (1 - wr) / rr END) / 4 * c_acctbal / 500 END", "edge_lot", 4)}
+  {R("CASE WHEN c_acctbal > 0 AND greatest(0, CASE WHEN rr > 0 THEN wr - (1 - wr) / rr END) / 4 * c_acctbal > 0 THEN greatest(0, CASE WHEN rr > 0 THEN wr - (1 - wr) / rr END) / 4 * c_acctbal / 500 END", "edge_lot", 4)},
+  max_win_streak, max_loss_streak
 FROM customer CROSS JOIN perf""")
 def account_kpi_rows(spark, sf_dir):
     trades = _stored_trades(spark, sf_dir)
@@ -277,13 +281,14 @@ def account_kpi_rows(spark, sf_dir):
                       of("90d", "win_rate").alias("wr"), of("90d", "risk_reward").alias("rr"))
     today = PF.today_pnl(trades, S.open_positions(spark, sf_dir), S.now()).select(
         F.col("today_total_pnl").alias("today"))
-    # three one-row frames beside every account
-    perf = row.crossJoin(draw).crossJoin(today)
+    runs = PF.streaks(ranged.where("range_label = '90d'")).select("max_win_streak", "max_loss_streak")
+    # four one-row frames beside every account
+    perf = row.crossJoin(draw).crossJoin(today).crossJoin(runs)
     accounts = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("login"), F.col("c_acctbal").alias("balance"))
     b, t = F.col("balance"), F.col("today")
     out = accounts.crossJoin(F.broadcast(perf)).select(
         "login", "balance", "today", "net_7d", "net_30d", "max_drawdown_pct", risk.daily_budget_left(b, t).alias("budget_left"),
-        risk.risk_gated(b, t, F.col("max_drawdown_pct")).alias("gated"), risk.edge_lot(F.col("wr"), F.col("rr"), b, F.lit(50)).alias("edge_lot"))
+        risk.risk_gated(b, t, F.col("max_drawdown_pct")).alias("gated"), risk.edge_lot(F.col("wr"), F.col("rr"), b, F.lit(50)).alias("edge_lot"), "max_win_streak", "max_loss_streak")
     return rounded(out, 4)
 
 

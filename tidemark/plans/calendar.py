@@ -75,7 +75,11 @@ sec AS (SELECT time AS release_ts, upper(currency) AS currency, name AS title, '
   WHERE importance = 3 AND upper(currency) IN ({", ".join(f"'{c}'" for c in dims.FIAT_CURRENCIES)}) AND {_likes("name", dims.EVENT_KEYWORDS)} AND time > 0)"""
 
 
-def _secondary(spark, sf_dir):
+#: An instant inside the stand-in's release times.
+SECONDARY_NOW = "1970-02-10 00:00:00"
+
+
+def _secondary(spark, sf_dir, now=None):
     li = S.table(spark, sf_dir, "lineitem")
     values = li.select(
         F.col("l_partkey").alias("event_id"), ((F.col("l_orderkey") - 20) * 3600 + F.col("l_linenumber")).alias("time"),
@@ -86,7 +90,7 @@ def _secondary(spark, sf_dir):
         F.concat_ws(" ", S.pick(S.PHRASES, F.col("p_partkey")), F.col("p_name")).alias("name"))
     countries = S.table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("country_id"), S.pick(S.FEED_COUNTRIES, F.col("n_nationkey")).alias("currency"))
-    return C.secondary_calendar(values, events, countries)
+    return C.secondary_calendar(values, events, countries, now=now)
 
 
 @query("secondary_calendar_events", f"WITH {SECONDARY} SELECT {COLS} FROM sec")
@@ -94,6 +98,13 @@ def secondary_calendar_events(spark, sf_dir):
     return rounded(_secondary(spark, sf_dir))
 
 
+@query("secondary_calendar_window", f"""WITH {SECONDARY} SELECT {COLS} FROM sec
+WHERE release_ts BETWEEN epoch_us(TIMESTAMP '{SECONDARY_NOW}') // 1000000 - 3600 AND epoch_us(TIMESTAMP '{SECONDARY_NOW}') // 1000000 + 7 * 86400""")
+def secondary_calendar_window(spark, sf_dir):
+    """Releases of the secondary feed from an hour back to seven days ahead."""
+    return rounded(_secondary(spark, sf_dir, F.lit(SECONDARY_NOW).cast("timestamp")))
+
+
 @query("merged_calendar", f"""WITH {RAW}, {SECONDARY}, u AS (SELECT 0 AS p, {COLS} FROM feed UNION ALL SELECT 1, {COLS} FROM sec)
 SELECT {COLS} FROM u QUALIFY row_number() OVER (PARTITION BY release_ts, currency, title ORDER BY p, impact, forecast, previous, actual, source, source_url) = 1""")
 def merged_calendar(spark, sf_dir):
