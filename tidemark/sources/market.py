@@ -37,8 +37,3 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 def bars_in_days(bars: DataFrame, start: Column, end: Column) -> DataFrame:
     """Both the partition column and the time are bounded: partitions prune, row groups skip."""
     return bars.where(F.col("day").between(F.to_date(start), F.to_date(end)) & F.col("bar_time").between(start, end))
-
-
-def deals_between(deals: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Deal history: lower bound inclusive, upper exclusive."""
-    return deals.where((F.col("time") >= start) & (F.col("time") < end))
