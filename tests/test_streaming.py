@@ -79,3 +79,12 @@ def test_late_rows_are_kept_apart(spark):
     mark = F.lit(START + dt.timedelta(hours=3))
     on_time, late = jobs.split_late(df, mark)
     assert on_time.count() + late.count() == 20 and late.count() > 0
+
+
+def test_upsert_keeps_the_newest_versions(spark, tmp_path):
+    sink = jobs.upsert_latest(str(tmp_path), "symbol", "seq")
+    for epoch in range(5):
+        sink(spark.createDataFrame([("A", START, epoch, float(epoch)), (f"S{epoch}", START, epoch, 1.0)], TICK), epoch)
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("version=")) == ["version=3", "version=4"]
+    got = {r.symbol: r.price for r in jobs.latest_version(spark, str(tmp_path)).collect()}
+    assert got == {"A": 4.0, **{f"S{i}": 1.0 for i in range(5)}}

@@ -51,6 +51,8 @@ def split_late(ticks: DataFrame, watermark: Column) -> tuple[DataFrame, DataFram
 
 # ------------------------------------------------------------------------------------------------ causal indicators
 
+#: Versions that a sink of latest rows leaves behind.
+KEPT_VERSIONS = 2
 INDICATOR_SCHEMA = (
     "symbol string, tf string, bar_time timestamp, close double, ema double, atr double, rsi double, di_plus double, di_minus double, adx double")
 STATE_SCHEMA = "n bigint, high double, low double, close double, ys array<double>"
@@ -138,7 +140,7 @@ def upsert_latest(path: str, key: str, order: str) -> Callable[[DataFrame, int],
     """foreachBatch sink: latest row per key, versioned by batch; a replayed batch rewrites its own version.
 
     Each version is a complete table under ``path/version=<batch>``; readers take the newest. The table has one row per
-    key, so rewriting it is bounded by the number of keys.
+    key, so rewriting it is bounded by the number of keys. The newest ``KEPT_VERSIONS`` stay, for readers that have begun.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -149,17 +151,23 @@ def upsert_latest(path: str, key: str, order: str) -> Callable[[DataFrame, int],
             both = held.select(*newest.columns).unionByName(newest)
             newest = both.groupBy(key).agg(F.max_by(F.struct(*newest.columns), order).alias("r")).select("r.*")
         newest.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        fs, versions = _versions(spark, path)
+        for old in versions[:-KEPT_VERSIONS]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
 
     return write
 
 
-def latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Newest complete version written by :func:`upsert_latest`, found by its success marker."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+def _versions(spark: SparkSession, path: str) -> tuple[Any, list[int]]:
+    """The file system of ``path``, and the complete versions there, found by their success markers, oldest first."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     marks = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS"))
-    versions = sorted(int(str(m.getPath().getParent().getName()).split("=")[1]) for m in (marks or []))
-    versions = [v for v in versions if before is None or v < before]
+    return fs, sorted(int(str(m.getPath().getParent().getName()).split("=")[1]) for m in (marks or []))
+
+
+def latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Newest complete version written by :func:`upsert_latest`."""
+    versions = [v for v in _versions(spark, path)[1] if before is None or v < before]
     return spark.read.parquet(f"{path}/version={versions[-1]}") if versions else None
 
 
