@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from conftest import make_bars, stamp
 from pyspark.sql import functions as F
@@ -109,3 +110,18 @@ def test_structure_levels(spark):
     wide = X.confluence(close, spark.createDataFrame([("S", 8.0)], "symbol string, atr double")).collect()
     assert wide and all(r.zone_high - r.zone_low <= 8.0 * 0.3 and r.n_levels == 3 for r in wide)
     assert X.confluence(close, spark.createDataFrame([("S", 4.0)], "symbol string, atr double")).count() == 0
+
+
+def test_swings_and_patterns_across_stretches(spark, monkeypatch):
+    from tidemark.operators import scan
+    rng = np.random.default_rng(8)
+    closes = 100 + rng.normal(size=300).round(1).cumsum()
+    bars = make_bars(spark, closes, highs=list(closes + rng.random(300)), lows=list(closes - rng.random(300)), skip=range(40, 45))
+    rows = bars.withColumn("rsi", F.pmod(F.col("close") * 7, F.lit(100.0)))
+    whole = [sorted(map(str, f(rows).collect())) for f in (X.swing_points, X.bar_patterns, X.rsi_divergence)]
+    cut = []
+    for f in (X.swing_points, X.bar_patterns, X.rsi_divergence):
+        with monkeypatch.context() as m:
+            m.setattr(scan.with_neighbours, "__kwdefaults__", {**scan.with_neighbours.__kwdefaults__, "span": 7})
+            cut.append(sorted(map(str, f(rows).collect())))
+    assert cut == whole and all(whole)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from itertools import chain as _flatten
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from tidemark.dims import TF_SECONDS
 from tidemark.session import durable
 
 CELL = 256
+#: Rows of a series that a task looks around in.
+SPAN = 4096
 SERIES = ("symbol", "tf")
 
 
@@ -34,6 +36,21 @@ def with_cell(bars: DataFrame, time: str = "bar_time", tf: str = "tf") -> DataFr
     return bars.withColumn("cell", F.floor(slot / F.lit(CELL)))
 
 
+def with_neighbours(chained: DataFrame, before: int, after: int = 0, *, keys: Sequence[str] = SERIES, span: int = SPAN) -> tuple[DataFrame, WindowSpec]:
+    """Rows numbered by :func:`chain`, cut in stretches of ``span``, and the window to look around in them.
+
+    A stretch also receives the last ``before`` rows ahead of it and the first ``after`` rows behind it, so ``lag`` and ``lead`` of
+    that reach are right for its own rows, which ``_own`` marks, and no task needs a whole series.
+    """
+    at, off = F.floor(F.col("idx") / span), F.col("idx") % span
+    copies = F.array_compact(F.array(
+        F.struct(at.alias("at"), F.lit(True).alias("own")),
+        F.when(off >= span - before, F.struct((at + 1).alias("at"), F.lit(False).alias("own"))),
+        F.when((off < after) & (at > 0), F.struct((at - 1).alias("at"), F.lit(False).alias("own")))))
+    dealt = chained.select("*", F.explode(copies).alias("_c")).select("*", F.col("_c.at").alias("_stretch"), F.col("_c.own").alias("_own")).drop("_c")
+    return dealt, Window.partitionBy(*keys, "_stretch").orderBy("idx")
+
+
 def chain(df: DataFrame, prev: Sequence[str] = (), *, keys: Sequence[str] = SERIES, order: str = "bar_time",
           cell: str | None = "cell", stored: bool = False) -> DataFrame:
     """Add ``idx`` (0-based position in the series), ``n`` (series length) and ``prev_<col>`` columns.

@@ -11,7 +11,7 @@ from tidemark import dims
 from tidemark.functions import lines as L
 from tidemark.functions.clock import jst
 from tidemark.functions.price import split_pair
-from tidemark.operators.scan import SERIES, chain, with_cell
+from tidemark.operators.scan import SERIES, chain, with_cell, with_neighbours
 
 
 def lines_at_bars(bars: DataFrame, lines: DataFrame) -> DataFrame:
@@ -66,14 +66,15 @@ def round_levels(prices: DataFrame, step: Column, price: str = "close") -> DataF
 
 def swing_points(bars: DataFrame, wing: int = 2) -> DataFrame:
     """Fractals: a high above, or a low below, the ``wing`` bars on both sides. One bar per grid slot per series."""
-    w = Window.partitionBy(*SERIES).orderBy("bar_time")
+    clean = bars.drop("cell", "idx", "n")
+    near, w = with_neighbours(chain(with_cell(clean)), wing, wing)
     highs = [f("high", i).over(w) for f in (F.lag, F.lead) for i in range(1, wing + 1)]
     lows = [f("low", i).over(w) for f in (F.lag, F.lead) for i in range(1, wing + 1)]
-    marked = bars.select("*", F.greatest(*highs).alias("_nh"), F.least(*lows).alias("_nl"),
+    marked = near.select("*", F.greatest(*highs).alias("_nh"), F.least(*lows).alias("_nl"),
                          F.lag("high", wing).over(w).alias("_b"), F.lead("high", wing).over(w).alias("_a"))
-    whole = F.col("_b").isNotNull() & F.col("_a").isNotNull()
+    whole = F.col("_own") & F.col("_b").isNotNull() & F.col("_a").isNotNull()
     return marked.where(whole).select(
-        *bars.columns, (F.col("high") > F.col("_nh")).alias("swing_high"), (F.col("low") < F.col("_nl")).alias("swing_low"),
+        *clean.columns, (F.col("high") > F.col("_nh")).alias("swing_high"), (F.col("low") < F.col("_nl")).alias("swing_low"),
     ).where("swing_high OR swing_low")
 
 
@@ -118,8 +119,8 @@ def confluence(levels: DataFrame, atr: DataFrame, width: float = dims.CONFLUENCE
 
 def bar_patterns(bars: DataFrame) -> DataFrame:
     """Pin bars, engulfing, inside bar, inside-bar break and three-bar reversal, one row per pattern and bar."""
-    w = Window.partitionBy(*SERIES).orderBy("bar_time")
-    lagged = bars.select("*", *[F.lag(c, i).over(w).alias(f"_{c}{i}") for i in (1, 2) for c in ("open", "high", "low", "close")])
+    near, w = with_neighbours(chain(with_cell(bars.drop("cell", "idx", "n"))), 2)
+    lagged = near.select("*", *[F.lag(c, i).over(w).alias(f"_{c}{i}") for i in (1, 2) for c in ("open", "high", "low", "close")]).where("_own")
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     o1, h1, l1, c1 = (F.col(f"_{x}1") for x in ("open", "high", "low", "close"))
     o2, h2, l2, c2 = (F.col(f"_{x}2") for x in ("open", "high", "low", "close"))
@@ -212,9 +213,10 @@ def touch_tier(distance: Column, atr: Column) -> Column:
 def rsi_divergence(rows: DataFrame) -> DataFrame:
     """Consecutive swing highs (lows) where price and RSI disagree. ``rows``: bars with rsi."""
     swings = swing_points(rows).where(F.col("rsi").isNotNull())
-    w = Window.partitionBy(*SERIES).orderBy("bar_time")
-    high = swings.where("swing_high").withColumn("_p", F.lag("high").over(w)).withColumn("_r", F.lag("rsi").over(w)).where(
-        (F.col("high") > F.col("_p")) & (F.col("rsi") < F.col("_r"))).select(*SERIES, "bar_time", F.lit("bearish").alias("divergence"))
-    low = swings.where("swing_low").withColumn("_p", F.lag("low").over(w)).withColumn("_r", F.lag("rsi").over(w)).where(
-        (F.col("low") < F.col("_p")) & (F.col("rsi") > F.col("_r"))).select(*SERIES, "bar_time", F.lit("bullish").alias("divergence"))
-    return high.unionByName(low)
+
+    def turns(kind: str, price: str, apart: Column, name: str) -> DataFrame:
+        own = swings.where(kind).select(*SERIES, "bar_time", price, "rsi")
+        return chain(with_cell(own), (price, "rsi")).where(apart).select(*SERIES, "bar_time", F.lit(name).alias("divergence"))
+
+    high = turns("swing_high", "high", (F.col("high") > F.col("prev_high")) & (F.col("rsi") < F.col("prev_rsi")), "bearish")
+    return high.unionByName(turns("swing_low", "low", (F.col("low") < F.col("prev_low")) & (F.col("rsi") > F.col("prev_rsi")), "bullish"))
