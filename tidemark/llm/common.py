@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from tidemark.session import work_dir
 
 #: Bytes that end a word: space and the controls tab to carriage return. bytes.split() without an argument cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
+BATCH = "8m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with batches of bounded size, however long the texts: `BATCH` unless the session sets a size of its own."""
+    conf = df.sparkSession.conf
+    conf.set(_BATCH_SETTING, conf.get(_BATCH_SETTING, BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions for keyed work: the session's setting, which a cluster sizes to its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread, staged
+from tidemark.llm.common import in_batches, spread, staged
 
 #: Tokens in a chunk, and tokens of the corpus per bucket.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BUCKET = 1 << 20
 WEIGHT = 10.0
 ADD = 0.5
@@ -100,10 +100,10 @@ def own_counts(piece: np.ndarray, x: np.ndarray, different: int) -> np.ndarray:
 
 
 def _chunks(batches: Iterable[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """Rows chunk, rows (document numbers), ids, sizes, target, tokens, vocabulary from rows id, target, text."""
+    """Rows chunk, rows (document numbers), ids, sizes, tokens, vocabulary from rows id, text."""
     part = TaskContext.get().partitionId() << 40
     number = {}
-    held: dict[str, list] = {"row": [], "id": [], "size": [], "target": [], "tokens": []}
+    held: dict[str, list] = {"row": [], "id": [], "size": [], "tokens": []}
     total, at, row = 0, part, part
 
     def full() -> pa.RecordBatch:
@@ -113,17 +113,16 @@ def _chunks(batches: Iterable[pa.RecordBatch], chunk: int) -> Iterator[pa.Record
         tokens = place[np.concatenate(held["tokens"])]
         return pa.RecordBatch.from_arrays(
             [pa.array([at], pa.int64()), pa.array([held["row"]], pa.list_(pa.int64())), pa.array([held["id"]], pa.list_(pa.int64())),
-             pa.array([held["size"]], pa.list_(pa.int64())), pa.array([held["target"]], pa.list_(pa.bool_())),
-             pa.array([pack(tokens)], pa.binary()), pa.array([pack_sorted(vocabulary)], pa.binary())],
-            names=["chunk", "rows", "ids", "sizes", "target", "tokens", "vocabulary"])
+             pa.array([held["size"]], pa.list_(pa.int64())), pa.array([pack(tokens)], pa.binary()), pa.array([pack_sorted(vocabulary)], pa.binary())],
+            names=["chunk", "rows", "ids", "sizes", "tokens", "vocabulary"])
 
-    for batch in batches:
-        for id_, target, text in zip(*(c.to_pylist() for c in batch.columns)):
+    for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
+        for id_, text in zip(*(c.to_pylist() for c in batch.columns)):
             words = [None, *(text or b"").split()]
             for lo in range(0, max(len(words) - 1, 1), chunk):
                 piece = words[lo : lo + chunk + 1]
                 tokens = np.fromiter((number.setdefault(w, len(number)) for w in piece), np.int64, len(piece))
-                for k, v in (("row", row), ("id", id_), ("size", len(piece)), ("target", target), ("tokens", tokens)):
+                for k, v in (("row", row), ("id", id_), ("size", len(piece)), ("tokens", tokens)):
                     held[k].append(v)
                 total += len(piece)
                 if total >= chunk:
@@ -136,29 +135,35 @@ def _chunks(batches: Iterable[pa.RecordBatch], chunk: int) -> Iterator[pa.Record
 
 
 def _chunk_of(row: dict) -> Chunk:
-    return Chunk(unpack(row["tokens"]).astype(np.int64), np.array(row["sizes"], np.int64), np.array(row["target"], bool),
-                 unpack_sorted(row["vocabulary"]))
+    target = np.zeros(len(row["sizes"]), bool)
+    target[row["marked"] or []] = True
+    return Chunk(unpack(row["tokens"]).astype(np.int64), np.array(row["sizes"], np.int64), target, unpack_sorted(row["vocabulary"]))
 
 
-def entropy_difference(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", target: str = "target", weight: float = WEIGHT,
+def entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", weight: float = WEIGHT,
                        add: float = ADD, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every row; losses are means over the tokens of the whole text.
 
-    `target` is a boolean column that marks the target's documents; null counts as false. The background is all documents. Words are runs
-    of non-blank bytes, as they are written. Texts without words, null ones included, have 0 tokens, losses and score. Repeated rows count
-    and are scored repeatedly; other columns are ignored; an empty table gives none. If no document is marked, the target model is uniform.
+    The target is the documents whose ids are in column `doc_id` of `targets` (null matches none, repeated ids once), the background is all
+    documents. Words are runs of non-blank bytes, as they are written. Texts without words, null ones included, have 0 tokens, losses and
+    score. Repeated rows count and are scored repeatedly; other columns are ignored; an empty table gives none. Without target documents
+    the target model is uniform.
     """
     spark = docs.sparkSession
-    frame = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(target), F.lit(False)).alias("target"),
-                        F.col(text).cast("binary").alias("text"))
-    held = staged(frame.mapInArrow(lambda b: _chunks(b, chunk), "chunk bigint, rows array<bigint>, ids array<bigint>, sizes array<bigint>, "
-                                                                "target array<boolean>, tokens binary, vocabulary binary"), "lm-chunks")
-    tokens = held.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+    frame = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
+    cut = staged(in_batches(frame, lambda b: _chunks(b, chunk), "chunk bigint, rows array<bigint>, ids array<bigint>, sizes array<bigint>, "
+                                                               "tokens binary, vocabulary binary"), "lm-chunks")
+    # the target's places in each chunk: written first, so that the join is planned by its size
+    wanted = targets.select(F.col(doc_id).cast("bigint").alias("id")).distinct()
+    places = cut.select("chunk", F.posexplode("ids").alias("place", "id")).join(wanted, "id", "left_semi")
+    marked = staged(places.groupBy("chunk").agg(F.sort_array(F.collect_list("place")).alias("marked")), "lm-marked")
+    held = cut.join(marked, "chunk", "left")
+    tokens = cut.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(4 * spread(spark), -(-tokens // bucket))
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 rows = []
                 for kind, keys, counts in _chunk_of(row).requests():
                     at = bucket_of(keys, buckets)
@@ -168,8 +173,8 @@ def entropy_difference(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary())))],
                                                  names=["bucket", "chunk", "kind", "keys", "counts"])
 
-    asked = held.select("chunk", "sizes", "target", "tokens", "vocabulary").mapInArrow(
-        ask, "bucket bigint, chunk bigint, kind int, keys binary, counts array<binary>")
+    asked = in_batches(held.select("chunk", "sizes", "marked", "tokens", "vocabulary"),
+                       ask, "bucket bigint, chunk bigint, kind int, keys binary, counts array<binary>")
 
     def answer(group: pa.Table) -> pa.Table:
         bucket_, rows = group.column("bucket")[0].as_py(), group.drop_columns("bucket").to_pylist()

@@ -87,9 +87,8 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target (labelled quality 1) against background (all documents) entropy of every document."""
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    return lm_score.entropy_difference(docs)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.entropy_difference(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
