@@ -156,8 +156,20 @@ JST_SECONDS = 9 * 3600
 
 # --- specified structure levels
 SESSIONS_JST = (("asia", 7, 16), ("europe", 16, 22), ("newyork", 21, 30))
-ROUND_STEP_DEFAULT = 50.0
+ROUND_STEP_DEFAULT, ROUND_STEP_GOLD, ROUND_STEP_YEN, ROUND_STEP_MAJOR = 50.0, 50.0, 0.5, 0.01
 CONFLUENCE_ATR = 0.3
 TOUCH_TIERS_ATR = (0.1, 0.3, 0.5)
 STRENGTH_WINDOWS_SEC = {"H1": 3600, "H4": 14400, "D1": 86400, "W1": 604800}
 CORRELATION_WINDOWS = (20, 100, 500)
+
+# --- labels and patterns of the sources
+NO_DIRECTION = "—"
+GOLD_RATES_UP, GOLD_RATES_DOWN = "米金利上昇=金に逆風", "米金利低下=金に追風"
+RATE_ADVANTAGE, NO_RATE_GAP = "金利優位", "金利差なし"
+HTML_ROW = r"(?i)(\d{4}/\d{2}/\d{2})\s*</[^>]+>\s*<[^>]+>\s*(-?\d+(?:\.\d+)?|NA)"
+API_KEY = "(api_key=)[^&\\s\"']+"
+SLUG_REST = "[^A-Za-z0-9._-]+"
+FUTURES_NAME = "_([FGHJKMNQUVXZ])(\\d{1,2})$"
+
+# --- refresh cadence per domain, in seconds
+CADENCE_SEC = {"price": 0.5, "analysis": 5.0, "history": 60.0, "calendar": 3600.0, "macro": 21600.0, "live_yield": 30.0}

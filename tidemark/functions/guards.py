@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.dims import API_KEY, SLUG_REST
+
 
 def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
@@ -32,12 +34,12 @@ def one_decimal(c: Column) -> Column:
 
 def redact(c: Column) -> Column:
     """Hide the value of an ``api_key=`` parameter."""
-    return F.regexp_replace(c, "(api_key=)[^&\\s\"']+", "$1***")
+    return F.regexp_replace(c, API_KEY, "$1***")
 
 
 def path_slug(c: Column) -> Column:
     """A server name as one safe path segment."""
-    cleaned = F.regexp_replace(F.trim(F.coalesce(F.when(c != "", c), F.lit("unknown"))), "[^A-Za-z0-9._-]+", "_")
+    cleaned = F.regexp_replace(F.trim(F.coalesce(F.when(c != "", c), F.lit("unknown"))), SLUG_REST, "_")
     dotted = F.replace(cleaned, F.lit(".."), F.lit("_"))
     return F.when(dotted == "", F.lit("unknown")).otherwise(dotted)
 

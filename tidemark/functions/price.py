@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.dims import DEFAULT_PIP_PRICE, FUTURES_MONTH_CODES, PIP_PRICE
+from tidemark.dims import DEFAULT_PIP_PRICE, FUTURES_MONTH_CODES, FUTURES_NAME, PIP_PRICE
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -82,8 +82,8 @@ def split_pair(pair: Column) -> tuple[Column, Column]:
 
 def contract_month(name: Column, now: Column) -> Column:
     """Expiry of a futures name ``..._<month code><1-2 year digits>`` as ``year*100 + month``; null if it has none."""
-    code = F.regexp_extract(F.upper(name), "_([FGHJKMNQUVXZ])(\\d{1,2})$", 1)
-    digits = F.regexp_extract(F.upper(name), "_([FGHJKMNQUVXZ])(\\d{1,2})$", 2)
+    code = F.regexp_extract(F.upper(name), FUTURES_NAME, 1)
+    digits = F.regexp_extract(F.upper(name), FUTURES_NAME, 2)
     year_now = F.year(now)
     single = F.floor(year_now / 10) * 10 + digits.try_cast("int")
     year = F.when(F.length(digits) == 1, F.when(single < year_now - 1, single + 10).otherwise(single)).otherwise(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import dims
 from tidemark.dims import FALLBACK_AFTER_FAILURES, REAL_YIELD_DEAD_BAND, REAL_YIELD_POINTS
 from tidemark.functions.price import split_pair
 from tidemark.operators.ordering import asof_join
@@ -78,10 +79,10 @@ def pair_bias(pairs: DataFrame, rates: DataFrame) -> DataFrame:
     known = F.when(gold, F.col("_usd").isNotNull()).otherwise(F.col("_b").isNotNull() & F.col("_q").isNotNull())
     direction = F.when(gold, -F.signum(diff)).otherwise(F.signum(diff)).cast("int")
     label = (
-        F.when(~known, "—")
-        .when(gold & (diff > 0), "米金利上昇=金に逆風").when(gold & (diff < 0), "米金利低下=金に追風").when(gold, "—")
-        .when(diff > 0, F.concat("base_ccy", F.lit("金利優位"))).when(diff < 0, F.concat("quote_ccy", F.lit("金利優位")))
-        .otherwise("金利差なし")
+        F.when(~known, dims.NO_DIRECTION)
+        .when(gold & (diff > 0), dims.GOLD_RATES_UP).when(gold & (diff < 0), dims.GOLD_RATES_DOWN).when(gold, dims.NO_DIRECTION)
+        .when(diff > 0, F.concat("base_ccy", F.lit(dims.RATE_ADVANTAGE))).when(diff < 0, F.concat("quote_ccy", F.lit(dims.RATE_ADVANTAGE)))
+        .otherwise(dims.NO_RATE_GAP)
     )
     return joined.select("pair", "base_ccy", "quote_ccy", diff.alias("differential"), direction.alias("macro_dir"),
                          label.alias("label"))

@@ -59,6 +59,12 @@ def previous_period_levels(bars: DataFrame) -> DataFrame:
                       F.lag("_l").over(w).alias("prev_low")).where(F.col("prev_high").isNotNull())
 
 
+def round_step(pair: Column) -> Column:
+    """Distance of round numbers by symbol: gold, yen crosses, other six-letter pairs; the default for the rest."""
+    return (F.when(pair.startswith("XAU"), dims.ROUND_STEP_GOLD).when(pair.endswith("JPY"), dims.ROUND_STEP_YEN)
+            .when(F.length(pair) == 6, dims.ROUND_STEP_MAJOR).otherwise(dims.ROUND_STEP_DEFAULT))
+
+
 def round_levels(prices: DataFrame, step: Column, price: str = "close") -> DataFrame:
     p = F.col(price)
     return prices.withColumn("round_below", F.floor(p / step) * step).withColumn("round_above", F.ceil(p / step) * step)

@@ -114,9 +114,16 @@ def previous_period_levels(spark, sf_dir):
     return rounded(G.previous_period_levels(S.bars(spark, sf_dir, "D1")))
 
 
-@query("round_number_levels", f"""WITH {BARS} SELECT symbol, t AS bar_time, floor("close" / 50) * 50::DOUBLE AS round_below, ceil("close" / 50) * 50::DOUBLE AS round_above FROM bars WHERE tf = 'H1'""")
+#: Stand-in symbols as instruments with steps of every kind; `view` stays a symbol without a listed step.
+STEPPED = {"click": "XAUUSD", "error": "USDJPY", "purchase": "GBPUSD", "signup": "EURJPY"}
+
+
+@query("round_number_levels", f"""WITH {BARS},
+st AS (SELECT *, CASE symbol WHEN 'click' THEN 50::DOUBLE WHEN 'error' THEN 0.5::DOUBLE WHEN 'purchase' THEN 0.01::DOUBLE WHEN 'signup' THEN 0.5::DOUBLE ELSE 50::DOUBLE END AS step FROM bars WHERE tf = 'H1')
+SELECT symbol, t AS bar_time, {R('floor("close" / step) * step', "round_below")}, {R('ceil("close" / step) * step', "round_above")} FROM st""")
 def round_number_levels(spark, sf_dir):
-    out = G.round_levels(S.bars(spark, sf_dir, "H1"), F.lit(dims.ROUND_STEP_DEFAULT))
+    pairs = F.create_map(*[x for k, v in STEPPED.items() for x in (F.lit(k), F.lit(v))])
+    out = G.round_levels(S.bars(spark, sf_dir, "H1"), G.round_step(F.coalesce(F.try_element_at(pairs, F.col("symbol")), F.col("symbol"))))
     return rounded(out.select("symbol", "bar_time", "round_below", "round_above"))
 
 

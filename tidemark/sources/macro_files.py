@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.dims import HTML_ROW
 from tidemark.functions.guards import to_double
 
 OBSERVATIONS = "observations array<struct<date: string, value: string>>"
@@ -24,7 +25,6 @@ POSITIONING_FIELDS = {
 }
 # commas inside double quotes do not separate fields
 CSV_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-HTML_ROW = r"(?i)(\d{4}/\d{2}/\d{2})\s*</[^>]+>\s*<[^>]+>\s*(-?\d+(?:\.\d+)?|NA)"
 
 
 def _dated(rows: DataFrame, keys: Sequence[str], day: Column, value: Column) -> DataFrame:

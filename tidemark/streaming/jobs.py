@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.dims import ADX_PERIOD, ATR_PERIOD, RSI_PERIOD, TF_SECONDS, TREND_EMA_PERIOD
+from tidemark.dims import ADX_PERIOD, ATR_PERIOD, CADENCE_SEC, RSI_PERIOD, TF_SECONDS, TREND_EMA_PERIOD
 from tidemark.operators.bars import arrival_key
 
-CADENCE_SEC = {"price": 0.5, "analysis": 5.0, "history": 60.0, "calendar": 3600.0, "macro": 21600.0, "live_yield": 30.0}
-
 
 def tick_stream(spark: SparkSession, path: str, schema: str | T.StructType, **options: str) -> DataFrame:
     """File-drop source. Zone-free timestamps are UTC and are cast, since a watermark needs zoned time."""
