@@ -21,16 +21,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import mixed, spread, staged, whole_groups
+from tidemark.llm.common import in_batches, mixed, spread, staged, whole_groups
 from tidemark.llm.components import components
 
 BITS = 64
 SEGMENTS = 32
 _LOW = np.uint64(0x5555555555555555)
+#: Bits of a row's number that hold its place in its partition.
+PLACE_BITS = 40
 #: Rows of a cell that meet in one task.
 BLOCK = 2048
 #: Shingles whose bits are summed at a time.
@@ -70,23 +73,27 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42, words: int =
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", width: int = 4, seed: int = 42, words: int = 1,
-                 repeats: bool = True, keep_text: bool = False) -> DataFrame:
+                 repeats: bool = True, keep_text: bool = False, row: str | None = None) -> DataFrame:
     """All columns but the text (that too with `keep_text`), and the fingerprint's words as signed bigints `out`, `out`1, `out`2 and so on.
 
-    Null and empty texts have fingerprint 0.
+    Null and empty texts have fingerprint 0. With `row`, a column of that name numbers the rows: the partition in the high bits, the place
+    in it in the low 40; the numbers hold once the result is written.
     """
-    names = [out, *(f"{out}{j}" for j in range(1, words))]
+    names = [out, *(f"{out}{j}" for j in range(1, words)), *([row] if row else [])]
     kept = [c for c in docs.columns if c not in names and (keep_text or c != text)]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias(out))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << PLACE_BITS
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
             prints = np.array([fingerprint(t, width, seed, words, repeats) for t in texts], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(prints[:, j]) for j in range(words))], names=[*kept, *names])
+            added = [pa.array(prints[:, j]) for j in range(words)] + ([pa.array(range(at, at + len(texts)), pa.int64())] if row else [])
+            at += len(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], names=[*kept, *names])
 
     schema = T.StructType([*frame.drop(out).schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
-    return frame.mapInArrow(run, schema)
+    return in_batches(frame, run, schema)
 
 
 def embedding(fp: str | Column) -> Column:
@@ -214,16 +221,29 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
               words: int = 4, grids: int = 7, still: int = 2) -> DataFrame:
     """One row of each group of near copies, with the columns of `docs`: a row with the group's smallest id.
 
-    Near copies share about `likeness` or more of their different shingles, as fingerprints of `words` words tell: at most the expected number of
-    differing bits and `slack`. Where a group repeats its smallest id, one of these rows with the least fingerprint stays. Null ids come
-    after all others; null and empty texts are copies of each other. An empty table gives none.
+    Near copies share about `likeness` or more of their different shingles, as fingerprints of `words` words tell: at most the expected number
+    of differing bits and `slack`. Of several rows with a group's smallest id the first one stays. Null ids come after all others; null and
+    empty texts are copies of each other. An empty table gives none.
+
+    The texts are written once with their fingerprints and never shuffled: what goes is listed by the place of its rows in their partition,
+    and that list is joined back by its size.
     """
     names = [f"_fp{j or ''}" for j in range(words)]
-    prints = staged(fingerprints(docs.drop(*names), text, "_fp", width, seed, words, repeats=False, keep_text=True), "simhash-rows")
-    own = prints.select(F.col(doc_id).alias("doc"), *names)
+    numbered = fingerprints(docs.drop(*names, "_row"), text, "_fp", width, seed, words, repeats=False, keep_text=True, row="_row")
+    rows = staged(numbered, "simhash-rows")
+    own = rows.select(F.col(doc_id).alias("doc"), F.col("_row").alias("row"), *names)
     found = own.join(grouped(own, names, "doc", distance_of(likeness, BITS * words) + slack, grids, still), names)
-    found = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).withColumn("print", F.xxhash64(*names))
-    chosen = found.groupBy("root").agg(F.min("print").alias("_print"), F.min("doc").alias("_doc"))
-    rows = prints.withColumn("_print0", F.xxhash64(*names))
-    kept = rows.join(chosen, (F.col("_print0") == F.col("_print")) & F.col(doc_id).eqNullSafe(F.col("_doc"))).dropDuplicates([doc_id, "_print0"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("first"))
+    going = found.join(first, "root").where("row != first").select(part("row").alias("_part"), place("row").alias("place"))
+    gone = staged(going.groupBy("_part").agg(F.sort_array(F.collect_list("place")).alias("_gone")), "simhash-gone")
+    kept = rows.withColumn("_part", part("_row")).join(gone, "_part", "left")
+    stays = ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), place("_row"))
+    return kept.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def part(row: str) -> Column:
+    return F.shiftright(F.col(row), PLACE_BITS)
+
+
+def place(row: str) -> Column:
+    return F.col(row).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
