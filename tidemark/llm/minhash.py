@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import mixed, spread, with_field
+from tidemark.llm.common import in_batches, mixed, spread, with_field
 
 WIDTH = 5
 BINS = 1024
@@ -141,7 +141,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=[*kept, out])
 
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])
-    return frame.mapInArrow(run, with_field(frame, out, T.StringType()))
+    return in_batches(frame, run, with_field(frame, out, T.StringType()))
 
 
 NEIGHBOUR_SCHEMA = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -199,7 +199,7 @@ def neighbour_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=_NEIGHBOUR)
 
-    return dealt.mapInArrow(run, NEIGHBOUR_SCHEMA)
+    return in_batches(dealt, run, NEIGHBOUR_SCHEMA)
 
 
 _NEIGHBOUR = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),

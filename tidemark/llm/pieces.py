@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import with_field
+from tidemark.llm.common import in_batches, with_field
 
 BLANK = "▁"
 #: Stretches remembered per Python worker; the table starts anew when it is full.
@@ -137,7 +137,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<i4")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*kept, out])
 
-    return frame.mapInArrow(run, with_field(frame, out, T.ArrayType(T.IntegerType())))
+    return in_batches(frame, run, with_field(frame, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -156,4 +156,4 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
                 there = lists.is_valid().to_pylist()
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t if v else None for t, v in zip(texts, there)], pa.string())], names=[*kept, out])
 
-    return frame.mapInArrow(run, with_field(frame, out, T.StringType()))
+    return in_batches(frame, run, with_field(frame, out, T.StringType()))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import staged, with_field
+from tidemark.llm.common import in_batches, staged, with_field
 
 THRESHOLD = 0.7
 #: Labelled rows that the fit may use at most; the first so many in the order of a hash of their ids.
@@ -72,7 +72,7 @@ def add_features(docs: DataFrame, text: str = "text", out: str = "features") ->
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * WIDTH), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], lists], names=[*kept, out])
 
-    return frame.mapInArrow(run, with_field(frame, out, T.ArrayType(T.FloatType())))
+    return in_batches(frame, run, with_field(frame, out, T.ArrayType(T.FloatType())))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -241,4 +241,4 @@ def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                 x = np.array([features(t.encode() if t else None) for t in batch.column(at).to_pylist()], np.float32).astype(np.float64)
                 yield batch.filter(pa.array(model(x) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

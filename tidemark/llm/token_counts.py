@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import with_field
+from tidemark.llm.common import in_batches, with_field
 
 # fixed values: the pattern of byte-level vocabularies, white space named by its Unicode property
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -117,4 +117,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", out: str
             counts = [model.count(t) for t in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(counts, pa.int64())], names=[*kept, out])
 
-    return frame.mapInArrow(run, with_field(frame, out, T.LongType()))
+    return in_batches(frame, run, with_field(frame, out, T.LongType()))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_folder, spread, staged
+from tidemark.llm.common import in_batches, new_folder, spread, staged
 
 ROLL_BYTES = 16 << 20
 #: Payloads of at least so many bytes are written once and revisited after.
@@ -161,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=["shard", "roll", "temp", "name", "records", "bytes", "sha256"])
 
     schema = "shard bigint, roll bigint, temp string, name string, records bigint, bytes bigint, sha256 string"
-    draft = staged(dealt.mapInArrow(write, schema), "warc-draft")
+    draft = staged(in_batches(dealt, write, schema), "warc-draft")
 
     def commit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = store(folder)
