@@ -158,6 +158,17 @@ def test_word_tokens_are_the_librarys():
     assert sum(map(len, packing.parts("ab " * 900_000))) == 900_001
 
 
+def test_a_full_word_table_keeps_the_common_words(monkeypatch):
+    lib = library(WORD)
+    monkeypatch.setattr(packing, "REMEMBERED", 64)
+    model = packing.WordTokens(WORD)
+    for k in range(12):
+        texts = [f"the common words of all {k * 100 + i} texts, also rare{k}x{i}" for i in range(20)]
+        flat, ends = model.encode(texts)
+        assert [x.tolist() for x in np.split(flat, ends[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert "common" in model
+
+
 def test_packing_query(spark, documents):
     lib = library(WORD)
     ids = {r.doc_id: [lib.encode(r.text, add_special_tokens=False).ids + [1]] for r in documents.collect()}

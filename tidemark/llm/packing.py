@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread, staged
+from tidemark.llm.common import in_batches, spread, staged
 
 LENGTH = 2048
 END_ID = 1
 DIRECTIONS = 4
 GRID_BITS = 12
 HASHED = 256
-#: Words whose tokens a Python worker remembers; the table starts anew when it is full.
+#: Words whose tokens a Python worker remembers; a full table keeps the half that was met most often.
 REMEMBERED = 1 << 19
 #: Characters of a text split at a time.
 _STEP = 1 << 20
@@ -41,12 +42,20 @@ class WordTokens(dict):
 
         self.library = Tokenizer.from_file(path)
         self.fresh: list[str] = []
-        self.start()
-
-    def start(self) -> None:
-        self.clear()
-        self.fresh.clear()
         self.flat, self.first = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.met = np.empty(0, np.int64)
+
+    def thin(self) -> None:
+        """Forget all but the words met most often."""
+        kept = np.sort(np.argpartition(self.met, -(REMEMBERED // 2))[-(REMEMBERED // 2) :])
+        words = list(self)
+        sizes = np.diff(self.first)[kept]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(self.first[kept] - ends + sizes, sizes) + np.arange(ends[-1])]
+        self.first = np.r_[0, ends]
+        self.met = self.met[kept]
+        self.clear()
+        self.update(zip(map(words.__getitem__, kept.tolist()), range(len(kept))))
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self)
@@ -56,23 +65,28 @@ class WordTokens(dict):
     def learn(self) -> None:
         """Encode the words met since the last call."""
         if self.fresh:
-            found = [e.ids for e in self.library.encode_batch(self.fresh, add_special_tokens=False)]
+            found = [e.ids for e in self.library.encode_batch_fast(self.fresh, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum())])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             self.fresh.clear()
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts one after another, and where each text ends."""
         if len(self) > REMEMBERED:
-            self.start()
-        at = [np.concatenate([np.fromiter(map(self.__getitem__, p), np.int64, len(p)) for p in parts(t or "")]) for t in texts]
+            self.thin()
+        split = [list(parts(t or "")) for t in texts]
+        counts = np.array([sum(map(len, stretches)) for stretches in split], np.int64)
+        words = chain.from_iterable(chain.from_iterable(split))
+        at = np.fromiter(map(self.__getitem__, words), np.int64, counts.sum())
         self.learn()
-        out = []
-        for a in at:
-            sizes = self.first[a + 1] - self.first[a]
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.repeat(self.first[a] - ends + sizes, sizes) + np.arange(ends[-1])])
-        return out
+        met = np.bincount(at, minlength=len(self))
+        met[: len(self.met)] += self.met
+        self.met = met
+        sizes = self.first[at + 1] - self.first[at]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(self.first[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return flat, ends[np.cumsum(counts) - 1]  # every text has a word, if only an empty one
 
 
 def parts(text: str) -> Iterator[list[str]]:
@@ -96,13 +110,15 @@ def projection(hashed: int, directions: int) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((hashed, directions)) / 2.0
 
 
-def point(ids: np.ndarray, directions: int = DIRECTIONS, hashed: int = HASHED) -> np.ndarray:
-    """Hashed, signed and scaled token counts on the fixed directions, about -1 to 1 each; zero without tokens."""
+def points(ids: np.ndarray, ends: np.ndarray, directions: int = DIRECTIONS, hashed: int = HASHED) -> np.ndarray:
+    """For each run of ids its hashed, signed and scaled counts on the fixed directions, about -1 to 1 each; zero without tokens."""
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
-    vector = np.bincount(((h >> np.uint64(40)) % np.uint64(hashed)).astype(np.int64), sign, hashed)
-    size = np.sqrt((vector * vector).sum())
-    return (vector / size if size else vector) @ projection(hashed, directions)
+    run = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    cell = run * hashed + ((h >> np.uint64(40)) % np.uint64(hashed)).astype(np.int64)
+    vectors = np.bincount(cell, sign, len(ends) * hashed).reshape(len(ends), hashed)
+    size = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return vectors / np.where(size > 0, size, 1) @ projection(hashed, directions)
 
 
 def hilbert_key(points: np.ndarray, bits: int = GRID_BITS) -> np.ndarray:
@@ -189,16 +205,23 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [np.append(x, np.uint32(end_id)).astype("<u4") for x in model.encode(part.column(1).to_pylist())]
-                keys = hilbert_key(grid(np.stack([point(x[:-1]) for x in found])))
+                flat, ends = model.encode(part.column(1).to_pylist())
+                keys = hilbert_key(grid(points(flat, ends)))
+                n = len(ends)
+                flat = np.insert(flat, ends, end_id)
+                ends = ends + np.arange(1, n + 1)
+                sizes = np.diff(ends, prepend=0)
                 # two bytes a token wherever the vocabulary allows
-                data = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\0" + x.tobytes() for x in found]
+                narrow = flat.max() < 1 << 16
+                data = flat.astype("<u2" if narrow else "<u4").tobytes()
+                width = 2 if narrow else 4
+                cuts = [data[width * (e - k) : width * e] for e, k in zip(ends.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(row, row + len(found)), pa.int64()), part.column(0), pa.array(keys, pa.int64()),
-                     pa.array([len(x) for x in found], pa.int64()), pa.array(data, pa.binary())], names=["row", "doc_id", "key", "n", "data"])
-                row += len(found)
+                    [pa.array(range(row, row + n), pa.int64()), part.column(0), pa.array(keys, pa.int64()), pa.array(sizes), pa.array(cuts, pa.binary())],
+                    names=["row", "doc_id", "key", "n", "data"])
+                row += n
 
-    held = staged(frame.mapInArrow(encode, "row bigint, doc_id bigint, key bigint, n bigint, data binary"), "pack-tokens")
+    held = staged(in_batches(frame, encode, "row bigint, doc_id bigint, key bigint, n bigint, data binary"), "pack-tokens")
     order = ["key", "doc_id", "row"]
     parts_ = spread(docs.sparkSession)
     sorted_ = held.select("row", "doc_id", "key", "n").repartitionByRange(parts_, *order).sortWithinPartitions(*order)
@@ -227,8 +250,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             for lo in range(0, batch.num_rows, 512):
                 rows = []
                 for id_, n, at, data in zip(*(c.to_pylist() for c in batch.slice(lo, 512).columns)):
-                    ids = memoryview(data[1:] if len(data) != 2 * n else np.frombuffer(data, "<u2").astype("<u4").tobytes())
+                    ids = memoryview(data if len(data) == 4 * n else np.frombuffer(data, "<u2").astype("<u4").tobytes())
                     rows += [(id_, s, k, bytes(ids[4 * s : 4 * (s + k)]), n, seq, off) for s, k, seq, off in pieces_of(at, n, total, length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
-    return joined.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return in_batches(joined, cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
