@@ -93,12 +93,13 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
 def judged_by_host(docs: DataFrame, text: str = "text", host: str = "source", most: float = MOST_FAILING, keep_text: bool = False) -> DataFrame:
     """All columns of `docs` (the text only with `keep_text`) with measures, base_failed, host_rate and kept.
 
-    The measures are written once to the shared folder, and the hosts' counts are read from there. Rows and repeated rows are all kept in
+    The measures are written once to the shared folder, and the hosts' counts are read from there. The rates are written as well, so that their
+    join is planned by their size: texts are dealt by host only where hosts are too many to be sent to every task. Rows and repeated rows are all kept in
     place, with their verdict. A null host is a host of its own. Columns of the added names are replaced.
     """
     fresh = docs.drop("_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_host", "host_rate", "kept")
     measured = base_rules(fresh, text)
     judged = staged(measured if keep_text else measured.drop(text), "rules")
-    hosts = host_rates(judged, host).select(F.col("host").alias("_host"), "host_rate")
+    hosts = staged(host_rates(judged, host).select(F.col("host").alias("_host"), "host_rate"), "host-rates")
     joined = judged.join(hosts, judged[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= most))
