@@ -102,3 +102,55 @@ def test_survivors(spark):
     assert kept.columns == docs.columns
     assert sorted((str(r.g), str(r.doc_id)) for r in kept.collect()) == sorted([(str(g), str(d)) for g, d in groups.items()] + [("99", "None")])
     assert simhash.survivors(docs.where("false")).count() == 0
+
+
+def shingles(text):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def with_changes(text, places):
+    own = text.split()
+    for at in places:
+        own[at] = f"changed{abs(hash((text, at))) % 10**9}"
+    return " ".join(own)
+
+
+def template(rng, n, of, own):
+    """`n` texts of `of` common words and `own` words of their own, which come last."""
+    common = " ".join(f"c{x}" for x in rng.integers(0, 1 << 40, of))
+    return [common + " " + " ".join(f"o{x}" for x in rng.integers(0, 1 << 40, own)) for _ in range(n)]
+
+
+def test_texts_below_the_likeness_stay(spark):
+    rng = np.random.default_rng(5)
+    texts = template(rng, 60, 300, 45) + template(rng, 60, 300, 60)
+    assert all(0.65 < jaccard(texts[i], texts[i + 1]) < 0.8 for i in (0, 20, 60, 90))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.survivors(docs).collect()} == set(range(120))
+
+
+@pytest.mark.parametrize("block", [700, 1 << 19])
+def test_verified_links_join_what_brute_force_joins(spark, block):
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(8):
+        base = rng.integers(0, 1 << 60, 100, dtype=np.uint64)
+        for _ in range(12):
+            base = base.copy()
+            base[rng.integers(0, 100, rng.integers(1, 16))] = rng.integers(0, 1 << 60, dtype=np.uint64)
+            sets.append(np.unique(base))
+    want = components(spark.createDataFrame([(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])
+                                             if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))], "a bigint, b bigint"))
+    found = simhash.alike(sets, 0.8)
+    assert sorted(map(tuple, components(spark.createDataFrame(found, "a bigint, b bigint")).collect())) == sorted(map(tuple, want.collect()))
+    texts = [" ".join(map(str, x)) for x in sets]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_row bigint, text string")
+    nodes = rows.select(rows._row.alias("id"), rows._row.alias("row")).selectExpr("id", "row", "96L as size")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(len(sets) - 1)], "a bigint, b bigint")
+    links = simhash.verified(rows, "text", nodes, chain, 0.8, 1, 42, block)
+    assert sorted(map(tuple, components(links).collect())) == sorted(map(tuple, want.collect()))

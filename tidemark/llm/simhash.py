@@ -15,6 +15,7 @@ promise, and a pair is found if any word of the two shares a cell (the README gi
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 from functools import partial
 from itertools import combinations
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import in_batches, mixed, spread, staged, whole_groups
+from tidemark.llm.common import in_batches, mixed, spread, staged, whole_groups, with_field
 from tidemark.llm.components import components
 
 BITS = 64
@@ -36,6 +37,8 @@ _LOW = np.uint64(0x5555555555555555)
 PLACE_BITS = 40
 #: Rows of a cell that meet in one task.
 BLOCK = 2048
+#: Shingles of a block of texts whose sets meet in one task.
+SET_BLOCK = 1 << 19
 #: Shingles whose bits are summed at a time.
 _STEP = 1 << 16
 
@@ -61,7 +64,11 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42, words: int =
 
     The first word takes the shingles' XXH64, each further one a remix of it.
     """
-    hashes = shingle_hashes(text, width, seed, repeats)
+    return voted(shingle_hashes(text, width, seed, repeats), words)
+
+
+def voted(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Majority votes of the bits of the hashes, `words` unsigned integers."""
     votes = np.zeros((words, BITS), np.int64)
     for at in range(0, len(hashes), _STEP):
         some = hashes[at : at + _STEP]
@@ -72,28 +79,17 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42, words: int =
     return np.packbits(2 * votes > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", width: int = 4, seed: int = 42, words: int = 1,
-                 repeats: bool = True, keep_text: bool = False, row: str | None = None) -> DataFrame:
-    """All columns but the text (that too with `keep_text`), and the fingerprint's words as signed bigints `out`, `out`1, `out`2 and so on.
-
-    Null and empty texts have fingerprint 0. With `row`, a column of that name numbers the rows: the partition in the high bits, the place
-    in it in the low 40; the numbers hold once the result is written.
-    """
-    names = [out, *(f"{out}{j}" for j in range(1, words)), *([row] if row else [])]
-    kept = [c for c in docs.columns if c not in names and (keep_text or c != text)]
+def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", width: int = 4, seed: int = 42) -> DataFrame:
+    """All columns but the text, and the fingerprint as signed bigint `out`. Null and empty texts have fingerprint 0."""
+    kept = [c for c in docs.columns if c not in (text, out)]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias(out))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << PLACE_BITS
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            prints = np.array([fingerprint(t, width, seed, words, repeats) for t in texts], np.uint64).reshape(-1, words).view(np.int64)
-            added = [pa.array(prints[:, j]) for j in range(words)] + ([pa.array(range(at, at + len(texts)), pa.int64())] if row else [])
-            at += len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], names=[*kept, *names])
+            prints = np.array([fingerprint(t, width, seed)[0] for t in batch.column(len(kept)).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(prints)], names=[*kept, out])
 
-    schema = T.StructType([*frame.drop(out).schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
-    return in_batches(frame, run, schema)
+    return in_batches(frame, run, with_field(frame, out, T.LongType()))
 
 
 def embedding(fp: str | Column) -> Column:
@@ -191,13 +187,11 @@ def near_links(nodes: DataFrame, words: list[str], distance: int = 4, grids: int
     return dealt_out.mapInArrow(run, "a bigint, b bigint")
 
 
-def grouped(prints: DataFrame, words: list[str], doc_id: str = "doc_id", distance: int = 4, grids: int = 6, still: int | None = None) -> DataFrame:
-    """Every different fingerprint of `prints` (its words) with root, the name of its group, and component_id, the group's smallest id."""
-    name = F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
-    nodes = staged(prints.groupBy(*words).agg(F.min(doc_id).alias("least")).withColumn("id", name), "simhash-nodes")
-    roots = components(near_links(nodes, words, distance, grids, still))
+def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """`nodes` (id, least and more) with root, the name of a node's group over `links`, and component_id, the group's smallest `least`."""
+    roots = components(links)
     rooted = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    return rooted.select(*words, "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, distance: int = 4,
@@ -209,7 +203,121 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """
     clean = docs.drop("fp", "component_id", "root")
     prints = staged(fingerprints(clean, text, "fp", width, seed), "simhash")
-    return prints.join(grouped(prints, ["fp"], doc_id, distance, grids).select("fp", "component_id"), "fp")
+    nodes = staged(prints.groupBy("fp").agg(F.min(doc_id).alias("least")).withColumn("id", F.col("fp")), "simhash-nodes")
+    return prints.join(grouped(nodes, near_links(nodes, ["fp"], distance, grids)).select("fp", "component_id"), "fp")
+
+
+def shingle_sets(docs: DataFrame, text: str, names: list[str], width: int, seed: int) -> DataFrame:
+    """`docs` with _row, a number of the row, _set and _size, name and size of its set of shingles, and the fingerprint's words `names`.
+
+    _row has the partition in the high bits and the place in it in the low 40; it holds once the result is written. Equal sets have equal
+    names; texts without words are the set 0.
+    """
+    kept = docs.columns
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias("_bytes"))
+    added = T.StructType([T.StructField(n, T.LongType()) for n in ("_row", "_set", "_size", *names)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << PLACE_BITS
+        for batch in batches:
+            out = []
+            for data in batch.column(len(kept)).to_pylist():
+                hashes = shingle_hashes(data, width, seed, repeats=False)
+                out.append((at, set_name(hashes), len(hashes), *voted(hashes, len(names)).view(np.int64).tolist()))
+                at += 1
+            columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * len(added)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, *added.names])
+
+    return in_batches(frame, run, T.StructType([*frame.drop("_bytes").schema.fields, *added.fields]))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """Signed 64-bit name of a set of hashes, given sorted; 0 for the empty one only."""
+    return (xxhash.xxh3_64_intdigest(hashes.astype("<u8").tobytes()) or 1) - (1 << 63) or 1 if len(hashes) else 0
+
+
+def alike(sets: list[np.ndarray], likeness: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets whose Jaccard likeness is `likeness` or more, by exact counts of common elements.
+
+    From each set reached, all sets not yet reached are counted over lists of the sets that hold an element; sets reached leave the lists.
+    """
+    share = Fraction(str(likeness))
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    cuts = np.r_[0, np.cumsum(sizes)]
+    waiting = np.ones(len(sets), bool)
+
+    def lists() -> tuple[np.ndarray, np.ndarray]:
+        some = waiting[owner]
+        order = np.argsort(code[some], kind="stable")
+        return owner[some][order], np.r_[0, np.cumsum(np.bincount(code[some], minlength=code.max() + 1))]
+
+    held, starts = lists()
+    listed, left = len(sets), len(sets)
+    out = []
+    for first in range(len(sets)):
+        if not waiting[first]:
+            continue
+        waiting[first] = False
+        left -= 1
+        reached = [first]
+        while reached and left:
+            x = reached.pop()
+            if 2 * left < listed:
+                held, starts = lists()
+                listed = left
+            own = code[cuts[x] : cuts[x + 1]]
+            n = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            common = np.bincount(held[at], minlength=len(sets))
+            found = np.flatnonzero(waiting & (common * (share.denominator + share.numerator) >= share.numerator * (sizes[x] + sizes)))
+            waiting[found] = False
+            left -= len(found)
+            reached += found.tolist()
+            out += [(x, y) for y in found.tolist()]
+    return out
+
+
+def verified(rows: DataFrame, text: str, nodes: DataFrame, links: DataFrame, likeness: float, width: int, seed: int, block: int = SET_BLOCK) -> DataFrame:
+    """Links (a, b) that join all nodes of Jaccard likeness `likeness` or more within each group of the proposed `links`.
+
+    `nodes` has id, row (one of the rows with this set) and size. Each group meets as a whole: one of up to `block` shingles in one task, a
+    larger one dealt in blocks by hash, every two of which meet in a task of their own. Only the texts of linked nodes are sent, picked by a
+    bit per row, so that texts without a proposed link stay where they are.
+    """
+    members = staged(components(links).join(nodes.select(F.col("id").alias("node"), "row", "size"), "node"), "simhash-members")
+    large = members.groupBy("root").agg(F.ceil(F.sum("size") / block).alias("blocks")).where("blocks > 1")
+    dealt = members.join(staged(large, "simhash-large"), "root", "left")  # written first, so that the join is planned by its size
+    blocks = F.coalesce("blocks", F.lit(1))
+    mine = F.pmod(F.xxhash64("node"), blocks)
+    met = dealt.select("row", F.col("node").alias("id"), "root", mine.alias("mine"), F.sequence(F.lit(0).cast("bigint"), blocks - 1).alias("others"))
+    units = F.transform("others", lambda o: F.xxhash64("root", F.least("mine", o), F.greatest("mine", o)))
+    bit = lambda row: F.expr(f"shiftleft(1L, cast({row} & 63 as int))")
+    picked = staged(members.groupBy(F.shiftright("row", 6).alias("_word")).agg(F.bit_or(bit("row")).alias("_bits")), "simhash-picked")
+    texts = rows.select(F.col("_row").alias("row"), F.col(text).cast("binary").alias("text")).withColumn("_word", F.shiftright("row", 6))
+    texts = texts.join(picked, "_word").where(F.col("_bits").bitwiseAND(bit("row")) != 0).select("row", "text")
+    sent = texts.join(met.select("row", "id", units.alias("units")), "row").select(F.explode("units").alias("unit"), "id", "text")
+    sent = sent.repartition(spread(rows.sparkSession), "unit").sortWithinPartitions("unit")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links_of(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            found = alike(sets, likeness)
+            return pa.RecordBatch.from_arrays([pa.array([ids[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        unit, ids, sets = None, [], []
+        for batch in batches:
+            for u, id_, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if u != unit:
+                    if len(ids) > 1:
+                        yield links_of(ids, sets)
+                    unit, ids, sets = u, [], []
+                ids.append(id_)
+                sets.append(shingle_hashes(data, width, seed, repeats=False))
+        if len(ids) > 1:
+            yield links_of(ids, sets)
+
+    return in_batches(sent, run, "a bigint, b bigint")
 
 
 def distance_of(likeness: float, bits: int) -> int:
@@ -221,18 +329,21 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
               words: int = 4, grids: int = 7, still: int = 2) -> DataFrame:
     """One row of each group of near copies, with the columns of `docs`: a row with the group's smallest id.
 
-    Near copies share about `likeness` or more of their different shingles, as fingerprints of `words` words tell: at most the expected number
-    of differing bits and `slack`. Of several rows with a group's smallest id the first one stays. Null ids come after all others; null and
-    empty texts are copies of each other. An empty table gives none.
+    Near copies share `likeness` or more of their different shingles, counted exactly; groups are what such links join. Fingerprints of
+    `words` words propose the pairs: at most the expected number of differing bits and `slack`. Of several rows with a group's smallest id
+    the first one stays. Null ids come after all others; null and empty texts are copies of each other. An empty table gives none.
 
-    The texts are written once with their fingerprints and never shuffled: what goes is listed by the place of its rows in their partition,
-    and that list is joined back by its size.
+    The texts are written once with the names of their sets; only those with a proposed link are sent to be compared. What goes is listed by
+    the place of its rows in their partition, and that list is joined back by its size.
     """
     names = [f"_fp{j or ''}" for j in range(words)]
-    numbered = fingerprints(docs.drop(*names, "_row"), text, "_fp", width, seed, words, repeats=False, keep_text=True, row="_row")
-    rows = staged(numbered, "simhash-rows")
-    own = rows.select(F.col(doc_id).alias("doc"), F.col("_row").alias("row"), *names)
-    found = own.join(grouped(own, names, "doc", distance_of(likeness, BITS * words) + slack, grids, still), names)
+    rows = staged(shingle_sets(docs.drop(*names, "_row", "_set", "_size"), text, names, width, seed), "simhash-rows")
+    own = rows.select(F.col(doc_id).alias("doc"), F.col("_row").alias("row"), F.col("_set").alias("id"))
+    nodes = staged(rows.groupBy(F.col("_set").alias("id"), F.col("_size").alias("size"), *names).agg(
+        F.min(doc_id).alias("least"), F.min("_row").alias("row")), "simhash-nodes")
+    proposed = near_links(nodes.where("size > 0"), names, distance_of(likeness, BITS * words) + slack, grids, still)
+    groups = grouped(nodes.select("id", "least"), verified(rows, text, nodes, proposed, likeness, width, seed))
+    found = own.join(groups.select("id", "root", "component_id"), "id")
     first = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("first"))
     going = found.join(first, "root").where("row != first").select(part("row").alias("_part"), place("row").alias("place"))
     gone = staged(going.groupBy("_part").agg(F.sort_array(F.collect_list("place")).alias("_gone")), "simhash-gone")
