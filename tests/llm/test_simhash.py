@@ -154,3 +154,32 @@ def test_verified_links_join_what_brute_force_joins(spark, block):
     chain = spark.createDataFrame([(i, i + 1) for i in range(len(sets) - 1)], "a bigint, b bigint")
     links = simhash.verified(rows, "text", nodes, chain, 0.8, 1, 42, block)
     assert sorted(map(tuple, components(links).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_isolated_pairs_at_the_likeness_are_found(spark):
+    rng = np.random.default_rng(7)
+    rows, at = [], []
+    for g in range(300):  # two texts of 200 words each, alike by 0.78 to 0.85
+        text = " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 200))
+        other = with_changes(text, range(0, 4 - g % 2))
+        own = other.split()
+        own[-(12 + g % 9):] = [f"v{x}" for x in rng.integers(0, 1 << 40, 12 + g % 9)]
+        other = " ".join(own)
+        rows += [(2 * g, text), (2 * g + 1, other)]
+        at.append(jaccard(text, other))
+    close = {2 * g + 1 for g in range(300) if at[g] >= 0.8}
+    assert sum(0.8 <= x <= 0.85 for x in at) >= 150 and min(at) < 0.8
+    kept = {r.doc_id for r in simhash.survivors(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {d for d, _ in rows} - close
+
+
+@pytest.mark.parametrize("common", [16, 80, 400])
+def test_sets_at_the_likeness_share_a_cell(common):
+    rng = np.random.default_rng(8)
+    missed = 0
+    for _ in range(1500):  # likeness 0.8 exactly
+        x = rng.integers(0, 1 << 64, common * 5 // 4, dtype=np.uint64)
+        own = common // 8
+        a, b = simhash.cells_of(np.sort(x[: common + own])), simhash.cells_of(np.sort(np.r_[x[:common], x[common + own:]]))
+        missed += not (a == b).any()
+    assert missed == 0

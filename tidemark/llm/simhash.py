@@ -7,9 +7,8 @@ cell of one of the grids spanned by that many sub-grids. Inside a cell a pair pa
 distance then. A cell holds each fingerprint once, is dealt in blocks when it is large, and gives only the links that join what was not
 yet joined there, never all its pairs.
 
-A fingerprint may have several words of 64 bits. Each word has cells of its own, and both distances are sums over all words. One word and a
-distance below the number of sub-grids finds every link. More words serve a wider likeness: the distance may then exceed what the cells
-promise, and a pair is found if any word of the two shares a cell (the README gives the measured recall).
+Near copies of a wider likeness (`survivors`) are beyond what such cells can promise. There, runs of MinHash values only propose pairs, and
+every link is counted exactly on the sets of shingles.
 """
 
 from __future__ import annotations
@@ -39,6 +38,12 @@ PLACE_BITS = 40
 BLOCK = 2048
 #: Shingles of a block of texts whose sets meet in one task.
 SET_BLOCK = 1 << 19
+#: MinHash values of a set, and how many of them name a cell. All values are dealt in runs three times over.
+SIGNS = 256
+RUN = 8
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = mixed(np.arange(1, SIGNS + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
+_DEALT = np.concatenate([mixed(np.arange(1 + k * SIGNS, 1 + (k + 1) * SIGNS, dtype=np.uint64)).argsort().reshape(-1, RUN) for k in range(3)])
 #: Shingles whose bits are summed at a time.
 _STEP = 1 << 16
 
@@ -207,15 +212,29 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     return prints.join(grouped(nodes, near_links(nodes, ["fp"], distance, grids)).select("fp", "component_id"), "fp")
 
 
-def shingle_sets(docs: DataFrame, text: str, names: list[str], width: int, seed: int) -> DataFrame:
-    """`docs` with _row, a number of the row, _set and _size, name and size of its set of shingles, and the fingerprint's words `names`.
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    """Cells of a set of hashes, each named by a run of its MinHash values; none for the empty set.
+
+    Two sets of likeness j share one run with chance j^RUN. At 0.8 they share none of all with a chance of about a millionth (one of 1.2 million simulated pairs).
+    """
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(SIGNS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, mixed(hashes[None, at : at + 512] ^ _SALTS[:, None]).min(axis=1), out=least)
+    values = mixed(least + np.arange(SIGNS, dtype=np.uint64) * _ODD)[_DEALT].sum(axis=1, dtype=np.uint64)
+    return mixed(values + np.arange(len(_DEALT), dtype=np.uint64) * _ODD).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, text: str, width: int, seed: int) -> DataFrame:
+    """`docs` with _row, a number of the row, _set and _size, name and size of its set of shingles, and _cells, the set's cells.
 
     _row has the partition in the high bits and the place in it in the low 40; it holds once the result is written. Equal sets have equal
     names; texts without words are the set 0.
     """
     kept = docs.columns
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias("_bytes"))
-    added = T.StructType([T.StructField(n, T.LongType()) for n in ("_row", "_set", "_size", *names)])
+    added = T._parse_datatype_string("_row bigint, _set bigint, _size bigint, _cells array<bigint>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << PLACE_BITS
@@ -223,14 +242,41 @@ def shingle_sets(docs: DataFrame, text: str, names: list[str], width: int, seed:
             out = []
             for data in batch.column(len(kept)).to_pylist():
                 hashes = shingle_hashes(data, width, seed, repeats=False)
-                out.append((at, set_name(hashes), len(hashes), *voted(hashes, len(names)).view(np.int64).tolist()))
+                out.append((at, set_name(hashes), len(hashes), cells_of(hashes)))
                 at += 1
-            columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * len(added)
+            numbers = np.array([x[:3] for x in out], np.int64).reshape(-1, 3)
+            ends = np.cumsum([0, *(len(x[3]) for x in out)])
+            cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *(x[3] for x in out)])))
+            columns = [*(pa.array(numbers[:, k]) for k in range(3)), cells]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, *added.names])
 
     return in_batches(frame, run, T.StructType([*frame.drop("_bytes").schema.fields, *added.fields]))
 
 
+def sharing(rows: DataFrame) -> DataFrame:
+    """Links (a, b) from every set of `rows` to the least set of each of its cells. Cells pass by in order and are never held."""
+    placed = rows.select(F.explode("_cells").alias("cell"), F.col("_set").alias("id"))
+    dealt = placed.repartition(spread(rows.sparkSession), "cell").sortWithinPartitions("cell", "id")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, id_ = (c.to_numpy() for c in batch.columns)
+            new = np.r_[cell[0] != last[0], cell[1:] != cell[:-1]]
+            first = np.flatnonzero(new)
+            if new[0]:
+                least = id_[first][np.cumsum(new) - 1]
+            else:
+                least = np.r_[np.int64(last[1]), id_[first]][np.cumsum(new)]
+            last = cell[-1], least[-1]
+            pairs = np.unique(np.stack([id_, least], axis=1)[id_ != least], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def set_name(hashes: np.ndarray) -> int:
     """Signed 64-bit name of a set of hashes, given sorted; 0 for the empty one only."""
     return (xxhash.xxh3_64_intdigest(hashes.astype("<u8").tobytes()) or 1) - (1 << 63) or 1 if len(hashes) else 0
@@ -320,29 +366,23 @@ def verified(rows: DataFrame, text: str, nodes: DataFrame, links: DataFrame, lik
     return in_batches(sent, run, "a bigint, b bigint")
 
 
-def distance_of(likeness: float, bits: int) -> int:
-    """Differing bits to expect of two texts whose shingle sets have this Jaccard likeness: cosine 2j / (1 + j), angle over pi of all bits."""
-    return int(bits * np.arccos(2 * likeness / (1 + likeness)) / np.pi)
-
-
-def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, likeness: float = 0.8, slack: int = 4,
-              words: int = 4, grids: int = 7, still: int = 2) -> DataFrame:
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, likeness: float = 0.8) -> DataFrame:
     """One row of each group of near copies, with the columns of `docs`: a row with the group's smallest id.
 
-    Near copies share `likeness` or more of their different shingles, counted exactly; groups are what such links join. Fingerprints of
-    `words` words propose the pairs: at most the expected number of differing bits and `slack`. Of several rows with a group's smallest id
-    the first one stays. Null ids come after all others; null and empty texts are copies of each other. An empty table gives none.
+    Near copies share `likeness` or more of their different shingles, counted exactly; groups are what such links join. Shared cells of
+    MinHash values propose the pairs, wide enough for a likeness of 0.8 and above. Of several rows with a group's smallest id the first one
+    stays. Null ids come after all others; null and empty texts are copies of each other. An empty table gives none.
 
-    The texts are written once with the names of their sets; only those with a proposed link are sent to be compared. What goes is listed by
-    the place of its rows in their partition, and that list is joined back by its size.
+    The texts are written once with the names of their sets; only those that share a cell are sent to be compared. What goes is listed by the
+    place of its rows in their partition, and that list is joined back by its size.
     """
-    names = [f"_fp{j or ''}" for j in range(words)]
-    rows = staged(shingle_sets(docs.drop(*names, "_row", "_set", "_size"), text, names, width, seed), "simhash-rows")
+    if likeness < 0.8:
+        raise ValueError("the cells are made for a likeness of 0.8 or more")
+    rows = staged(shingle_sets(docs.drop("_row", "_set", "_size", "_cells"), text, width, seed), "simhash-rows")
     own = rows.select(F.col(doc_id).alias("doc"), F.col("_row").alias("row"), F.col("_set").alias("id"))
-    nodes = staged(rows.groupBy(F.col("_set").alias("id"), F.col("_size").alias("size"), *names).agg(
+    nodes = staged(rows.groupBy(F.col("_set").alias("id"), F.col("_size").alias("size")).agg(
         F.min(doc_id).alias("least"), F.min("_row").alias("row")), "simhash-nodes")
-    proposed = near_links(nodes.where("size > 0"), names, distance_of(likeness, BITS * words) + slack, grids, still)
-    groups = grouped(nodes.select("id", "least"), verified(rows, text, nodes, proposed, likeness, width, seed))
+    groups = grouped(nodes.select("id", "least"), verified(rows, text, nodes, sharing(rows), likeness, width, seed))
     found = own.join(groups.select("id", "root", "component_id"), "id")
     first = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("first"))
     going = found.join(first, "root").where("row != first").select(part("row").alias("_part"), place("row").alias("place"))
