@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, host_rules, lm_score, minhash, packing, pieces, pu_quality, simhash, token_counts, warc
+from tidemark.llm import byte_bpe, chat, host_rules, lm_score, minhash, packing, pieces, pu_quality, simhash, token_counts, warc
 from tidemark.llm.common import table
 
 #: Folder of the public tokenizer files, the same on every worker.
@@ -143,6 +144,15 @@ def op10_minhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.neighbour_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text under the multilingual ranks, decoded again; both as digests."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = byte_bpe.decode(byte_bpe.encode(docs, ranks).drop("text"), ranks)
+    return back.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": op1_simhash_groups,
     "op2_sentencepiece_round_trip": op2_sentencepiece_round_trip,
@@ -154,5 +164,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_host_rules": op9_host_rules,
     "op10_minhash_neighbours": op10_minhash_neighbours,
+    "op11_byte_bpe_round_trip": op11_byte_bpe_round_trip,
 }
 SQL = {"op5_perspective_rotation": OP5_SQL, "op9_host_rules": OP9_SQL}
