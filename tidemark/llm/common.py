@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import work_dir
@@ -82,3 +83,40 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: list[str], least: int =
 def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     """Schema of `df` without `name`, and `name` as its last field."""
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
+
+
+def placed_in_groups(rows: DataFrame, group: str, order: list[str | Column], values: dict[str, Column], name: str) -> DataFrame:
+    """`group` (a bigint without nulls), place (from 0, within the group by `order`) and `values` of each row, written under `name`.
+
+    Rows are range-sorted; repeated rows and long groups are cut like any others, and a row's place is that in its partition plus what the
+    group holds in the partitions before, of which there are as many as the session sets.
+    """
+    sort = [group, *order, "_tie"]
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(spread(rows.sparkSession), *sort).sortWithinPartitions(*sort)
+    ranged = ranged.select(group, *[c.alias(k) for k, c in values.items()], F.spark_partition_id().alias("_part"))
+    added = "place bigint, _first boolean"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, least = None, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            least = key[0] if least is None else least
+            new = np.r_[key[0] != held, key[1:] != key[:-1]]
+            first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            place = np.arange(n) - np.where(first < 0, -count, first)
+            held, count = key[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place), pa.array(key == least)], names=[*batch.schema.names, "place", "_first"])
+
+    schema = T.StructType([*ranged.schema.fields, *T._parse_datatype_string(added).fields])
+    written = staged(in_batches(ranged, run, schema), name)
+    parts = written.groupBy("_part").agg(F.min(group).alias("lo"), F.max(group).alias("hi"), F.max_by(F.col("place") + 1, F.struct(group, "place")).alias("n"))
+    upto = parts.withColumn("upto", F.sum("n").over(Window.partitionBy("hi").orderBy("_part")))
+    before = Window.orderBy("_part")
+    offsets = upto.select("_part", F.when(F.lag("hi").over(before) == F.col("lo"), F.lag("upto").over(before)).alias("_offset"))
+    joined = written.join(F.broadcast(offsets), "_part")
+    place = F.col("place") + F.when(F.col("_first"), F.coalesce("_offset", F.lit(0))).otherwise(0)
+    return joined.select(group, place.alias("place"), *values)

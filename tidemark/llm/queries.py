@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat, host_rules, lm_score, minhash, packing, pieces, pu_quality, simhash, token_counts, warc
+from tidemark.llm import byte_bpe, chat, host_rules, lm_score, minhash, packing, pieces, prefix_trie, pu_quality, resampling, simhash, token_counts, warc
 from tidemark.llm.common import table
 
 #: Folder of the public tokenizer files, the same on every worker.
@@ -153,6 +153,60 @@ def op11_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (  -- CRC-32 bit by bit: each step takes eight bits of the decimal conv_id
+  SELECT conv_id, encode(conv_id::VARCHAR) AS digits, 0 AS at, 4294967295::BIGINT AS crc FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT conv_id, digits, at + 1,
+         list_reduce([xor(crc, ascii(substr(conv_id::VARCHAR, at + 1, 1))::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+                     lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+  FROM bits WHERE at < length(conv_id::VARCHAR)),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS source, CASE WHEN conv_id % 20 = 0 THEN 0 ELSE xor(crc, 4294967295) % 4 END AS h
+  FROM bits WHERE at = length(conv_id::VARCHAR)),
+lent AS (
+  SELECT c.conv_id, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.source WHERE t.place < c.h),
+taken AS (SELECT conv_id, count(*) AS n FROM lent GROUP BY conv_id),
+made AS (
+  SELECT * FROM lent
+  UNION ALL
+  SELECT t.conv_id, t.place - c.h + coalesce(k.n, 0), t.role, t.text
+  FROM turns t JOIN convs c USING (conv_id) LEFT JOIN taken k USING (conv_id) WHERE t.place >= c.h),
+steps AS (
+  SELECT conv_id, place + 1 AS depth, string_agg(md5(role || chr(1) || text), '') OVER (PARTITION BY conv_id ORDER BY place) AS key,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM made
+  UNION ALL
+  SELECT conv_id, 0, '', 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS total FROM steps GROUP BY conv_id),
+nodes AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, bool_and(depth = total) AS leaf,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = total), '')) AS ends_sha256
+  FROM steps JOIN lengths USING (conv_id) GROUP BY depth, key),
+sums AS (
+  SELECT up, sum(leaf::INT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens, count(*) FILTER (WHERE length(key) = length(up) + 32) AS n_children
+  FROM (SELECT *, unnest(list_transform(range(0, depth + 1), lambda d: left(key, 32 * d))) AS up FROM nodes) GROUP BY up)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.up = n.key LEFT JOIN nodes p ON n.depth > 0 AND p.key = left(n.key, 32 * (n.depth - 1))
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document weighed towards the benchmark's texts; a quarter of the longer ones drawn."""
+    found = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": op1_simhash_groups,
     "op2_sentencepiece_round_trip": op2_sentencepiece_round_trip,
@@ -165,5 +219,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_host_rules": op9_host_rules,
     "op10_minhash_neighbours": op10_minhash_neighbours,
     "op11_byte_bpe_round_trip": op11_byte_bpe_round_trip,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-SQL = {"op5_perspective_rotation": OP5_SQL, "op9_host_rules": OP9_SQL}
+SQL = {"op12_prefix_trie": OP12_SQL, "op5_perspective_rotation": OP5_SQL, "op9_host_rules": OP9_SQL}
