@@ -164,15 +164,15 @@ WITH RECURSIVE turns AS (
          coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
 bits AS (  -- CRC-32 bit by bit: each step takes eight bits of the decimal conv_id
-  SELECT conv_id, encode(conv_id::VARCHAR) AS digits, 0 AS at, 4294967295::BIGINT AS crc FROM (SELECT DISTINCT conv_id FROM turns)
+  SELECT conv_id, 0 AS done, 4294967295::BIGINT AS crc FROM (SELECT DISTINCT conv_id FROM turns)
   UNION ALL
-  SELECT conv_id, digits, at + 1,
-         list_reduce([xor(crc, ascii(substr(conv_id::VARCHAR, at + 1, 1))::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+  SELECT conv_id, done + 1,
+         list_reduce([xor(crc, ascii(substr(conv_id::VARCHAR, done + 1, 1))::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
                      lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
-  FROM bits WHERE at < length(conv_id::VARCHAR)),
+  FROM bits WHERE done < length(conv_id::VARCHAR)),
 convs AS (
   SELECT conv_id, conv_id - conv_id % 20 AS source, CASE WHEN conv_id % 20 = 0 THEN 0 ELSE xor(crc, 4294967295) % 4 END AS h
-  FROM bits WHERE at = length(conv_id::VARCHAR)),
+  FROM bits WHERE done = length(conv_id::VARCHAR)),
 lent AS (
   SELECT c.conv_id, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.source WHERE t.place < c.h),
 taken AS (SELECT conv_id, count(*) AS n FROM lent GROUP BY conv_id),
