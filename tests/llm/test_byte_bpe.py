@@ -65,11 +65,11 @@ def test_odd_and_long_texts():
 
 def test_runs_of_any_tokens_and_small_bounds():
     """Bytes that are no text, with states dropped all the time."""
-    machine = byte_bpe.Transducer(byte_bpe.Merges(held()["ranks"]), bound=4000)
+    machine = byte_bpe.Transducer(byte_bpe.Merges(held()["ranks"]), bound=4000, settle=7)
     draw, tokens = random.Random(5), list(held()["ranks"])
     for _ in range(1500):
         data = b"".join(draw.choice(tokens) for _ in range(draw.randint(1, 6)))
-        assert numbers(machine.encode(data)) == held()["library"]._encode_single_piece(data)
+        assert machine.encode(data) == held()["library"]._encode_single_piece(data)
         assert machine.held < 20_000
 
 

@@ -2,15 +2,18 @@
 
 A sequence of tokens is what the merges give for its bytes exactly if every two neighbours would stay apart were they alone (`Merges.apart`).
 Hence each prefix of a piece has one last token. The nondeterministic machine guesses where tokens begin and reads each along the trie of
-the vocabulary; its determinised state holds, for every place where a token may still begin or go on, the node reached and the tokens
-chosen up to that place. Tokens on which all places agree can no longer change and are emitted: the lookahead ends where the ways meet, in
-practice within a token's length. States and their moves are made when first met and dropped together when they outgrow a bound in bytes.
+the vocabulary; its determinised state is the set of places where a token may still begin or go on, each with the node reached and the
+token before it. Each byte read emits the last token of the prefix. Tokens behind the place where the ways back from all live places meet can
+no longer change: the lookahead ends there, in practice within a token's length. States and their moves are made when first met and dropped
+together when they outgrow a bound in bytes.
 Ids of short pieces, which repeat, are remembered within a bound in bytes too.
 """
 
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,6 +35,8 @@ SHORT = 64
 #: Texts of more characters are cut lazily, and ids are decoded in runs of this many.
 RUN = 1 << 16
 ROOT = 0
+#: Emitted tokens of a piece that wait before those settled are taken off.
+SETTLE = 4096
 
 
 def unicode_blanks(pattern: str) -> str:
@@ -84,118 +89,122 @@ class Merges:
 
 
 class Transducer:
-    """Bytes of a piece in, tokens out; states are numbers and tokens are written as four little-endian bytes.
+    """Bytes of a piece in, tokens out; states are numbers, a move emits the last token of what was read so far.
 
-    A live place is (trie node, chain): the chain begins with the last emitted token (-1 at the start of a piece) and goes on with the tokens
-    chosen up to the place; the last live place is the end of what was read, at the root.
+    A live place is a trie node and the token that ends where this node's reading began (-1 at the start of a piece); the last live place is
+    the end of what was read, at the root. An emitted token is settled once the ways back from all live places meet behind it.
     """
 
-    def __init__(self, merges: Merges, bound: int = STATE_BYTES):
+    def __init__(self, merges: Merges, bound: int = STATE_BYTES, settle: int = SETTLE):
         self.merges = merges
         self.bound = bound
-        self.written = {i: i.to_bytes(4, "little") for i in merges.bytes_of}
+        self.settle = settle
+        self.bits = max(merges.bytes_of).bit_length()
+        self.sizes = {i: len(t) for i, t in merges.bytes_of.items()}
         self.below: dict[int, int] = {}
         self.token_at = [-1]
+        self.depth = [0]
         self.inner = bytearray(1)
         for token, i in merges.ranks.items():
             node = ROOT
             for b in token:
                 self.inner[node] = 1
                 key = node << 8 | b
-                node = self.below.get(key, -1)
+                above, node = node, self.below.get(key, -1)
                 if node < 0:
                     node = self.below[key] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[above] + 1)
                     self.inner.append(0)
             self.token_at[node] = i
         self.renew()
 
     def renew(self) -> None:
         """Start without states. Number 0 is the start of a piece."""
-        self.numbers: dict[tuple, int] = {}
-        self.live: list[tuple] = []
-        self.last: list[bytes] = []
-        #: state and byte -> next state, its lowest bit set if the move emits, and what it emits.
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.live: list[tuple[int, ...]] = []
+        #: state and byte -> next state and the token emitted.
         self.moves: dict[int, int] = {}
-        self.emits: dict[int, bytes] = {}
         self.apart: dict[int, bool] = {}
         self.held = 0
-        self.number(((ROOT, (-1,)),))
+        self.number((ROOT, -1))
 
-    def number(self, live: tuple) -> int:
+    def number(self, live: tuple[int, ...]) -> int:
         found = self.numbers.get(live)
         if found is None:
             found = self.numbers[live] = len(self.live)
             self.live.append(live)
-            self.last.append(self.text_of(live[-1][1][1:]))
-            self.held += 200 + 200 * len(live)
-        return found
-
-    def text_of(self, tokens: tuple[int, ...]) -> bytes:
-        return b"".join(map(self.written.__getitem__, tokens))
-
-    def stay_apart(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        found = self.apart.get(key)
-        if found is None:
-            found = self.apart[key] = left < 0 or self.merges.apart(left, right)
-            self.held += 140
+            self.held += 200 + 8 * len(live)
         return found
 
     def move(self, state: int, byte: int) -> int:
         """Make the move of a state, which is then remembered."""
-        live, ended = [], None
-        get, token_at, inner = self.below.get, self.token_at, self.inner
-        for node, chain in self.live[state]:
+        live, ended = [], -1
+        get, token_at, inner, apart = self.below.get, self.token_at, self.inner, self.apart
+        places = iter(self.live[state])
+        for node, left in zip(places, places):
             node = get(node << 8 | byte, -1)
             if node < 0:
                 continue
-            if ended is None and (token := token_at[node]) >= 0 and self.stay_apart(chain[-1], token):
-                ended = (*chain, token)
+            if ended < 0 and (token := token_at[node]) >= 0:
+                if left < 0:
+                    ended = token
+                else:
+                    pair = left << 32 | token
+                    stay = apart.get(pair)
+                    if stay is None:
+                        stay = apart[pair] = self.merges.apart(left, token)
+                        self.held += 130
+                    if stay:
+                        ended = token
             if inner[node]:
-                live.append((node, chain))
-        live.append((ROOT, ended))
-        least = greatest = ended
-        for _, chain in live:
-            if chain < least:
-                least = chain
-            elif chain > greatest:
-                greatest = chain
-        agreed = 1  # the last emitted token is common to all
-        for x, y in zip(least[1:], greatest[1:]):
-            if x != y:
-                break
-            agreed += 1
-        if agreed > 1:
-            live = [(node, chain[agreed - 1 :]) for node, chain in live]
-        key = state << 8 | byte
-        found = self.moves[key] = self.number(tuple(live)) << 1 | (agreed > 1)
-        self.held += 120
-        if agreed > 1:
-            self.emits[key] = self.text_of(ended[1:agreed])
-            self.held += 140
+                live += (node, left)
+        live += (ROOT, ended)
+        found = self.moves[state << 8 | byte] = self.number(tuple(live)) << self.bits | ended
+        self.held += 150
         return found
 
-    def encode(self, data: bytes) -> bytes:
+    def encode(self, data: bytes) -> list[int]:
         """Tokens of one piece."""
         if self.held > self.bound:
             self.renew()
-        moves, state, out = self.moves, 0, []
+        moves, state, ends, out = self.moves, 0, [], []
+        bits, mask = self.bits, (1 << self.bits) - 1
         for byte in data:
-            key = state << 8 | byte
-            found = moves.get(key)
+            found = moves.get(state << 8 | byte)
             if found is None:
                 if self.held > 2 * self.bound:  # within one piece: go on from the same state under a new number
                     live = self.live[state]
                     self.renew()
                     moves, state = self.moves, self.number(live)
-                    key = state << 8 | byte
                 found = self.move(state, byte)
-            if found & 1:
-                out.append(self.emits[key])
-            state = found >> 1
-        out.append(self.last[state])
-        return b"".join(out)
+            state = found >> bits
+            ends.append(found & mask)
+            if len(ends) >= self.settle:
+                ends = self.settled(ends, self.live[state], out)
+        out += self.walk(ends, len(ends), 0)
+        return out
+
+    def walk(self, ends: list[int], at: int, stop: int) -> list[int]:
+        """Tokens on the way back from `at` to `stop`, in order."""
+        back = []
+        while at > stop:
+            token = ends[at - 1]
+            back.append(token)
+            at -= self.sizes[token]
+        back.reverse()
+        return back
+
+    def settled(self, ends: list[int], live: tuple[int, ...], out: list[int]) -> list[int]:
+        """Move tokens that can no longer change to `out`; gives the emitted tokens behind them."""
+        ways = {len(ends) - self.depth[node] for node in live[::2]}
+        while len(ways) > 1:
+            at = max(ways)
+            ways.remove(at)
+            ways.add(at - self.sizes[ends[at - 1]])
+        met = ways.pop()
+        out += self.walk(ends, met, 0)
+        return ends[met:]
 
 
 class ByteCoder(dict):
@@ -213,7 +222,10 @@ class ByteCoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode()
-        ids = self.transducer.encode(data)
+        ids = array("I", self.transducer.encode(data))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        ids = ids.tobytes()
         if len(data) <= SHORT:
             self.held += 260 + len(data) + len(ids)
             if self.held > self.bound:
