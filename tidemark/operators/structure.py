@@ -11,26 +11,30 @@ from tidemark import dims
 from tidemark.functions import lines as L
 from tidemark.functions.clock import jst
 from tidemark.functions.price import split_pair
+from tidemark.operators import intervals as I
 from tidemark.operators.scan import SERIES, chain, with_cell, with_neighbours
 
+#: Levels of runs of 4^level days; the top one holds 45 years.
+DAY_LEVELS = 7
+
 
 def lines_at_bars(bars: DataFrame, lines: DataFrame) -> DataFrame:
     """Value of every chart line at every bar it is valid for.
 
-    A line holds from its first anchor to its second, or to the newest bar if it is a ray or a level. Each line is laid
-    on the days it spans and joined by (symbol, day), so only bars of those days meet it.
+    A line holds from its first anchor to its second, or to its symbol's newest bar if it is a ray or a level; one without an anchor holds from
+    the symbol's first bar. Its days are covered by a few aligned runs, however long it is, which are joined by equality to the runs of the
+    days that have bars; what is left of a line then meets the bars of just those days. Lines of symbols without bars give no row.
     """
-    days = bars.withColumn("_day", F.to_date("bar_time"))
-    # one row
-    span = bars.agg(F.min("bar_time").alias("_first"), F.max("bar_time").alias("_last"))
+    days = bars.withColumn("_day", F.unix_date(F.to_date("bar_time")).cast("bigint"))
+    spans = bars.groupBy("symbol").agg(F.min("bar_time").alias("_begin"), F.max("bar_time").alias("_end"))
     open_end = F.col("ray_right") | F.col("t2").isNull()
-    bounded = lines.crossJoin(F.broadcast(span)).select(
-        *[c for c in lines.columns],
-        F.coalesce(F.least("t1", "t2"), F.col("t1"), F.col("_first")).alias("_from"),
-        F.when(open_end, F.col("_last")).otherwise(F.greatest("t1", "t2")).alias("_to"), "_first", "_last")
-    lo = F.greatest(F.to_date("_from"), F.to_date("_first"))
-    hi = F.least(F.to_date("_to"), F.to_date("_last"))
-    laid = bounded.where(lo <= hi).withColumn("_day", F.explode(F.sequence(lo, hi)))
+    from_ = F.coalesce(F.least("t1", "t2"), F.col("t1"), F.col("_begin"))
+    bounded = lines.join(spans, "symbol").withColumn("_from", F.greatest(from_, F.col("_begin"))).withColumn(
+        "_to", F.least(F.when(open_end, F.col("_end")).otherwise(F.greatest("t1", "t2")), F.col("_end"))).drop("_begin", "_end")
+    day = lambda c: F.unix_date(F.to_date(c)).cast("bigint")
+    runs = I.covered(bounded.withColumn("_first", day("_from")).withColumn("_stop", day("_to") + 1), "_first", "_stop", DAY_LEVELS)
+    stretches = I.runs_of_slots(days.select("symbol", "_day").distinct(), ["symbol"], "_day", DAY_LEVELS)
+    laid = runs.join(stretches, ["symbol", "_level", "_node"]).drop("_level", "_node")
     met = laid.join(days.select("symbol", "tf", "bar_time", "close", "_day"), ["symbol", "_day"]).where(
         F.col("bar_time").between(F.col("_from"), F.col("_to")))
     anchors = [F.col(c) for c in ("t1", "p1", "t2", "p2")]

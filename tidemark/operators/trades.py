@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.dims import DEAL_BUY, DEAL_SELL, ENTRY_IN, ENTRY_INOUT, ENTRY_OUT
 from tidemark.functions import price as P
+from tidemark.operators import intervals as I
 from tidemark.operators.ordering import BLOCK, order_blocks, running_totals
 
 
@@ -86,56 +87,22 @@ def enrich(trades: DataFrame, journal: DataFrame) -> DataFrame:
     )
 
 
-RADIX_BITS = 2
-
-
-def _run_extremes(bars: DataFrame, seconds: int, levels: int) -> DataFrame:
-    """High and low of every aligned run of 4^level grid slots, about 4/3 of the bars in all.
-
-    Bars are first brought together by stretches of 4096 slots, so nearly all of the roll-up happens before the second
-    shuffle.
-    """
-    slot = F.floor(F.unix_seconds("bar_time") / F.lit(seconds))
-    near = bars.select("symbol", slot.alias("_slot"), "high", "low").withColumn(
-        "_stretch", F.shiftright("_slot", 12)).repartition("symbol", "_stretch")
-    runs = near.select("symbol", "_slot", "high", "low", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level"))
-    node = F.expr(f"shiftright(_slot, {RADIX_BITS} * _level)")
-    return runs.select("symbol", "_level", node.alias("_node"), "high", "low").groupBy("symbol", "_level", "_node").agg(
-        F.max("high").alias("_hi"), F.min("low").alias("_lo"))
-
-
 def excursions(trades: DataFrame, bars: DataFrame, seconds: int = 60, levels: int = 12) -> DataFrame:
     """Worst and best move in pips over the bars opened while a trade was held (both ends inclusive).
 
     A long hold on fine bars would join millions of rows. Instead the hold is cut into aligned runs of 4^level slots,
-    at most six per level, and joined by equality to the pre-aggregated runs: a trade costs about 3*log2(bars held)
-    rows whatever its length, and one hot symbol is spread over (level, run). Only the top level (31 years of minutes)
-    lists runs one by one.
+    at most six per level, and joined by equality to the highs and lows of such runs, each level of which is made from the one
+    below: a trade costs about 3*log2(bars held) rows whatever its length, and one hot symbol is spread over (level, run).
+    Only the top level (31 years of minutes) lists runs one by one, and no more levels are made than the longest hold uses.
     """
     # times are whole or fractional epoch seconds
     first = F.ceil(F.col("entry_time") / F.lit(float(seconds)))
     stop = F.floor(F.col("exit_time") / F.lit(float(seconds))) + 1
-    cut = trades.select("ticket", "symbol", first.alias("_first"), stop.alias("_stop")).where("_first < _stop")
-    height = F.least(F.lit(levels), F.ceil(F.log2((F.col("_stop") - F.col("_first")).cast("double")) / RADIX_BITS)).cast("int")
-    steps = cut.select("*", F.explode(F.sequence(F.lit(0), height)).alias("_level")).selectExpr(
-        "*",
-        f"-shiftright(-_first, {RADIX_BITS} * _level) AS _a",
-        f"shiftright(_stop, {RADIX_BITS} * _level) AS _b",
-    ).where("_a < _b").selectExpr(
-        "*",
-        f"-shiftright(-_a, {RADIX_BITS}) AS _next_a",
-        f"shiftright(_b, {RADIX_BITS}) AS _next_b",
-    )
-    none = F.array().cast("array<bigint>")
-    width = 1 << RADIX_BITS
-    left, right = F.col("_next_a") * width, F.col("_next_b") * width
-    last_level = (F.col("_next_a") >= F.col("_next_b")) | (F.col("_level") == levels)
-    runs = F.when(last_level, F.sequence("_a", F.col("_b") - 1)).otherwise(F.concat(
-        F.when(F.col("_a") < left, F.sequence("_a", left - 1)).otherwise(none),
-        F.when(right < F.col("_b"), F.sequence(right, F.col("_b") - 1)).otherwise(none)))
-    pieces = steps.select("ticket", "symbol", "_level", F.explode(runs).alias("_node"))
-    tree = _run_extremes(bars, seconds, levels)
-    held = pieces.join(tree, ["symbol", "_level", "_node"]).groupBy("ticket").agg(
+    cut = trades.select("ticket", "symbol", first.alias("_first"), stop.alias("_stop"))
+    needed = I.levels_for(cut.agg(F.max(F.col("_stop") - F.col("_first"))).first()[0], levels)
+    tree = I.extremes_by_run(bars, ["symbol"], F.floor(F.unix_seconds("bar_time") / F.lit(seconds)), {"_hi": F.col("high"), "_lo": F.col("low")},
+                             {"_hi": F.max("_hi"), "_lo": F.min("_lo")}, needed)
+    held = I.covered(cut, "_first", "_stop", needed).join(tree, ["symbol", "_level", "_node"]).groupBy("ticket").agg(
         F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"))
     out = trades.join(held, "ticket", "left")
     buy = F.col("type") == "BUY"

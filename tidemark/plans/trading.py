@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.dims import HISTORY_RANGES
+from tidemark.operators import nested as N
 from tidemark.operators import performance as PF
 from tidemark.operators import trades as T
 from tidemark.operators.bars import ticks_to_bars
 from tidemark.plans import standins as S
 from tidemark.plans.market import TICKS, R, rounded
-from tidemark.session import durable
+from tidemark.operators.ordering import BLOCK
+from tidemark.session import durable, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -79,10 +81,14 @@ def _trades(spark, sf_dir):
     return T.pair_deals(S.deals(spark, sf_dir))
 
 
+def _blocked(spark, sf_dir):
+    """Closed trades with their order blocks, of the columns that range statistics need; they feed several passes and are written once."""
+    trades = T.pair_deals(S.deals(spark, sf_dir), keep_blocks=True)
+    return written(trades.select("ticket", "symbol", "exit_time", "pnl", BLOCK), "trades"), F.unix_seconds(S.now()).cast("double")
+
+
 def _ranged(spark, sf_dir):
-    # closed trades feed several passes: written once
-    trades = durable(T.pair_deals(S.deals(spark, sf_dir), keep_blocks=True))
-    return PF.in_ranges(trades, F.unix_seconds(S.now()).cast("double"))
+    return PF.in_ranges(*_blocked(spark, sf_dir))
 
 
 @query("deals_in_window", f"""WITH {DEALS} SELECT ticket, position_id, {R("time", "time", 3)} FROM deals
@@ -130,7 +136,7 @@ def trade_range_slices(spark, sf_dir):
 @query("equity_curve_by_range", f"""WITH RECURSIVE {CURVE} SELECT range_label, ticket, {R("equity", "equity")}, {R("peak", "peak")},
   {R("greatest(0, peak)", "floor_peak")}, {R("equity - peak", "underwater")} FROM curve""")
 def equity_curve_by_range(spark, sf_dir):
-    c = PF.equity_curve(_ranged(spark, sf_dir))
+    c = N.nested_curve(*_blocked(spark, sf_dir))
     return rounded(c.select("range_label", "ticket", "equity", "peak", "floor_peak", "underwater"))
 
 
@@ -140,7 +146,7 @@ SELECT range_label, {R("max(dd)", "max_drawdown_abs")},
   {R("first(CASE WHEN peak > 0 THEN dd / peak * 100 ELSE 0 END ORDER BY dd DESC, exit_time, ticket)", "max_drawdown_pct")}
 FROM dd GROUP BY range_label""")
 def range_drawdown(spark, sf_dir):
-    return rounded(PF.range_drawdown(PF.equity_curve(_ranged(spark, sf_dir))))
+    return rounded(N.nested_drawdown(*_blocked(spark, sf_dir)))
 
 
 @query("win_loss_streaks", f"""WITH RECURSIVE {RANGED},
@@ -151,7 +157,7 @@ SELECT range_label, coalesce(max(len) FILTER (WHERE s > 0), 0) AS max_win_streak
   coalesce(max(len) FILTER (WHERE s < 0), 0) AS max_loss_streak,
   CAST(arg_max(len * s, last_rn) AS BIGINT) AS current_streak FROM isl GROUP BY range_label""")
 def win_loss_streaks(spark, sf_dir):
-    return PF.streaks(_ranged(spark, sf_dir))
+    return N.nested_streaks(*_blocked(spark, sf_dir))
 
 
 @query("risk_adjusted_ratios", f"""WITH RECURSIVE {CURVE},
@@ -163,7 +169,7 @@ SELECT range_label, {R("CASE WHEN sd > 0 THEN m / sd * sqrt(n) END", "sharpe")},
   {R("CASE WHEN mdd > 0 THEN net / mdd END", "calmar")}, {R("CASE WHEN mdd > 0 THEN net / mdd END", "recovery_factor")},
   {R("ulcer", "ulcer_index", 4)}, {R("mdd", "max_drawdown_abs")}, {R("uw", "underwater_pct")} FROM a""")
 def risk_adjusted_ratios(spark, sf_dir):
-    r = PF.risk_ratios(PF.equity_curve(_ranged(spark, sf_dir)))
+    r = N.nested_ratios(*_blocked(spark, sf_dir))
     return rounded(r.withColumn("ulcer_index", F.round("ulcer_index", 4)))
 
 
@@ -172,7 +178,7 @@ v AS (SELECT range_label, quantile_cont(pnl, 0.05) AS var FROM ranged GROUP BY r
 SELECT range_label, {R("first(var)", "var_95")}, {R("avg(pnl) FILTER (WHERE pnl <= var)", "cvar_95")}
 FROM ranged JOIN v USING (range_label) GROUP BY range_label""")
 def value_at_risk(spark, sf_dir):
-    return rounded(PF.value_at_risk(_ranged(spark, sf_dir)))
+    return rounded(N.nested_value_at_risk(*_blocked(spark, sf_dir)))
 
 
 @query("latest_journal_per_ticket", f"""WITH {JOURNAL} SELECT ticket, seq, ts, {R("sl", "sl")}, {R("tp", "tp")} FROM jn""")
