@@ -127,25 +127,51 @@ def confluence(levels: DataFrame, atr: DataFrame, width: float = dims.CONFLUENCE
         "symbol", F.col("price").alias("zone_low"), "zone_high", "n_levels", F.least(F.lit(5), F.col("n_levels").cast("int")).alias("stars"))
 
 
-def bar_patterns(bars: DataFrame) -> DataFrame:
-    """Pin bars, engulfing, inside bar, inside-bar break and three-bar reversal, one row per pattern and bar."""
-    near, w = with_neighbours(chain(with_cell(bars.drop("cell", "idx", "n"))), 2)
-    lagged = near.select("*", *[F.lag(c, i).over(w).alias(f"_{c}{i}") for i in (1, 2) for c in ("open", "high", "low", "close")]).where("_own")
+#: Bars after an inside bar in which a close beyond its mother bar counts as its break.
+BREAK_BARS = 5
+
+
+def _breaks(n: int, side: str) -> Column:
+    """Whether this bar's close is the first one beyond the mother bar of an inside bar up to ``n`` bars back, and on ``side``.
+
+    ``_near`` holds the bars before this one, the newest first.
+    """
+    near = F.col("_near")
+
+    def of(k: int) -> Column:
+        inner, mother = F.get(near, F.lit(k - 1)), F.get(near, F.lit(k))
+        held = F.forall(F.slice(near, 1, k - 1), lambda b: (b["close"] <= mother["high"]) & (b["close"] >= mother["low"])) if k > 1 else F.lit(True)
+        beyond = F.col("close") > mother["high"] if side == "up" else F.col("close") < mother["low"]
+        return (inner["high"] <= mother["high"]) & (inner["low"] >= mother["low"]) & held & beyond
+
+    out = F.lit(False)
+    for k in range(1, n + 1):
+        out = out | F.coalesce(of(k), F.lit(False))
+    return out
+
+
+def bar_patterns(bars: DataFrame, break_bars: int = BREAK_BARS) -> DataFrame:
+    """Pin bars, engulfing, inside bar, inside-bar break and three-bar reversal, one row per pattern and bar.
+
+    An inside bar breaks at the first of the ``break_bars`` bars after it that closes beyond its mother bar; after them it never does.
+    """
+    near, w = with_neighbours(chain(with_cell(bars.drop("cell", "idx", "n"))), max(2, break_bars + 1))
+    before = F.reverse(F.collect_list(F.struct("high", "low", "close")).over(w.rowsBetween(-(break_bars + 1), -1)))
+    lagged = near.select("*", before.alias("_near"), *[F.lag(c, i).over(w).alias(f"_{c}{i}") for i in (1, 2) for c in ("open", "high", "low", "close")]).where("_own")
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     o1, h1, l1, c1 = (F.col(f"_{x}1") for x in ("open", "high", "low", "close"))
     o2, h2, l2, c2 = (F.col(f"_{x}2") for x in ("open", "high", "low", "close"))
     body = F.abs(c - o)
     upper, lower = h - F.greatest(o, c), F.least(o, c) - lo
     inside = (h <= h1) & (lo >= l1)
-    inside_before = (h1 <= h2) & (l1 >= l2)
     found = F.array_compact(F.array(
         F.when((body > 0) & (lower >= body * 2) & (upper < body * 0.3), "pin_bull"),
         F.when((body > 0) & (upper >= body * 2) & (lower < body * 0.3), "pin_bear"),
         F.when((c > o) & (c1 < o1) & (o <= c1) & (c >= o1), "engulf_bull"),
         F.when((c < o) & (c1 > o1) & (o >= c1) & (c <= o1), "engulf_bear"),
         F.when(inside, "inside"),
-        F.when(inside_before & (c > h2), "inside_break_up"),
-        F.when(inside_before & (c < l2), "inside_break_down"),
+        F.when(_breaks(break_bars, "up"), "inside_break_up"),
+        F.when(_breaks(break_bars, "down"), "inside_break_down"),
         F.when((c2 < o2) & (l1 < l2) & (l1 < lo) & (c > h1), "reversal_bull"),
         F.when((c2 > o2) & (h1 > h2) & (h1 > h) & (c < l1), "reversal_bear"),
     ))

@@ -209,7 +209,7 @@ def quote_documents(spark, sf_dir):
     return rounded(MF.parse_quotes(bodies, ["key", "line"]))
 
 
-@query("weekly_positioning_metrics", """SELECT 1""")
+@query("weekly_positioning_metrics")
 def weekly_positioning_metrics(spark, sf_dir):
     rows = W.usable_rows(MF.parse_positioning(S.positioning_bodies(spark, sf_dir)))
     return rounded(W.weekly_metrics(rows))

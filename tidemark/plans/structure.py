@@ -34,7 +34,7 @@ DRAWN = """dr AS (SELECT p_partkey AS k, list_value('click', 'error', 'purchase'
   p_retailprice / 20 AS p1, p_retailprice / 20 + p_size % 13 - 6 AS p2, p_retailprice / 25 AS p3, p_partkey % 4 = 0 AS ray FROM part)"""
 
 
-def _documents(spark, sf_dir):
+def documents(spark, sf_dir):
     """Line documents: one per drawing, as the charting side exports them."""
     p = S.table(spark, sf_dir, "part")
     k, size = F.col("p_partkey"), F.col("p_size")
@@ -83,7 +83,11 @@ def _documents(spark, sf_dir):
   list_value('resistance', 'support', 'trend_up', 'trend_down', 'supply', 'demand', 'other')[k % 7 + 1] AS category,
   list_value('strong', 'weak', NULL, 'major', NULL, NULL, NULL)[k % 7 + 1] AS weight, list_value('D1', 'H4', 'D1', NULL, 'H1', NULL, NULL)[k % 7 + 1] AS tf FROM dr""")
 def chart_line_objects(spark, sf_dir):
-    o = D.explode_lines(_documents(spark, sf_dir))
+    return line_objects(documents(spark, sf_dir))
+
+
+def line_objects(docs):
+    o = D.explode_lines(docs)
     n = F.col("name")
     return rounded(o.select("symbol", "kind", "name", "t1", "p1", "t2", "p2", "ray_right", L.name_category(n).alias("category"),
                             L.name_weight(n).alias("weight"), L.name_timeframe(n).alias("tf")))
@@ -99,7 +103,7 @@ SELECT symbol, t AS bar_time, kind, name, {R("CASE WHEN kind IN ('trendline', 'c
   {R("CASE WHEN kind IN ('horizontal', 'text') OR t1 = t2 THEN 0 WHEN kind = 'rectangle' THEN (greatest(p1, p2) - least(p1, p2)) / (t2 - t1) * 86400 ELSE (p2 - p1) / (t2 - t1) * 86400 END", "slope_per_day")},
   {R("CASE WHEN kind = 'fibonacci' THEN p1 + (p2 - p1) * 0.382::DOUBLE END", "fib_382")} FROM v""")
 def lines_at_bars(spark, sf_dir):
-    out = G.lines_at_bars(S.stored_bars(spark, sf_dir, "H4"), D.explode_lines(_documents(spark, sf_dir)))
+    out = G.lines_at_bars(S.stored_bars(spark, sf_dir, "H4"), D.explode_lines(documents(spark, sf_dir)))
     return rounded(out.select("symbol", "bar_time", "kind", "name", "value", "other_value", "slope_per_day",
                               F.get("level_prices", F.lit(1)).alias("fib_382")))
 
@@ -173,6 +177,11 @@ def confluence_zones(spark, sf_dir):
 
 
 @query("bar_patterns", f"""WITH {BARS},
+nb AS (SELECT symbol, t, high AS h, low AS l, "close" AS c, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM bars WHERE tf = 'M15'),
+ins AS (SELECT a.symbol, a.i, m.h, m.l FROM nb a JOIN nb m ON m.symbol = a.symbol AND m.i = a.i - 1 WHERE a.h <= m.h AND a.l >= m.l),
+brk AS (SELECT n.symbol, n.t, CASE WHEN n.c > ins.h THEN 'inside_break_up' ELSE 'inside_break_down' END AS side
+  FROM ins JOIN nb n ON n.symbol = ins.symbol AND n.i BETWEEN ins.i + 1 AND ins.i + {G.BREAK_BARS} WHERE n.c > ins.h OR n.c < ins.l
+  QUALIFY row_number() OVER (PARTITION BY ins.symbol, ins.i ORDER BY n.i) = 1),
 g AS (SELECT symbol, t, open AS o, high AS h, low AS l, "close" AS c, lag(open) OVER w AS o1, lag(high) OVER w AS h1, lag(low) OVER w AS l1, lag("close") OVER w AS c1,
   lag(open, 2) OVER w AS o2, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, lag("close", 2) OVER w AS c2 FROM bars WHERE tf = 'M15' WINDOW w AS (PARTITION BY symbol ORDER BY t))
 SELECT symbol, 'M15' AS tf, t AS bar_time, 'pin_bull' AS pattern FROM g WHERE c <> o AND least(o, c) - l >= abs(c - o) * 2 AND h - greatest(o, c) < abs(c - o) * 0.3::DOUBLE
@@ -180,8 +189,7 @@ UNION ALL SELECT symbol, 'M15', t, 'pin_bear' FROM g WHERE c <> o AND h - greate
 UNION ALL SELECT symbol, 'M15', t, 'engulf_bull' FROM g WHERE c > o AND c1 < o1 AND o <= c1 AND c >= o1
 UNION ALL SELECT symbol, 'M15', t, 'engulf_bear' FROM g WHERE c < o AND c1 > o1 AND o >= c1 AND c <= o1
 UNION ALL SELECT symbol, 'M15', t, 'inside' FROM g WHERE h <= h1 AND l >= l1
-UNION ALL SELECT symbol, 'M15', t, 'inside_break_up' FROM g WHERE h1 <= h2 AND l1 >= l2 AND c > h2
-UNION ALL SELECT symbol, 'M15', t, 'inside_break_down' FROM g WHERE h1 <= h2 AND l1 >= l2 AND c < l2
+UNION ALL SELECT DISTINCT symbol, 'M15', t, side FROM brk
 UNION ALL SELECT symbol, 'M15', t, 'reversal_bull' FROM g WHERE c2 < o2 AND l1 < l2 AND l1 < l AND c > h1
 UNION ALL SELECT symbol, 'M15', t, 'reversal_bear' FROM g WHERE c2 > o2 AND h1 > h2 AND h1 > h AND c < l1""")
 def bar_patterns(spark, sf_dir):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.guards import finite_or_null
@@ -142,9 +144,41 @@ def changed_only(payloads: DataFrame, previous: DataFrame, key: str = "symbol",
     return hashed.join(previous.select(key, "content_hash"), [key, "content_hash"], "left_anti")
 
 
+#: Published versions of a last-good store that stay, so that readers that have begun can end.
+KEPT_GOOD = 2
+_PUBLISHED = "_PUBLISHED"
+
+
+def _published(spark: SparkSession, path: str) -> tuple[Any, list[str]]:
+    """The file system of ``path`` and its published versions, oldest first."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/{_PUBLISHED}"))
+    return fs, sorted(str(m.getPath().getParent().getName()) for m in (marks or []))
+
+
 def save_last_good(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").parquet(path)
+    """Publish ``rows`` as the newest version of the store; until then, and if anything fails, readers find the version before.
+
+    The version is written aside, read back and counted against what was written, and only then marked; the mark is one empty file. The newest
+    ``KEPT_GOOD`` versions stay.
+    """
+    spark = rows.sparkSession
+    name = f"version={time.time_ns():020d}"
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/{name}")
+    n = spark.read.schema(rows.schema).parquet(f"{path}/{name}").count()
+    if n != seen.get["n"]:
+        raise RuntimeError(f"{path}/{name} holds {n} rows of {seen.get['n']} and is not published")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs, _ = _published(spark, path)
+    fs.create(hadoop(f"{path}/{name}/{_PUBLISHED}"), False).close()
+    for old in _published(spark, path)[1][:-KEPT_GOOD]:
+        fs.delete(hadoop(f"{path}/{old}"), True)
 
 
 def load_last_good(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("stale", F.lit(True))
+    """The newest published version, marked stale."""
+    versions = _published(spark, path)[1]
+    if not versions:
+        raise FileNotFoundError(f"nothing is published under {path}")
+    return spark.read.parquet(f"{path}/{versions[-1]}").withColumn("stale", F.lit(True))

@@ -149,13 +149,18 @@ def upsert_latest(path: str, key: str, order: str) -> Callable[[DataFrame, int],
             both = held.select(*newest.columns).unionByName(newest)
             newest = both.groupBy(key).agg(F.max_by(F.struct(*newest.columns), order).alias("r")).select("r.*")
         newest.write.mode("overwrite").parquet(f"{path}/version={epoch}")
-        fs, versions = _versions(spark, path)
-        for old in versions[:-KEPT_VERSIONS]:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
+        drop_old_versions(spark, path)
 
     return write
 
 
+def drop_old_versions(spark: SparkSession, path: str) -> None:
+    """Remove all but the newest ``KEPT_VERSIONS`` complete versions under ``path``."""
+    fs, versions = _versions(spark, path)
+    for old in versions[:-KEPT_VERSIONS]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
+
+
 def _versions(spark: SparkSession, path: str) -> tuple[Any, list[int]]:
     """The file system of ``path``, and the complete versions there, found by their success markers, oldest first."""
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
