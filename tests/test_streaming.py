@@ -88,3 +88,18 @@ def test_upsert_keeps_the_newest_versions(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("version=")) == ["version=3", "version=4"]
     got = {r.symbol: r.price for r in jobs.latest_version(spark, str(tmp_path)).collect()}
     assert got == {"A": 4.0, **{f"S{i}": 1.0 for i in range(5)}}
+
+
+def test_a_domain_runs_at_its_own_cadence(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    spark.createDataFrame(ticks(spark, 20), TICK).coalesce(1).write.parquet(src)
+    quotes = jobs.latest_quotes(jobs.tick_stream(spark, src, TICK))
+    query = jobs.start_domain(quotes, "price", out, ck, "symbol", "ts")
+    try:
+        query.processAllAvailable()
+        assert query.name == "price" and query.isActive and {r.symbol for r in jobs.latest_version(spark, out).collect()} == {"A", "B"}
+        spark.createDataFrame([("C", START, 99, 1.0)], TICK).coalesce(1).write.mode("append").parquet(src)
+        query.processAllAvailable()
+        assert {r.symbol for r in jobs.latest_version(spark, out).collect()} == {"A", "B", "C"}
+    finally:
+        query.stop()

@@ -13,6 +13,7 @@ from tidemark.functions.clock import jst
 from tidemark.functions.price import split_pair
 from tidemark.operators import intervals as I
 from tidemark.operators.scan import SERIES, chain, with_cell, with_neighbours
+from tidemark.session import written
 
 #: Levels of runs of 4^level days; the top one holds 45 years.
 DAY_LEVELS = 7
@@ -213,30 +214,52 @@ def strength_bias(pairs: DataFrame, strength: DataFrame) -> DataFrame:
     return joined.select("pair", "window", d.alias("delta"), label.alias("bias"))
 
 
-def correlation_matrix(bars: DataFrame, symbols: Sequence[str], windows: Sequence[int] = dims.CORRELATION_WINDOWS) -> DataFrame:
+def _common_times(returns: DataFrame, symbols: int) -> DataFrame:
+    """Times at which every symbol has a return."""
+    return returns.where(F.col("_r").isNotNull()).groupBy("bar_time").agg(F.count_distinct("symbol").alias("_k")).where(F.col("_k") == symbols).drop("_k")
+
+
+def correlation_matrix(bars: DataFrame, symbols: Sequence[str], windows: Sequence[int] = dims.CORRELATION_WINDOWS, *, stored: bool = False) -> DataFrame:
     """Correlation of close returns over the newest bars common to all symbols; no variance counts as 0.
 
-    Symbols may trade on different grids: each return is over the symbol's own previous bar, whatever its distance. Returns are
-    laid side by side per bar time, so the pairs are column pairs and no self-join is needed.
+    Symbols may trade on different grids: each return is over the symbol's own previous bar, whatever its distance. History is read back from
+    the newest bar, four times as far each time, until it holds as many common times as the widest window asks for; what a shorter reach cuts
+    off lies behind all common times it holds. The moments of a pair combine, each pair is summed once, and the plan does not grow with the
+    symbols. ``stored=True`` says the input is a table scan already; else its three columns are written once.
     """
-    chained = chain(with_cell(bars.select(*SERIES, "bar_time", "close").where(F.col("symbol").isin(*symbols))), ("close",))
-    returns = chained.select("symbol", "bar_time", (F.try_divide("close", "prev_close") - 1.0).alias("_r")).where(F.col("_r").isNotNull())
-    wide = returns.groupBy("bar_time").pivot("symbol", list(symbols)).agg(F.first("_r")).dropna("any")
-    # at most max(windows) rows from here on
-    top = wide.orderBy(F.col("bar_time").desc()).limit(max(windows))
+    names, need = sorted(symbols), max(windows)
+    own = bars.where(F.col("symbol").isin(*names)).select("symbol", "bar_time", "close")
+    own = own if stored else written(own, "correlation")
+    ends = own.groupBy("symbol").agg(F.unix_micros(F.min("bar_time").cast("timestamp")).alias("a"), F.unix_micros(F.max("bar_time").cast("timestamp")).alias("z")).collect()
+    oldest, newest = min((r["a"] for r in ends), default=0), max((r["z"] for r in ends), default=0)  # one row a symbol
+    reach = max((newest - oldest) // 64, 1)
+    while True:
+        start = max(oldest, newest - reach)
+        part = own.where(F.col("bar_time") >= F.timestamp_micros(F.lit(start)))
+        before = F.lag("close").over(Window.partitionBy("symbol").orderBy("bar_time"))
+        returns = part.select("symbol", "bar_time", (F.try_divide("close", before) - 1.0).alias("_r"))
+        top = _common_times(returns, len(names)).orderBy(F.col("bar_time").desc()).limit(need)
+        if start <= oldest or top.count() >= need:
+            break
+        reach *= 4
+    # at most `need` times from here on
     ranked = top.withColumn("_rn", F.row_number().over(Window.orderBy(F.col("bar_time").desc())))
-    pairs = [(a, b) for a in symbols for b in symbols]
-    aggs = []
-    for n in windows:
-        for i, (a, b) in enumerate(pairs):
-            here = F.col("_rn") <= n
-            aggs.append(F.corr(F.when(here, F.col(f"`{a}`")), F.when(here, F.col(f"`{b}`"))).alias(f"c{n}_{i}"))
-    one = ranked.agg(*aggs)
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("bars"), F.lit(a).alias("symbol_a"), F.lit(b).alias("symbol_b"),
-                 F.coalesce(F.when(~F.isnan(f"c{n}_{i}"), F.col(f"c{n}_{i}")), F.lit(0.0)).alias("corr"))
-        for n in windows for i, (a, b) in enumerate(pairs)]))
-    return one.select(cells.alias("c")).select("c.*")
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("symbol")).cast("int") - 1
+    side = returns.where(F.col("_r").isNotNull()).join(F.broadcast(ranked), "bar_time").groupBy("_rn").agg(
+        F.sort_array(F.collect_list(F.struct(place.alias("i"), F.col("_r").alias("r")))).alias("_v"))
+    wide = side.select(F.explode(F.filter(F.array(*[F.lit(n) for n in windows]), lambda n: n >= F.col("_rn"))).alias("bars"), F.col("_v.r").alias("_v"))
+    left = wide.select("bars", "_v", F.posexplode("_v").alias("i", "x"))
+    pairs = left.select("bars", "i", "x", F.posexplode(F.slice("_v", F.col("i") + 1, len(names))).alias("d", "y"))
+    corr = pairs.groupBy("bars", "i", (F.col("i") + F.col("d")).alias("j")).agg(F.corr("x", "y").alias("c"))
+    k, cell = len(names), F.col("id")
+    grid = bars.sparkSession.range(k * k * len(windows)).select(
+        F.element_at(F.array(*[F.lit(n) for n in windows]), (cell / (k * k)).cast("int") + 1).alias("bars"),
+        (cell % k).cast("int").alias("a"), (F.floor(cell / k) % k).cast("int").alias("b"))
+    grid = grid.withColumn("i", F.least("a", "b")).withColumn("j", F.greatest("a", "b"))
+    name = lambda c: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(c) + 1)
+    found = grid.join(corr, ["bars", "i", "j"], "left")
+    return found.select("bars", name("a").alias("symbol_a"), name("b").alias("symbol_b"),
+                        F.coalesce(F.when(~F.isnan("c"), F.col("c")), F.lit(0.0)).alias("corr"))
 
 
 def touch_tier(distance: Column, atr: Column) -> Column:

@@ -171,3 +171,23 @@ def stream_change_counters(spark, sf_dir):
         stream = spark.readStream.schema(e.drop("delivery").schema).parquet(f"{base}/in")
         ledger.drained(stream, ledger.change_counters(f"{base}/out", ("purchase", "view")), f"{base}/checkpoint")
     return jobs.latest_version(spark, f"{base}/out").select("domain", "key", "version", "heavy_version")
+
+
+@query("stream_setup_alerts", """WITH hours AS (
+  SELECT event_type AS symbol, date_trunc('hour', ts) AS h, round(avg(value), 6) AS v, count(*) AS n FROM events GROUP BY 1, 2),
+c AS (SELECT symbol, h, CASE WHEN n % 3 = 0 THEN 'neutral' WHEN v > 250 THEN 'buy' ELSE 'sell' END AS cls, (v - 250) / 10 AS score FROM hours),
+a AS (SELECT *, CASE WHEN cls <> 'neutral' AND abs(score) >= 5 THEN cls END AS active FROM c),
+p AS (SELECT *, lag(active) OVER w AS previous, row_number() OVER w AS rn FROM a WINDOW w AS (PARTITION BY symbol ORDER BY h))
+SELECT symbol, cls, epoch_us(h) // 1000000 AS "at" FROM p WHERE rn > 1 AND active IS NOT NULL AND active IS DISTINCT FROM previous""")
+def stream_setup_alerts(spark, sf_dir):
+    """A class per symbol and hour; an alert wherever a class newly becomes one of high conviction."""
+    use_utc(spark)
+    base = f"{work_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    e = S.table(spark, sf_dir, "events")
+    hours = e.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("at")).agg(
+        F.round(F.avg("value"), 6).alias("v"), F.count(F.lit(1)).alias("n"))
+    cls = F.when(F.col("n") % 3 == 0, "neutral").when(F.col("v") > 250, "buy").otherwise("sell")
+    scores = hours.select("symbol", cls.alias("cls"), ((F.col("v") - 250) / 10).alias("score"), "at")
+    scores.write.parquet(f"{base}/in")
+    jobs.run_available(jobs.setup_alerts(jobs.tick_stream(spark, f"{base}/in", scores.schema)), f"{base}/out", f"{base}/checkpoint")
+    return rounded(spark.read.parquet(f"{base}/out").select("symbol", "cls", "at"))

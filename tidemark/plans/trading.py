@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.dims import HISTORY_RANGES
+from tidemark.dims import DEFAULT_RANGE_DAYS, HISTORY_RANGES
 from tidemark.operators import nested as N
 from tidemark.operators import performance as PF
 from tidemark.operators import trades as T
@@ -123,6 +123,16 @@ def trade_range_summary(spark, sf_dir):
     return rounded(PF.range_summary(_ranged(spark, sf_dir)))
 
 
+@query("range_label_days", f"""SELECT ticket, label, coalesce(days, {DEFAULT_RANGE_DAYS}) AS days FROM (
+  SELECT event_id AS ticket, list_value({", ".join(f"'{x}'" for x in (*[lbl for lbl, _ in HISTORY_RANGES], "2d", ""))}, NULL)[event_id % {len(HISTORY_RANGES) + 3} + 1] AS label FROM events)
+LEFT JOIN (VALUES {", ".join(f"('{lbl}', {'NULL' if d is None else d})" for lbl, d in HISTORY_RANGES)}) r(label, days) USING (label)""")
+def range_label_days(spark, sf_dir):
+    """Days of known, unknown, empty and missing range labels."""
+    labels = F.array(*[F.lit(x) for x in (*[lbl for lbl, _ in HISTORY_RANGES], "2d", "", None)])
+    e = S.table(spark, sf_dir, "events").select(F.col("event_id").alias("ticket"), F.get(labels, (F.col("event_id") % (len(HISTORY_RANGES) + 3)).cast("int")).alias("label"))
+    return e.select("ticket", "label", PF.range_days(F.col("label")).alias("days"))
+
+
 @query("trade_range_slices", f"""WITH RECURSIVE {RANGED},
 h AS (SELECT *, (CAST(floor(exit_time) AS BIGINT) // 3600 + 9) % 24 AS hj FROM ranged)
 SELECT range_label, CASE WHEN grouping(symbol) = 0 THEN 'symbol' WHEN grouping(hj) = 0 THEN 'hour_jst' ELSE 'range' END AS slice,

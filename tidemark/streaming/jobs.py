@@ -113,7 +113,7 @@ ALERT_SCHEMA = "symbol string, cls string, score double, at timestamp"
 
 
 def _alert(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("at")
+    rows = pd.concat(list(batches)).sort_values("at", kind="stable")  # the scores of one symbol in one trigger
     seeded, previous = (True, state.get[0]) if state.exists else (False, None)
     out = []
     for at, cls, score in zip(rows["at"], rows["cls"], rows["score"]):
