@@ -1,10 +1,12 @@
 """SentencePiece encoding by an Aho-Corasick automaton and a single-pass Viterbi search, and decoding.
 
 The automaton holds all ordinary pieces. As it reads a text it gives, for every position, the pieces that end there, the longest first, by
-following its output links; each relaxes the best score at its end from the best at its start. A character that no piece covers alone may
-also be passed at the unknown score, ten below the least piece, and becomes its bytes. The scores are those of the model file, and their sum
-is maximised. Where no piece of the vocabulary joins a blank to a character before it, a text falls into stretches that start with blanks,
-and the pieces of a stretch are remembered per worker in a table of bounded size.
+following its output links; each is relaxed from the place where it starts. The file at hand is a merge-order model: its scores are ranks, whose
+sum means nothing, and what the library looks for is the one split that merging in their order leaves. A split is that one exactly if every two
+neighbouring pieces would stay apart were they alone, so a link relaxes the best split of its start only if the last piece there and its own
+stay apart; then each position has one best split, and it is the library's. A character that is no piece may be passed alone and becomes its
+bytes. Where no piece of the vocabulary joins a blank to a character before it, a text falls into stretches that start with blanks, and the
+pieces of a stretch are remembered per worker within a bound in bytes.
 """
 
 from __future__ import annotations
@@ -20,33 +22,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.byte_bpe import Merges
 from tidemark.llm.common import in_batches, with_field
 
 BLANK = "▁"
-#: Stretches remembered per Python worker; the table starts anew when it is full.
-REMEMBERED = 1 << 19
-_UNKNOWN_BELOW = 10.0
+#: Estimated bytes of stretches whose ids a Python worker remembers, and of pairs known to stay apart or not; the tables start anew beyond.
+STRETCH_BYTES = 96 << 20
+PAIR_BYTES = 64 << 20
+#: Characters of the longest stretch that is remembered.
+SHORT = 64
+
+
+class Characters(dict):
+    """Texts of numbered pieces; numbers behind them are the characters that are no pieces."""
+
+    def __init__(self, pieces: list[str]):
+        super().__init__(enumerate(pieces))
+        self.pieces = len(pieces)
+
+    def __missing__(self, number: int) -> str:
+        return chr(number - self.pieces)
+
+
+class PieceMerges(Merges):
+    """Merges of pieces, numbered by falling score; single characters are there from the start, pieces or not."""
+
+    def __init__(self, pieces: list[str]):  # all texts are whole characters, so nothing is asked of single bytes
+        self.ranks = {p: rank for rank, p in enumerate(pieces)}
+        self.bytes_of = Characters(pieces)
+        self.halves = {}
+        self.known: dict[int, bool] = {}
+
+    def sound(self, number: int) -> bool:
+        """Whether merging the characters of a piece gives the piece."""
+        try:
+            return len(self.bytes_of[number]) == 1 or bool(self.split(number))
+        except ValueError:
+            return False
+
+    def follows(self, left: int, right: int) -> bool:
+        """Whether piece `right` may come after `left` (-1: at the start)."""
+        pair = (left + 1) << 32 | right
+        found = self.known.get(pair)
+        if found is None:
+            if len(self.known) * 140 > PAIR_BYTES:
+                self.known.clear()
+            found = self.known[pair] = self.sound(right) and (left < 0 or self.apart(left, right))
+        return found
 
 
 class PieceModel(dict):
     """Stretch of text -> its piece ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, bound: int = STRETCH_BYTES):
         super().__init__()
+        self.bound = bound
+        self.held = 0
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.scores = np.zeros(n)
+        plain.sort(key=lambda i: (-model.get_score(i), i))
+        self.ids = plain
+        self.merges = PieceMerges([pieces[i] for i in plain])
         self.automaton = ahocorasick.Automaton()
-        for i in plain:
-            self.scores[i] = model.get_score(i)
-            self.automaton.add_word(pieces[i], (len(pieces[i]), self.scores[i], i))
+        for rank, i in enumerate(plain):
+            self.automaton.add_word(pieces[i], (len(pieces[i]), rank))
         self.automaton.make_automaton()
         self.single = {pieces[i] for i in plain if len(pieces[i]) == 1}
-        self.unknown = min(self.scores[plain], default=0.0) - _UNKNOWN_BELOW
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if not all(model.is_byte(i) for i in self.byte_ids):
             raise ValueError("the vocabulary has no byte pieces, so unknown characters can't be written")
@@ -62,39 +107,42 @@ class PieceModel(dict):
         self.first = np.cumsum(self.sizes) - self.sizes
 
     def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[stretch] = ids = np.array(self.viterbi(stretch.replace(" ", BLANK)), "<u4").tobytes()
+        ids = np.array(self.viterbi(stretch.replace(" ", BLANK)), "<u4").tobytes()
+        if len(stretch) <= SHORT:
+            self.held += 260 + 2 * len(stretch) + len(ids)
+            if self.held > self.bound:
+                self.clear()
+                self.held = 0
+            self[stretch] = ids
         return ids
 
     def viterbi(self, s: str) -> list[int]:
-        """Piece ids of the split of `s` with the greatest sum of scores; of equal ones that with the longest last piece."""
+        """Piece ids of the one split of `s` whose neighbours all stay apart."""
         n = len(s)
-        best = [float("-inf")] * (n + 1)
-        best[0] = 0.0
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        last = [-1] * (n + 1)  # number of the last piece of the split of each prefix
         done = 0
-        single, unknown = self.single, self.unknown
-        for end, (size, score, i) in self.automaton.iter(s):
+        single, follows, unknown = self.single, self.merges.follows, len(self.ids)
+        for end, (size, rank) in self.automaton.iter(s):
             while done < end:  # all pieces that end before this one are known
-                if s[done] not in single and best[done] + unknown > best[done + 1]:
-                    best[done + 1], back[done + 1] = best[done] + unknown, (done, -1)
+                if last[done + 1] < 0 and s[done] not in single and follows(last[done], unknown + ord(s[done])):
+                    last[done + 1] = unknown + ord(s[done])
                 done += 1
             start = end + 1 - size
-            if best[start] + score > best[end + 1]:
-                best[end + 1], back[end + 1] = best[start] + score, (start, i)
+            if last[end + 1] < 0 and (last[start] >= 0 or not start) and follows(last[start], rank):
+                last[end + 1] = rank
         while done < n:
-            if s[done] not in single and best[done] + unknown > best[done + 1]:
-                best[done + 1], back[done + 1] = best[done] + unknown, (done, -1)
+            if last[done + 1] < 0 and s[done] not in single and follows(last[done], unknown + ord(s[done])):
+                last[done + 1] = unknown + ord(s[done])
             done += 1
         out: list[int] = []
         while n:
-            start, i = back[n]
-            if i < 0:
-                out += [self.byte_ids[b] for b in reversed(s[start:n].replace(BLANK, " ").encode())]
+            piece = last[n]
+            if piece >= unknown:
+                out += [self.byte_ids[b] for b in reversed(s[n - 1].replace(BLANK, " ").encode())]
+                n -= 1
             else:
-                out.append(i)
-            n = start
+                out.append(self.ids[piece])
+                n -= len(self.merges.bytes_of[piece])
         return out[::-1]
 
     def encode(self, text: str | None) -> bytes:
