@@ -37,6 +37,31 @@ def test_host_rules_on_messy_rows(spark, messy, nothing):
     assert out[1].n_dup_lines == 1 and out[2].n_repeat_words == 40 and out[3].n_words == 0 and not any(r.kept for r in out.values())
 
 
+def rates(spark, hosts):
+    """Shrunk rates of hosts given as (documents, failed ones)."""
+    rows = [(f"h{i}", k < failed) for i, (n, failed) in enumerate(hosts) for k in range(n)]
+    found = host_rules.host_rates(spark.createDataFrame(rows, "source string, base_failed boolean")).collect()
+    return np.array([r.host_rate for r in sorted(found, key=lambda r: int(r.host[1:]))])
+
+
+def test_hosts_of_one_document_are_shrunk(spark):
+    assert (np.abs(rates(spark, [(1, i % 4 == 0) for i in range(400)]) - 0.25) < 1e-3).all()
+
+
+def test_chance_between_small_hosts_is_no_difference(spark):
+    """3,000 hosts of three documents that share the true rate 0.3: none is rejected."""
+    failed = np.random.default_rng(3).binomial(3, 0.3, 3000)
+    assert rates(spark, [(3, int(x)) for x in failed]).max() < 0.5
+
+
+def test_hosts_that_differ_keep_their_rates(spark):
+    true = np.random.default_rng(4).beta(1.5, 4.5, 200)
+    failed = np.random.default_rng(5).binomial(40, true)
+    found = rates(spark, [(40, int(x)) for x in failed])
+    assert np.abs(found - (failed + 1.5) / 46).max() < 0.03  # the prior of which the rates were drawn
+    assert rates(spark, [(5, 0), (7, 0)]).tolist() == [0.0, 0.0]
+
+
 def test_bad_host_is_rejected_and_small_ones_are_shrunk(spark):
     good, bad = " ".join(f"v{i}" for i in range(50)), "short"
     rows = [(i, good, "fine") for i in range(60)] + [(100 + i, bad if i < 50 else good, "awful") for i in range(60)] + [(300, good, "tiny"), (301, bad, "tiny")]
@@ -154,3 +179,15 @@ def test_rotation_joins_to_whole_dialogues(spark):
     assert sorted(masks[1, "ann"]) == ["bye<|end|>", "bye<|end|>", "hi <\\|end|><|end|>"]
     assert sorted(masks[5, "p1"]) == sorted(f"t{i}<|end|>" for i in range(40) if i % 3 == 1)
     assert chat.rotated(turns.where("false")).count() == 0
+
+
+def test_participants_are_told_apart_by_their_raw_names(spark):
+    """Names that look alike once cleaned stay two participants; a context role keeps its name."""
+    rows = [(1, 0, "a b", "x"), (1, 1, "a_b", "y"), (1, 2, "a#b", "z"), (1, 3, "a b", "again"), (2, 0, "system", "rule"), (2, 1, "sys tem", "u"), (3, 0, None, "n"), (3, 1, "unknown", "m")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    out = chat.rotated(turns).collect()
+    shown = {(r.conv_id, r.turn): r.speaker for r in out}
+    assert {r.assistant for r in out if r.conv_id == 1} == {"a_b", "a_b#2", "a_b#3"} == {shown[1, 0], shown[1, 1], shown[1, 2]}
+    assert shown[1, 0] == shown[1, 3] == "a_b" and all((r.mask_start is not None) == (r.assistant == r.speaker) for r in out)
+    assert shown[2, 0] == "system" and {r.assistant for r in out if r.conv_id == 2} == {"sys_tem"}
+    assert {r.assistant for r in out if r.conv_id == 3} == {"unknown"} and len(out) == 12 + 2 + 2

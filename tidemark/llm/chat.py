@@ -27,14 +27,22 @@ def rotated(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", spea
             context: tuple[str, ...] = CONTEXT, block: int = BLOCK) -> DataFrame:
     """One row per dialogue, participant and turn: conv_id, assistant, turn, speaker, segment, start, mask_start, mask_end.
 
-    Places count code points from the start of the rendering; the mask is null in others' turns. Turns go by number, null first, then by
+    Participants are told apart by their names as given. They are shown with blanks and the signs `<>|#` as underscores; of participants of a
+    dialogue that would then look alike, those after the first in order of their names get a number, `#2` and so on. Places count code points from the start of the rendering; the mask is null in others' turns. Turns go by number, null first, then by
     speaker and text; repeated rows are rendered repeatedly. A null speaker is the participant `unknown`, a null text is empty, null
     dialogue ids are one dialogue. A dialogue whose turns are all context has no participant and gives no row. Other columns are ignored.
     """
-    name = F.regexp_replace(F.coalesce(F.col(speaker).cast("string"), F.lit(UNNAMED)), r"[<>|\s]", "_")
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), name.alias("speaker"),
+    name = F.coalesce(F.col(speaker).cast("string"), F.lit(UNNAMED))
+    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), name.alias("_name"),
                         safe(F.coalesce(F.col(text), F.lit(""))).alias("content"))
-    people = rows.where(~F.col("speaker").isin(*context)).select(F.col("conv_id").alias("of"), F.col("speaker").alias("assistant")).distinct()
+    names = rows.select("conv_id", "_name").distinct().withColumn("_shown", F.regexp_replace("_name", r"[<>|#\s]", "_"))
+    # a context role keeps its name; its like among the participants is numbered after it
+    first = F.when(F.col("_name").isin(*context), F.lit(0)).otherwise(1)
+    alike = F.row_number().over(Window.partitionBy("conv_id", "_shown").orderBy(first, "_name"))
+    names = names.select(F.col("conv_id").alias("of"), F.col("_name").alias("_of"), F.concat(
+        "_shown", F.when(alike > 1, F.concat(F.lit("#"), alike.cast("string"))).otherwise(F.lit(""))).alias("speaker"))
+    people = names.where(~F.col("_of").isin(*context)).select("of", F.col("speaker").alias("assistant"))
+    rows = rows.join(names, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("_name") == F.col("_of"))).drop("of", "_of", "_name")
     joined = rows.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     own = F.col("speaker") == F.col("assistant")
     head = (F.when(own, F.lit("<|assistant|>\n")).when(F.col("speaker").isin(*context), F.concat(F.lit("<|"), "speaker", F.lit("|>\n")))

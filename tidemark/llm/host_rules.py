@@ -20,8 +20,9 @@ LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 #: A host fails if more than every second of its documents is expected to fail.
 MOST_FAILING = 0.5
-#: Prior documents where hosts do not differ at all, and no variance can be matched.
-EVEN_STRENGTH = 1000.0
+#: Prior documents of a host: at least, and where hosts differ by no more than chance.
+LEAST_STRENGTH = 1.0
+MOST_STRENGTH = 1000.0
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,13 +80,21 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host, null being one: documents, failed ones, and the shrunk rate. An empty table gives none."""
+    """One row per host, null being one: documents, failed ones, and the shrunk rate. An empty table gives none.
+
+    Mean and variance of a beta-binomial are matched over all documents: of the rates' variance, weighted by documents, only what exceeds the
+    binomial noise of hosts of these sizes counts as difference between hosts. So hosts of a document or two stay near the common rate.
+    """
     hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
-    hosts = hosts.withColumn("rate", F.col("failed") / F.col("docs"))
-    spread = hosts.agg(F.avg("rate").alias("mean"), F.var_pop("rate").alias("var"))
-    matched = F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1
-    strength = F.when(F.col("var") > 0, F.greatest(matched, F.lit(0.0))).otherwise(F.lit(EVEN_STRENGTH))
-    prior = spread.select("mean", strength.alias("strength"))
+    total = hosts.agg(F.sum("docs").cast("double").alias("n"), F.sum("failed").cast("double").alias("x"), F.count("*").alias("k"),
+                      F.sum(F.col("docs") * F.col("docs")).cast("double").alias("n2"), F.sum(F.col("failed") * F.col("failed") / F.col("docs")).alias("x2"))
+    # what the rates of hosts of these sizes vary by if all share one rate, and how much room is left for hosts that differ
+    mean = F.col("x") / F.col("n")
+    noise = mean * (1 - mean) * (F.col("k") - 1)
+    over = F.col("x2") - F.col("x") * mean - noise
+    room = mean * (1 - mean) * (F.col("n") - F.col("n2") / F.col("n")) - noise
+    matched = F.when((over > 0) & (room > 0), F.greatest(room / over - 1, F.lit(LEAST_STRENGTH)))
+    prior = total.select(mean.alias("mean"), F.least(F.coalesce(matched, F.lit(MOST_STRENGTH)), F.lit(MOST_STRENGTH)).alias("strength"))
     shrunk = (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("docs") + F.col("strength"))
     return hosts.crossJoin(F.broadcast(prior)).select("host", "docs", "failed", shrunk.alias("host_rate"))  # prior: one row
 
@@ -93,12 +102,13 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
 def judged_by_host(docs: DataFrame, text: str = "text", host: str = "source", most: float = MOST_FAILING, keep_text: bool = False) -> DataFrame:
     """All columns of `docs` (the text only with `keep_text`) with measures, base_failed, host_rate and kept.
 
-    The measures are written once to the shared folder, and the hosts' counts are read from there. Rows and repeated rows are all kept in
+    The measures are written once to the shared folder, and the hosts' counts are read from there. The rates are written too, so that their
+    join is planned by their size: texts are dealt by host only where hosts are too many to be sent to every task. Rows and repeated rows are all kept in
     place, with their verdict. A null host is a host of its own. Columns of the added names are replaced.
     """
     fresh = docs.drop("_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_host", "host_rate", "kept")
     measured = base_rules(fresh, text)
     judged = staged(measured if keep_text else measured.drop(text), "rules")
-    hosts = host_rates(judged, host).select(F.col("host").alias("_host"), "host_rate")
+    hosts = staged(host_rates(judged, host).select(F.col("host").alias("_host"), "host_rate"), "host-rates")
     joined = judged.join(hosts, judged[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= most))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,12 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import byte_bpe, chat, host_rules, lm_score, minhash, packing, pieces, prefix_trie, pu_quality, resampling, simhash, token_counts, warc
 from tidemark.llm.common import table
 
-#: Folder of the public tokenizer files, the same on every worker.
-TOKENIZERS = "/opt/tokenizers"
-
-
-def tokenizer_file(name: str, folder: str = TOKENIZERS) -> str:
-    return os.path.join(folder, name)
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer file, the same on every worker."""
+    return public_tokenizers.path(name)
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +57,19 @@ def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH turns AS (
-  SELECT conv_id, turn::BIGINT AS turn, regexp_replace(coalesce(role, 'unknown'), '[<>|\s]', '_', 'g') AS speaker,
-         replace(coalesce(text, ''), '<|', '<\|') AS content FROM conversations),
-people AS (SELECT DISTINCT conv_id, speaker AS assistant FROM turns WHERE speaker <> 'system'),
+  SELECT conv_id, turn::BIGINT AS turn, coalesce(role, 'unknown') AS name, replace(coalesce(text, ''), '<|', '<\|') AS content FROM conversations),
+named AS (SELECT DISTINCT conv_id, name, regexp_replace(name, '[<>|#\s]', '_', 'g') AS shown FROM turns),
+names AS (
+  SELECT conv_id, name, shown || CASE WHEN k > 1 THEN '#' || k ELSE '' END AS speaker
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, shown ORDER BY name <> 'system', name) AS k FROM named)),
+people AS (SELECT conv_id, speaker AS assistant FROM names WHERE name <> 'system'),
+said AS (
+  SELECT t.conv_id, t.turn, n.speaker, t.content FROM turns t JOIN names n ON t.conv_id IS NOT DISTINCT FROM n.conv_id AND t.name = n.name),
 shown AS (
   SELECT t.*, p.assistant, t.speaker = p.assistant AS own,
          CASE WHEN t.speaker = p.assistant THEN '<|assistant|>' WHEN t.speaker = 'system' THEN '<|system|>'
               ELSE '<|user name=' || t.speaker || '|>' END || chr(10) AS head
-  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM said t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, coalesce(sum(length(head) + length(content) + 8) OVER (
     PARTITION BY conv_id, assistant ORDER BY turn NULLS FIRST, speaker, content ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
@@ -128,9 +129,11 @@ base AS (
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
 hosts AS (SELECT source, count(*) AS docs, sum(base_failed::INT) AS failed FROM judged GROUP BY source),
-prior AS (
-  SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) ELSE 1000 END AS k
-  FROM (SELECT avg(failed / docs) AS m, var_pop(failed / docs) AS v FROM hosts)),
+total AS (
+  SELECT sum(docs)::DOUBLE AS n, sum(failed)::DOUBLE AS x, count(*) AS k, sum(docs * docs)::DOUBLE AS n2, sum(failed * failed / docs) AS x2,
+         sum(failed) / sum(docs) AS m FROM hosts),
+apart AS (SELECT m, x2 - x * m - m * (1 - m) * (k - 1) AS excess, m * (1 - m) * (n - n2 / n) - m * (1 - m) * (k - 1) AS room FROM total),
+prior AS (SELECT m, CASE WHEN excess > 0 AND room > 0 THEN least(greatest(room / excess - 1, 1), 1000) ELSE 1000 END AS k FROM apart),
 rates AS (SELECT source, (failed + m * k) / (docs + k) AS rate FROM hosts, prior)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
@@ -146,7 +149,7 @@ def op10_minhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text under the multilingual ranks, decoded again; both as digests."""
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     back = byte_bpe.decode(byte_bpe.encode(docs, ranks).drop("text"), ranks)
     return back.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
