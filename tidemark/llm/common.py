@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -28,18 +29,39 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write once as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs a read."""
+def staged(df: DataFrame, name: str, dense: bool = False) -> DataFrame:
+    """Write once as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs a read.
+
+    `dense` spends more on compression, for tables that hold whole texts.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd" if dense else None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_batches(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with batches of bounded size, however long the texts: `BATCH` unless the session sets a size of its own."""
+def in_batches(df: DataFrame, run: Callable, schema: T.StructType | str, release: bool = False) -> DataFrame:
+    """mapInArrow with batches of bounded size, however long the texts: `BATCH` unless the session sets a size of its own.
+
+    With `release` a worker gives the memory of a task back when the task ends; for steps of a pipeline, whose workers live through all of it.
+    """
     conf = df.sparkSession.conf
     conf.set(_BATCH_SETTING, conf.get(_BATCH_SETTING, BATCH))
-    return df.mapInArrow(run, schema)
+
+    def releasing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(releasing if release else run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: what Arrow's pool holds unused, and, where the C library can, what its heap does."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def spread(spark: SparkSession) -> int:

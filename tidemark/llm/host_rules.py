@@ -108,7 +108,7 @@ def judged_by_host(docs: DataFrame, text: str = "text", host: str = "source", mo
     """
     fresh = docs.drop("_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_host", "host_rate", "kept")
     measured = base_rules(fresh, text)
-    judged = staged(measured if keep_text else measured.drop(text), "rules")
+    judged = staged(measured if keep_text else measured.drop(text), "rules", dense=True)
     hosts = staged(host_rates(judged, host).select(F.col("host").alias("_host"), "host_rate"), "host-rates")
     joined = judged.join(hosts, judged[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= most))

@@ -26,8 +26,11 @@ END_ID = 1
 DIRECTIONS = 4
 GRID_BITS = 12
 HASHED = 256
-#: Words whose tokens a Python worker remembers; a full table keeps the half that was met most often.
-REMEMBERED = 1 << 19
+#: Estimated bytes of words and tokens that a Python worker remembers while it reads, and between tasks; the words met most often stay.
+READING_BYTES = 64 << 20
+RESTING_BYTES = 32 << 20
+#: Characters of the longest word that is remembered.
+SHORT = 64
 #: Characters of a text split at a time.
 _STEP = 1 << 20
 
@@ -44,22 +47,33 @@ class WordTokens(dict):
         self.fresh: list[str] = []
         self.flat, self.first = np.empty(0, np.uint32), np.zeros(1, np.int64)
         self.met = np.empty(0, np.int64)
+        self.held = 0
 
-    def thin(self) -> None:
-        """Forget all but the words met most often."""
-        kept = np.sort(np.argpartition(self.met, -(REMEMBERED // 2))[-(REMEMBERED // 2) :])
+    def thin(self, most: int) -> None:
+        """Forget all but the words met most often, and long ones: the words that take `most` bytes."""
         words = list(self)
-        sizes = np.diff(self.first)[kept]
+        sizes = np.diff(self.first)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        cost = np.where(lengths > SHORT, most + 1, 270 + 4 * sizes + lengths)
+        often = np.argsort(-self.met[: len(words)], kind="stable")
+        often = often[cost[often] <= most]
+        kept = np.sort(often[np.cumsum(cost[often]) <= most])
+        sizes = sizes[kept]
         ends = np.cumsum(sizes)
-        self.flat = self.flat[np.repeat(self.first[kept] - ends + sizes, sizes) + np.arange(ends[-1])]
+        self.flat = self.flat[np.repeat(self.first[kept] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         self.first = np.r_[0, ends]
         self.met = self.met[kept]
+        # the words are written anew, side by side, so that the memory of the others can go back whole
+        copies = [words[i].encode() for i in kept.tolist()]
         self.clear()
-        self.update(zip(map(words.__getitem__, kept.tolist()), range(len(kept))))
+        del words
+        self.update(zip(map(bytes.decode, copies), range(len(kept))))
+        self.held = int(cost[kept].sum())
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self)
         self.fresh.append(word)
+        self.held += 270 + 2 * len(word)
         return at
 
     def learn(self) -> None:
@@ -73,8 +87,8 @@ class WordTokens(dict):
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts one after another, and where each text ends."""
-        if len(self) > REMEMBERED:
-            self.thin()
+        if self.held > READING_BYTES:
+            self.thin(READING_BYTES // 2)
         split = [list(parts(t or "")) for t in texts]
         counts = np.array([sum(map(len, stretches)) for stretches in split], np.int64)
         words = chain.from_iterable(chain.from_iterable(split))
@@ -220,8 +234,9 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     [pa.array(range(row, row + n), pa.int64()), part.column(0), pa.array(keys, pa.int64()), pa.array(sizes), pa.array(cuts, pa.binary())],
                     names=["row", "doc_id", "key", "n", "data"])
                 row += n
+        model.thin(RESTING_BYTES)
 
-    held = staged(in_batches(frame, encode, "row bigint, doc_id bigint, key bigint, n bigint, data binary"), "pack-tokens")
+    held = staged(in_batches(frame, encode, "row bigint, doc_id bigint, key bigint, n bigint, data binary", release=True), "pack-tokens")
     order = ["key", "doc_id", "row"]
     parts_ = spread(docs.sparkSession)
     sorted_ = held.select("row", "doc_id", "key", "n").repartitionByRange(parts_, *order).sortWithinPartitions(*order)
@@ -254,4 +269,4 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     rows += [(id_, s, k, bytes(ids[4 * s : 4 * (s + k)]), n, seq, off) for s, k, seq, off in pieces_of(at, n, total, length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
-    return in_batches(joined, cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return in_batches(joined, cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint", release=True)

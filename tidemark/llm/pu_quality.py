@@ -241,4 +241,4 @@ def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                 x = np.array([features(t.encode() if t else None) for t in batch.column(at).to_pylist()], np.float32).astype(np.float64)
                 yield batch.filter(pa.array(model(x) >= THRESHOLD))
 
-    return in_batches(docs, run, docs.schema)
+    return in_batches(docs, run, docs.schema, release=True)

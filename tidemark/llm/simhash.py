@@ -44,6 +44,8 @@ RUN = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = mixed(np.arange(1, SIGNS + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
 _DEALT = np.concatenate([mixed(np.arange(1 + k * SIGNS, 1 + (k + 1) * SIGNS, dtype=np.uint64)).argsort().reshape(-1, RUN) for k in range(3)])
+#: Names of sets that a task knows again.
+MET = 1 << 20
 #: Shingles whose bits are summed at a time.
 _STEP = 1 << 16
 
@@ -227,30 +229,34 @@ def cells_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, text: str, width: int, seed: int) -> DataFrame:
-    """`docs` with _row, a number of the row, _set and _size, name and size of its set of shingles, and _cells, the set's cells.
+    """`docs` but the text with _row, a number of the row, _set and _size, name and size of its set of shingles, and _cells, the set's cells.
 
     _row has the partition in the high bits and the place in it in the low 40; it holds once the result is written. Equal sets have equal
-    names; texts without words are the set 0.
+    names; texts without words are the set 0. Of equal sets of a task only the first names its cells, so that a set met very often fills no cell.
     """
-    kept = docs.columns
+    kept = [c for c in docs.columns if c != text]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias("_bytes"))
     added = T._parse_datatype_string("_row bigint, _set bigint, _size bigint, _cells array<bigint>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << PLACE_BITS
+        met: set[int] = set()
         for batch in batches:
             out = []
             for data in batch.column(len(kept)).to_pylist():
                 hashes = shingle_hashes(data, width, seed, repeats=False)
-                out.append((at, set_name(hashes), len(hashes), cells_of(hashes)))
+                name = set_name(hashes)
+                out.append((at, name, len(hashes), np.empty(0, np.int64) if name in met else cells_of(hashes)))
                 at += 1
+                if len(met) < MET:
+                    met.add(name)
             numbers = np.array([x[:3] for x in out], np.int64).reshape(-1, 3)
             ends = np.cumsum([0, *(len(x[3]) for x in out)])
             cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *(x[3] for x in out)])))
             columns = [*(pa.array(numbers[:, k]) for k in range(3)), cells]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, *added.names])
 
-    return in_batches(frame, run, T.StructType([*frame.drop("_bytes").schema.fields, *added.fields]))
+    return in_batches(frame, run, T.StructType([*frame.drop("_bytes").schema.fields, *added.fields]), release=True)
 
 
 def sharing(rows: DataFrame) -> DataFrame:
@@ -363,7 +369,7 @@ def verified(rows: DataFrame, text: str, nodes: DataFrame, links: DataFrame, lik
         if len(ids) > 1:
             yield links_of(ids, sets)
 
-    return in_batches(sent, run, "a bigint, b bigint")
+    return in_batches(sent, run, "a bigint, b bigint", release=True)
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, likeness: float = 0.8) -> DataFrame:
@@ -378,18 +384,39 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     """
     if likeness < 0.8:
         raise ValueError("the cells are made for a likeness of 0.8 or more")
-    rows = staged(shingle_sets(docs.drop("_row", "_set", "_size", "_cells"), text, width, seed), "simhash-rows")
-    own = rows.select(F.col(doc_id).alias("doc"), F.col("_row").alias("row"), F.col("_set").alias("id"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # own columns under one name, which no other can clash with
+    packed = docs.select(whole.alias("_doc"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    rows = staged(shingle_sets(packed, "_text", width, seed), "simhash-rows", dense=True)
+    own = rows.select(F.col("_id").alias("doc"), F.col("_row").alias("row"), F.col("_set").alias("id"))
     nodes = staged(rows.groupBy(F.col("_set").alias("id"), F.col("_size").alias("size")).agg(
-        F.min(doc_id).alias("least"), F.min("_row").alias("row")), "simhash-nodes")
-    groups = grouped(nodes.select("id", "least"), verified(rows, text, nodes, sharing(rows), likeness, width, seed))
+        F.min("_id").alias("least"), F.min("_row").alias("row")), "simhash-nodes")
+    groups = grouped(nodes.select("id", "least"), verified(rows, "_doc.`" + text + "`", nodes, sharing(rows), likeness, width, seed))
     found = own.join(groups.select("id", "root", "component_id"), "id")
     first = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("first"))
     going = found.join(first, "root").where("row != first").select(part("row").alias("_part"), place("row").alias("place"))
-    gone = staged(going.groupBy("_part").agg(F.sort_array(F.collect_list("place")).alias("_gone")), "simhash-gone")
+    gone = staged(bit_lists(going), "simhash-gone")
     kept = rows.withColumn("_part", part("_row")).join(gone, "_part", "left")
-    stays = ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), place("_row"))
-    return kept.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
+    byte = F.coalesce(F.conv(F.hex(F.substring("_gone", F.shiftright(place("_row"), 3) + 1, 1)), 16, 10), F.lit("0")).cast("bigint")
+    stays = F.getbit(byte, place("_row").bitwiseAND(F.lit(7))) == 0
+    return kept.where(stays).select("_doc.*")
+
+
+def bit_lists(places: DataFrame) -> DataFrame:
+    """_part and _gone, a bit for each place of the partition, set for the `places` (_part, place) given; the lowest bit of a byte comes first."""
+    dealt = places.repartition(spread(places.sparkSession), "_part").sortWithinPartitions("_part", "place")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["_part"]):
+            parts, at = group.column("_part").to_numpy(), group.column("place").to_numpy()
+            first = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
+            lists = []
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(parts)]):
+                bits = np.zeros(int(at[hi - 1]) + 1, np.uint8)
+                bits[at[lo:hi]] = 1
+                lists.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(parts[first]), pa.array(lists, pa.binary())], names=["_part", "_gone"])
+
+    return dealt.mapInArrow(run, "_part bigint, _gone binary")
 
 
 def part(row: str) -> Column:
