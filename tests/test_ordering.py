@@ -98,11 +98,10 @@ def test_exact_percentiles(spark, values):
     assert [got[n] for n in names] == pytest.approx(np.percentile(values, [p * 100 for p in names.values()]).tolist(), rel=1e-12)
 
 
-def test_percentiles_survive_a_coarse_sketch(spark, monkeypatch):
-    from tidemark.operators import quantiles
-    monkeypatch.setattr(quantiles, "ACCURACY", 50)
+def test_percentiles_survive_coarse_bins(spark):
     v = np.random.default_rng(9).exponential(size=6000)
-    got = quantiles.exact_percentiles(spark.createDataFrame(pd.DataFrame({"g": "x", "v": v})), ["g"], "v", {"a": 0.9, "b": 0.05}).first()
+    df = spark.createDataFrame(pd.DataFrame({"g": "x", "v": v}))
+    got = exact_percentiles(df, ["g"], "v", {"a": 0.9, "b": 0.05}, distinct=50, bins=8).first()
     assert [got.a, got.b] == pytest.approx(np.percentile(v, [90, 5]).tolist(), rel=1e-12)
 
 
