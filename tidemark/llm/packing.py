@@ -27,7 +27,7 @@ DIRECTIONS = 4
 GRID_BITS = 12
 HASHED = 256
 #: Estimated bytes of words and tokens that a Python worker remembers while it reads, and between tasks; the words met most often stay.
-READING_BYTES = 64 << 20
+READING_BYTES = 140 << 20
 RESTING_BYTES = 32 << 20
 #: Characters of the longest word that is remembered.
 SHORT = 64
@@ -202,14 +202,16 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
                      ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID,
+         release: bool = False) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Every document is its tokens under the file `tokenizer`, without special ones added, and `end_id`; a null or empty text is `end_id`
     alone. Documents lie one after another in order of their Hilbert keys (ties by id, then by place in the input) and may be cut anywhere.
     Repeated rows and null ids are packed like any other; other columns are ignored; an empty table gives no piece.
     The texts are encoded once and written to the shared folder. Only key, id and size are range-sorted; the sums of the ranges, one number
-    a shuffle partition, pass the driver.
+    a shuffle partition, pass the driver. With `release`, for steps of a pipeline, workers keep only the commonest words between tasks and give
+    memory back; else they keep their words, which is faster where packing is all they do.
     """
     frame = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
@@ -234,9 +236,10 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     [pa.array(range(row, row + n), pa.int64()), part.column(0), pa.array(keys, pa.int64()), pa.array(sizes), pa.array(cuts, pa.binary())],
                     names=["row", "doc_id", "key", "n", "data"])
                 row += n
-        model.thin(RESTING_BYTES)
+        if release:
+            model.thin(RESTING_BYTES)
 
-    held = staged(in_batches(frame, encode, "row bigint, doc_id bigint, key bigint, n bigint, data binary", release=True), "pack-tokens")
+    held = staged(in_batches(frame, encode, "row bigint, doc_id bigint, key bigint, n bigint, data binary", release=release), "pack-tokens")
     order = ["key", "doc_id", "row"]
     parts_ = spread(docs.sparkSession)
     sorted_ = held.select("row", "doc_id", "key", "n").repartitionByRange(parts_, *order).sortWithinPartitions(*order)
@@ -269,4 +272,4 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     rows += [(id_, s, k, bytes(ids[4 * s : 4 * (s + k)]), n, seq, off) for s, k, seq, off in pieces_of(at, n, total, length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
-    return in_batches(joined, cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint", release=True)
+    return in_batches(joined, cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint", release=release)

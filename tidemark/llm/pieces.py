@@ -12,6 +12,8 @@ pieces of a stretch are remembered per worker within a bound in bytes.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -52,13 +54,18 @@ class PieceMerges(Merges):
         self.bytes_of = Characters(pieces)
         self.halves = {}
         self.known: dict[int, bool] = {}
+        self.merged: dict[int, bool] = {}
 
     def sound(self, number: int) -> bool:
         """Whether merging the characters of a piece gives the piece."""
-        try:
-            return len(self.bytes_of[number]) == 1 or bool(self.split(number))
-        except ValueError:
-            return False
+        found = self.merged.get(number)
+        if found is None:
+            try:
+                found = len(self.bytes_of[number]) == 1 or bool(self.split(number))
+            except ValueError:
+                found = False
+            self.merged[number] = found
+        return found
 
     def follows(self, left: int, right: int) -> bool:
         """Whether piece `right` may come after `left` (-1: at the start)."""
@@ -107,7 +114,10 @@ class PieceModel(dict):
         self.first = np.cumsum(self.sizes) - self.sizes
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.viterbi(stretch.replace(" ", BLANK)), "<u4").tobytes()
+        found = array("I", self.viterbi(stretch.replace(" ", BLANK)))
+        if sys.byteorder == "big":
+            found.byteswap()
+        ids = found.tobytes()
         if len(stretch) <= SHORT:
             self.held += 260 + 2 * len(stretch) + len(ids)
             if self.held > self.bound:
@@ -122,13 +132,19 @@ class PieceModel(dict):
         last = [-1] * (n + 1)  # number of the last piece of the split of each prefix
         done = 0
         single, follows, unknown = self.single, self.merges.follows, len(self.ids)
+        known = self.merges.known.get
         for end, (size, rank) in self.automaton.iter(s):
             while done < end:  # all pieces that end before this one are known
                 if last[done + 1] < 0 and s[done] not in single and follows(last[done], unknown + ord(s[done])):
                     last[done + 1] = unknown + ord(s[done])
                 done += 1
-            start = end + 1 - size
-            if last[end + 1] < 0 and (last[start] >= 0 or not start) and follows(last[start], rank):
+            if last[end + 1] >= 0:
+                continue
+            left = last[end + 1 - size]
+            if left < 0 and size <= end:
+                continue
+            fits = known((left + 1) << 32 | rank)
+            if follows(left, rank) if fits is None else fits:
                 last[end + 1] = rank
         while done < n:
             if last[done + 1] < 0 and s[done] not in single and follows(last[done], unknown + ord(s[done])):

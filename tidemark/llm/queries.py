@@ -39,9 +39,9 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
-def packed_pieces(docs: DataFrame) -> DataFrame:
+def packed_pieces(docs: DataFrame, release: bool = False) -> DataFrame:
     """Pieces of packed documents with the checksum of their ids in place of the ids."""
-    packed = packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    packed = packing.pack(docs, tokenizer_file("word_bpe_49k.json"), release=release)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
