@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id: five-word shingles, likeness 0.8 or more."""
+    """One document of each near-duplicate group, that with the smallest id: SimHash grid first, five-word shingles, likeness 0.8 or more."""
     return simhash.survivors(docs)
 
 

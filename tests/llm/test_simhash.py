@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pytest
 import xxhash
@@ -84,6 +86,21 @@ def test_components_of_chain_star_and_nothing(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_rounds_over_few_edges_write_few_files(spark, monkeypatch):
+    module, written = sys.modules["tidemark.llm.components"], []
+    real = module.durable
+    monkeypatch.setattr(module, "durable", lambda df: written.append(real(df)) or written[-1])
+    monkeypatch.setattr(module, "EDGES", 1000)
+    off = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(off, "false")
+    try:
+        found = {r.node: r.root for r in components(spark.range(2500).selectExpr("id as a", "id + 1 as b")).collect()}
+        assert found == dict.fromkeys(range(2501), 0)
+        assert len(written) > 2 and all(w.rdd.getNumPartitions() <= 3 for w in written[1:])
+    finally:
+        spark.conf.unset(off)
+
+
 def test_survivors(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
@@ -183,3 +200,43 @@ def test_sets_at_the_likeness_share_a_cell(common):
         a, b = simhash.cells_of(np.sort(x[: common + own])), simhash.cells_of(np.sort(np.r_[x[:common], x[common + own:]]))
         missed += not (a == b).any()
     assert missed == 0
+
+
+def near_copies(rng):
+    """(id, text) of five families of texts that differ in a word or two; then texts of their own."""
+    rows = []
+    for g in range(5):
+        text = " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 400))
+        rows += [(10 * g + c, with_changes(text, rng.integers(0, 400, c).tolist()) if c else text) for c in range(4)]
+    return rows + [(100 + i, " ".join(f"v{x}" for x in rng.integers(0, 1 << 40, 60))) for i in range(10)]
+
+
+def test_near_copies_are_found_by_their_fingerprints(spark, monkeypatch):
+    """Without the cells of MinHash values all links of four bits or fewer still hold, each counted on the shingles."""
+    rows = near_copies(np.random.default_rng(9))
+    monkeypatch.setattr(simhash, "sharing", lambda rows: spark.createDataFrame([], "a bigint, b bigint"))
+    prints = {d: int(simhash.fingerprint(t.encode(), 5, repeats=False)[0]) for d, t in rows}
+    text = dict(rows)
+    gone = {d for d, _ in rows if any(e < d and (prints[d] ^ prints[e]).bit_count() <= 4 and jaccard(text[d], text[e]) >= 0.8 for e, _ in rows)}
+    kept = {r.doc_id for r in simhash.survivors(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(gone) >= 5 and kept == set(text) - gone
+
+
+def test_links_of_equal_and_near_fingerprints(spark):
+    prints = [5, 5, 5, 7, 0, (1 << 60) - 1, (1 << 60) - 1, 0b110000 << 30]
+    nodes = spark.createDataFrame([(100 + i, p) for i, p in enumerate(prints)], "id bigint, fp bigint")
+    groups = {r.node: r.root for r in components(simhash.print_links(nodes)).collect()}
+    assert [groups.get(100 + i, 100 + i) for i in range(8)] == [100, 100, 100, 100, 100, 105, 105, 100]
+
+
+def test_links_between_known_groups(spark):
+    """Groups that a proposal joins meet with all their nodes, whichever of them it names; others are not counted again."""
+    base = [f"x{i}" for i in range(100)]
+    drift = [base[k:] + [f"y{i}" for i in range(k)] for k in (0, 6, 12, 18)]  # likeness 0.89 to the next, 0.79 or less beyond
+    texts = [" ".join(t) for t in [*drift, base[:50], base[:49]]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row bigint, text string")
+    nodes = rows.selectExpr("_row as id", "_row as row", "100L as size")
+    joined = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 4)], "node bigint, root bigint")
+    links = spark.createDataFrame([(3, 0), (4, 5)], "a bigint, b bigint")
+    found = simhash.verified(rows, "text", nodes, links, 0.8, 1, 42, joined=joined).collect()
+    assert {r.node: r.root for r in components(spark.createDataFrame(found, "a bigint, b bigint")).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}

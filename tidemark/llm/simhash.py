@@ -7,8 +7,9 @@ cell of one of the grids spanned by that many sub-grids. Inside a cell a pair pa
 distance then. A cell holds each fingerprint once, is dealt in blocks when it is large, and gives only the links that join what was not
 yet joined there, never all its pairs.
 
-Near copies of a wider likeness (`survivors`) are beyond what such cells can promise. There, runs of MinHash values only propose pairs, and
-every link is counted exactly on the sets of shingles.
+Near copies of a wider likeness (`survivors`) come through the same grid: it proposes links of fingerprints, which are counted exactly on the
+sets of shingles and joined to groups. Likeness 0.8 is beyond what the grid can promise (about ten bits of 64), so pairs of different groups
+that share a run of MinHash values are proposed and counted after it.
 """
 
 from __future__ import annotations
@@ -229,36 +230,47 @@ def cells_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, text: str, width: int, seed: int) -> DataFrame:
-    """`docs` but the text with _row, a number of the row, _set and _size, name and size of its set of shingles, and _cells, the set's cells.
+    """`docs` but the text with _row, a number of the row, _set, _size and _print, name, size and fingerprint of its set of shingles, and _cells, the set's cells.
 
     _row has the partition in the high bits and the place in it in the low 40; it holds once the result is written. Equal sets have equal
     names; texts without words are the set 0. Of equal sets of a task only the first names its cells, so that a set met very often fills no cell.
     """
     kept = [c for c in docs.columns if c != text]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias("_bytes"))
-    added = T._parse_datatype_string("_row bigint, _set bigint, _size bigint, _cells array<bigint>")
+    added = T._parse_datatype_string("_row bigint, _set bigint, _size bigint, _print bigint, _cells array<bigint>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << PLACE_BITS
-        met: set[int] = set()
+        met: dict[int, int] = {}
         for batch in batches:
             out = []
             for data in batch.column(len(kept)).to_pylist():
                 hashes = shingle_hashes(data, width, seed, repeats=False)
                 name = set_name(hashes)
-                out.append((at, name, len(hashes), np.empty(0, np.int64) if name in met else cells_of(hashes)))
+                if name in met:
+                    out.append((at, name, len(hashes), met[name], np.empty(0, np.int64)))
+                else:
+                    fp = int(voted(hashes, 1).view(np.int64)[0])
+                    out.append((at, name, len(hashes), fp, cells_of(hashes)))
+                    if len(met) < MET:
+                        met[name] = fp
                 at += 1
-                if len(met) < MET:
-                    met.add(name)
-            numbers = np.array([x[:3] for x in out], np.int64).reshape(-1, 3)
-            ends = np.cumsum([0, *(len(x[3]) for x in out)])
-            cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *(x[3] for x in out)])))
-            columns = [*(pa.array(numbers[:, k]) for k in range(3)), cells]
+            numbers = np.array([x[:4] for x in out], np.int64).reshape(-1, 4)
+            ends = np.cumsum([0, *(len(x[4]) for x in out)])
+            cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *(x[4] for x in out)])))
+            columns = [*(pa.array(numbers[:, k]) for k in range(4)), cells]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, *added.names])
 
     return in_batches(frame, run, T.StructType([*frame.drop("_bytes").schema.fields, *added.fields]), release=True)
 
 
+def print_links(nodes: DataFrame, distance: int = 4, grids: int = 6) -> DataFrame:
+    """Links (a, b) between the `nodes` (id and fingerprint fp) that join all whose fingerprints differ by `distance` bits or fewer, or not at all."""
+    prints = staged(nodes.groupBy("fp").agg(F.min("id").alias("id")), "simhash-prints")
+    equal = nodes.join(prints.select("fp", F.col("id").alias("b")), "fp").where("id != b").select(F.col("id").alias("a"), "b")
+    return near_links(prints, ["fp"], distance, grids).unionByName(equal)
+
+
 def sharing(rows: DataFrame) -> DataFrame:
     """Links (a, b) from every set of `rows` to the least set of each of its cells. Cells pass by in order and are never held."""
     placed = rows.select(F.explode("_cells").alias("cell"), F.col("_set").alias("id"))
@@ -331,14 +343,26 @@ def alike(sets: list[np.ndarray], likeness: float) -> list[tuple[int, int]]:
     return out
 
 
-def verified(rows: DataFrame, text: str, nodes: DataFrame, links: DataFrame, likeness: float, width: int, seed: int, block: int = SET_BLOCK) -> DataFrame:
+def verified(rows: DataFrame, text: str, nodes: DataFrame, links: DataFrame, likeness: float, width: int, seed: int, block: int = SET_BLOCK,
+             joined: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that join all nodes of Jaccard likeness `likeness` or more within each group of the proposed `links`.
 
     `nodes` has id, row (one of the rows with this set) and size. Each group meets as a whole: one of up to `block` shingles in one task, a
     larger one dealt in blocks by hash, every two of which meet in a task of their own. Only the texts of linked nodes are sent, picked by a
-    bit per row, so that texts without a proposed link stay where they are.
+    bit per row, so that texts without a proposed link stay where they are. `joined` (node, root) are groups already known: links within them
+    are passed over, and a group with a link to elsewhere meets with all its nodes.
     """
-    members = staged(components(links).join(nodes.select(F.col("id").alias("node"), "row", "size"), "node"), "simhash-members")
+    named = nodes.select(F.col("id").alias("node"), "row", "size")
+    if joined is None:
+        members = components(links).join(named, "node")
+    else:
+        for end in ("a", "b"):
+            links = links.join(joined.select(F.col("node").alias(end), F.col("root").alias("_root")), end, "left").withColumn(
+                end, F.coalesce("_root", end)).drop("_root")
+        groups = components(links).withColumnRenamed("node", "_group")
+        known = named.join(joined.select("node", F.col("root").alias("_root")), "node", "left").withColumn("_group", F.coalesce("_root", "node"))
+        members = known.join(groups, "_group").select("node", "root", "row", "size")
+    members = staged(members, "simhash-members")
     large = members.groupBy("root").agg(F.ceil(F.sum("size") / block).alias("blocks")).where("blocks > 1")
     dealt = members.join(staged(large, "simhash-large"), "root", "left")  # written first, so that the join is planned by its size
     blocks = F.coalesce("blocks", F.lit(1))
@@ -375,9 +399,10 @@ def verified(rows: DataFrame, text: str, nodes: DataFrame, links: DataFrame, lik
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, likeness: float = 0.8) -> DataFrame:
     """One row of each group of near copies, with the columns of `docs`: a row with the group's smallest id.
 
-    Near copies share `likeness` or more of their different shingles, counted exactly; groups are what such links join. Shared cells of
-    MinHash values propose the pairs, wide enough for a likeness of 0.8 and above. Of several rows with a group's smallest id the first one
-    stays. Null ids come after all others; null and empty texts are copies of each other. An empty table gives none.
+    Near copies share `likeness` or more of their different shingles, counted exactly; groups are what such links join. The grid of SimHash
+    fingerprints proposes first, every link of four bits or fewer; between the groups found so, and what is in none, shared cells of MinHash
+    values propose the rest, wide enough for a likeness of 0.8 and above. Of several rows with a group's smallest id the first one stays.
+    Null ids come after all others; null and empty texts are copies of each other. An empty table gives none.
 
     The texts are written once with the names of their sets; only those that share a cell are sent to be compared. What goes is listed by the
     place of its rows in their partition, and that list is joined back by its size.
@@ -388,9 +413,12 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     packed = docs.select(whole.alias("_doc"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     rows = staged(shingle_sets(packed, "_text", width, seed), "simhash-rows", dense=True)
     own = rows.select(F.col("_id").alias("doc"), F.col("_row").alias("row"), F.col("_set").alias("id"))
-    nodes = staged(rows.groupBy(F.col("_set").alias("id"), F.col("_size").alias("size")).agg(
+    nodes = staged(rows.groupBy(F.col("_set").alias("id"), F.col("_size").alias("size"), F.col("_print").alias("fp")).agg(
         F.min("_id").alias("least"), F.min("_row").alias("row")), "simhash-nodes")
-    groups = grouped(nodes.select("id", "least"), verified(rows, "_doc.`" + text + "`", nodes, sharing(rows), likeness, width, seed))
+    counted = partial(verified, rows, "_doc.`" + text + "`", nodes, likeness=likeness, width=width, seed=seed)
+    near = staged(counted(links=print_links(nodes.select("id", "fp"))), "simhash-near")
+    rest = counted(links=sharing(rows), joined=components(near))
+    groups = grouped(nodes.select("id", "least"), near.unionByName(rest))
     found = own.join(groups.select("id", "root", "component_id"), "id")
     first = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("first"))
     going = found.join(first, "root").where("row != first").select(part("row").alias("_part"), place("row").alias("place"))
