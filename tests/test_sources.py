@@ -8,6 +8,7 @@ from conftest import make_bars, stamp
 from pyspark.sql import functions as F
 
 from tidemark.operators import structure as X
+from tidemark.plans import structure
 from tidemark.sources import documents as D
 from tidemark.sources import journal as J
 from tidemark.sources import market as M
@@ -83,6 +84,28 @@ def test_line_documents_against_bars(spark, tmp_path):
     assert {h for k, h in got if k == "horizontal"} == set(range(30)) and got["fibonacci", 1].level_prices == [pytest.approx(105)]
 
 
+def test_lines_round_what_they_show_only(spark, tmp_path):
+    """Rounded once a line or once a row, the values are those of the unrounded columns."""
+    third = json.loads(json.dumps(LINES).replace("100.0", "100.123456789").replace("99.0", "99.987654321"))
+    (tmp_path / "XAUUSD.json").write_text(json.dumps(third))
+    lines = D.read_lines(spark, str(tmp_path))
+    bars = make_bars(spark, [100.0] * 30)
+    key = ("kind", "bar_time")
+    whole, short = ({tuple(r[k] for k in key): r for r in X.lines_at_bars(bars, lines, **more).collect()} for more in ({}, {"digits": 2}))
+    assert whole.keys() == short.keys() and len(whole) > 50
+    near = lambda x: None if x is None else pytest.approx(x, abs=0.0051)
+    for k, r in whole.items():
+        s = short[k]
+        assert (s.value, s.other_value, s.slope_per_day) == tuple(map(near, (r.value, r.other_value, r.slope_per_day)))
+        for x in (s.value, s.other_value, s.slope_per_day, *(s.level_prices or [])):
+            assert x is None or x == round(x, 2)
+
+
+def test_line_documents_are_dealt_to_all_tasks(spark):
+    """One small file of drawings becomes many rows: it must not stay one task."""
+    assert structure.documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_snapshots_and_change_guard(spark, tmp_path):
     d = spark.createDataFrame([("a", 3, (1.5,), (None,))], "k string, version bigint, price struct<last: double>, account struct<level: double>")
     full = json.loads(D.snapshot_documents(d, "k", ["price", "account"]).first().document)

@@ -16,6 +16,12 @@ def line_value(t1: Column, p1: Column, t2: Column, p2: Column, at: Column) -> Co
     return F.when(run == 0, p1).otherwise(p1 + F.try_divide(p2 - p1, run) * (_sec(at) - _sec(t1)))
 
 
+def slope_per_second(t1: Column, p1: Column, t2: Column, p2: Column) -> Column:
+    """Slope of `line_value`; zero for a vertical pair."""
+    run = _sec(t2) - _sec(t1)
+    return F.when(run == 0, 0.0).otherwise(F.try_divide(p2 - p1, run))
+
+
 def slope_per_day(t1: Column, p1: Column, t2: Column, p2: Column) -> Column:
     days = (_sec(t2) - _sec(t1)) / 86400.0
     return F.coalesce(F.try_divide(p2 - p1, days), F.lit(0.0))

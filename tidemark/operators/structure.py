@@ -19,18 +19,32 @@ from tidemark.session import written
 DAY_LEVELS = 7
 
 
-def lines_at_bars(bars: DataFrame, lines: DataFrame) -> DataFrame:
+def lines_at_bars(bars: DataFrame, lines: DataFrame, digits: int | None = None) -> DataFrame:
     """Value of every chart line at every bar it is valid for.
 
     A line holds from its first anchor to its second, or to its symbol's newest bar if it is a ray or a level; one without an anchor holds from
     the symbol's first bar. Its days are covered by a few aligned runs, however long it is, which are joined by equality to the runs of the
-    days that have bars; what is left of a line then meets the bars of just those days. Lines of symbols without bars give no row.
+    days that have bars; what is left of a line then meets the bars of just those days. Lines of symbols without bars give no row. What does not
+    depend on the bar is computed, and rounded to `digits` if given, once a line, before that, as a line becomes many rows.
     """
     days = bars.withColumn("_day", F.unix_date(F.to_date("bar_time")).cast("bigint"))
     spans = bars.groupBy("symbol").agg(F.min("bar_time").alias("_begin"), F.max("bar_time").alias("_end"))
     open_end = F.col("ray_right") | F.col("t2").isNull()
     from_ = F.coalesce(F.least("t1", "t2"), F.col("t1"), F.col("_begin"))
-    bounded = lines.join(spans, "symbol").withColumn("_from", F.greatest(from_, F.col("_begin"))).withColumn(
+    anchors = [F.col(c) for c in ("t1", "p1", "t2", "p2")]
+    kind, sloped = F.col("kind"), F.coalesce(F.col("kind").isin("trendline", "channel"), F.lit(False))
+
+    def shown(c: Column) -> Column:
+        return c if digits is None else F.round(c, digits) + F.lit(0.0)
+
+    drawn = lines.select(
+        "symbol", "kind", "name", "t1", "t2", "ray_right", shown(L.slope_per_day(*anchors)).alias("slope_per_day"),
+        F.transform("levels", lambda e: shown(L.fibonacci_price(F.col("p1"), F.col("p2"), e["ratio"]))).alias("level_prices"),
+        F.when(sloped, F.struct(F.unix_seconds("t1").cast("double").alias("t"), F.col("p1").alias("p"), L.slope_per_second(*anchors).alias("slope"),
+                                L.channel_offset(*anchors, F.col("t3"), F.col("p3")).alias("offset"))).alias("_slope"),
+        F.when(~sloped, shown(F.when(kind == "rectangle", F.least("p1", "p2")).otherwise(F.col("p1")))).alias("_value"),
+        F.when(kind == "rectangle", shown(F.greatest("p1", "p2"))).alias("_other"))
+    bounded = drawn.join(spans, "symbol").withColumn("_from", F.greatest(from_, F.col("_begin"))).withColumn(
         "_to", F.least(F.when(open_end, F.col("_end")).otherwise(F.greatest("t1", "t2")), F.col("_end"))).drop("_begin", "_end")
     day = lambda c: F.unix_date(F.to_date(c)).cast("bigint")
     runs = I.covered(bounded.withColumn("_first", day("_from")).withColumn("_stop", day("_to") + 1), "_first", "_stop", DAY_LEVELS)
@@ -38,19 +52,11 @@ def lines_at_bars(bars: DataFrame, lines: DataFrame) -> DataFrame:
     laid = runs.join(stretches, ["symbol", "_level", "_node"]).drop("_level", "_node")
     met = laid.join(days.select("symbol", "tf", "bar_time", "close", "_day"), ["symbol", "_day"]).where(
         F.col("bar_time").between(F.col("_from"), F.col("_to")))
-    anchors = [F.col(c) for c in ("t1", "p1", "t2", "p2")]
-    main = L.line_value(*anchors, F.col("bar_time"))
-    value = (
-        F.when(F.col("kind").isin("trendline", "channel"), main)
-        .when(F.col("kind") == "rectangle", F.least("p1", "p2")).otherwise(F.col("p1"))
-    )
-    other = (
-        F.when(F.col("kind") == "channel", main + L.channel_offset(*anchors, F.col("t3"), F.col("p3")))
-        .when(F.col("kind") == "rectangle", F.greatest("p1", "p2"))
-    )
-    levels = F.transform("levels", lambda e: L.fibonacci_price(F.col("p1"), F.col("p2"), e["ratio"]))
+    main = F.col("_slope.p") + F.col("_slope.slope") * (F.unix_seconds("bar_time").cast("double") - F.col("_slope.t"))
+    value = F.when(F.col("_slope").isNotNull(), shown(main)).otherwise(F.col("_value"))
+    other = F.when(kind == "channel", shown(main + F.col("_slope.offset"))).otherwise(F.col("_other"))
     return met.select("symbol", "tf", "bar_time", "close", "kind", "name", value.alias("value"), other.alias("other_value"),
-                      L.slope_per_day(*anchors).alias("slope_per_day"), levels.alias("level_prices"))
+                      "slope_per_day", "level_prices")
 
 
 def previous_period_levels(bars: DataFrame) -> DataFrame:

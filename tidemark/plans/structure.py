@@ -35,8 +35,12 @@ DRAWN = """dr AS (SELECT p_partkey AS k, list_value('click', 'error', 'purchase'
 
 
 def documents(spark, sf_dir):
-    """Line documents: one per drawing, as the charting side exports them."""
-    p = S.table(spark, sf_dir, "part")
+    """Line documents: one per drawing, as the charting side exports them.
+
+    The file is small beside what its rows become, so they are dealt to all tasks first.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = S.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice").repartition(tasks, "p_partkey")
     k, size = F.col("p_partkey"), F.col("p_size")
     kind = S.pick(("horizontal", "trendline", "rectangle", "channel", "fibonacci", "text"), k)
     name = F.concat_ws("_", S.pick(("R1_strong_D1", "S_weak_H4", "TL_up_D1", "TL_dn_major", "zone_supply_H1", "zone_demand", "note"), k), k.cast("string"))
@@ -103,9 +107,10 @@ SELECT symbol, t AS bar_time, kind, name, {R("CASE WHEN kind IN ('trendline', 'c
   {R("CASE WHEN kind IN ('horizontal', 'text') OR t1 = t2 THEN 0 WHEN kind = 'rectangle' THEN (greatest(p1, p2) - least(p1, p2)) / (t2 - t1) * 86400 ELSE (p2 - p1) / (t2 - t1) * 86400 END", "slope_per_day")},
   {R("CASE WHEN kind = 'fibonacci' THEN p1 + (p2 - p1) * 0.382::DOUBLE END", "fib_382")} FROM v""")
 def lines_at_bars(spark, sf_dir):
-    out = G.lines_at_bars(S.stored_bars(spark, sf_dir, "H4"), D.explode_lines(documents(spark, sf_dir)))
-    return rounded(out.select("symbol", "bar_time", "kind", "name", "value", "other_value", "slope_per_day",
-                              F.get("level_prices", F.lit(1)).alias("fib_382")))
+    out = G.lines_at_bars(S.stored_bars(spark, sf_dir, "H4"), D.explode_lines(documents(spark, sf_dir)), digits=6)
+    return out.select(
+        "symbol", F.unix_seconds("bar_time").alias("bar_time"), "kind", "name", "value", "other_value", "slope_per_day",
+        F.get("level_prices", F.lit(1)).alias("fib_382"))
 
 
 # ------------------------------------------------------------------------------------------------ specified levels
