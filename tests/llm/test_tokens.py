@@ -187,3 +187,30 @@ def test_packing_query(spark, documents):
 def test_tail_is_cut_in_powers_of_two():
     assert packing.tail_cuts(2048 + 1500, 2048) == [2048 + 1024, 2048 + 1280, 2048 + 1408, 2048 + 1472, 2048 + 1488, 2048 + 1496, 2048 + 1500]
     assert packing.pieces_of(2040, 20, 2060, 2048) == [(0, 8, 0, 2040), (8, 8, 1, 0), (16, 4, 2, 0)]
+
+
+def test_forms_of_a_word_are_asked_once():
+    """Case and closing marks are put together again; what a mark may join, and special strings, goes to the library as it is."""
+    model, asked = packing.WordTokens(WORD), []
+
+    class Recorded:
+        def encode_batch_fast(self, words, **more):
+            asked.extend(words)
+            return lib.encode_batch_fast(words, **more)
+
+    lib, model.library = model.library, Recorded()
+    texts = ["Word word, WORD. (word) word;", "word.%% été, Été. don't, it's.. 3,5. -- ...", "<|endoftext|>. a<|endoftext|> <|ENDOFTEXT|>! x' x'. İ, ñ, n,́ ,", "", None]
+    for _ in range(2):
+        flat, ends = model.encode(texts)
+        own = [flat[s:e].tolist() for s, e in zip([0, *ends], ends)]
+        assert own == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert asked.count("word") == 1 and not {"Word", "WORD", "word,", "WORD.", "word;"} & set(asked) and len(asked) == len(set(asked))
+    assert {"<|endoftext|>.", "x'.", "İ,"} <= set(asked)
+
+
+def test_long_texts_take_the_same_tokens_stretch_by_stretch(monkeypatch):
+    texts = [*ODD, "", None, "some words\nand lines, " * 30]
+    whole = packing.WordTokens(WORD).encode(texts)
+    monkeypatch.setattr(packing, "_STEP", 8)
+    cut = packing.WordTokens(WORD).encode(texts)
+    assert all((a == b).all() for a, b in zip(whole, cut))
